@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from .bpe import op3_byte_bpe
 from .licenses import op7_license_scan
 from .media import op8_media_columns
+from .mixing import op1_mixing_to_weights
 from .simhash import op6_simhash_near_dedup
 
 QUERIES = {
+    "op1_mixing_to_weights": op1_mixing_to_weights,
+    "op3_byte_bpe": op3_byte_bpe,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_license_scan": op7_license_scan,
     "op8_media_columns": op8_media_columns,
