@@ -3,16 +3,22 @@
 from __future__ import annotations
 
 from .bpe import op3_byte_bpe
+from .langid import op5_language_id
 from .licenses import op7_license_scan
 from .media import op8_media_columns
 from .mixing import op1_mixing_to_weights
 from .simhash import op6_simhash_near_dedup
+from .token_counts import op10_token_counts
+from .vector_dedup import op4_embedding_near_dedup
 
 QUERIES = {
     "op1_mixing_to_weights": op1_mixing_to_weights,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_embedding_near_dedup": op4_embedding_near_dedup,
+    "op5_language_id": op5_language_id,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_license_scan": op7_license_scan,
     "op8_media_columns": op8_media_columns,
+    "op10_token_counts": op10_token_counts,
 }
 ORACLE: dict[str, str] = {}
