@@ -9,10 +9,12 @@ from .media import op8_media_columns
 from .mixing import op1_mixing_to_weights
 from .simhash import op6_simhash_near_dedup
 from .token_counts import op10_token_counts
+from .toxicity import op2_toxicity
 from .vector_dedup import op4_embedding_near_dedup
 
 QUERIES = {
     "op1_mixing_to_weights": op1_mixing_to_weights,
+    "op2_toxicity": op2_toxicity,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_embedding_near_dedup": op4_embedding_near_dedup,
     "op5_language_id": op5_language_id,
