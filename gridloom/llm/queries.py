@@ -8,6 +8,7 @@ from .licenses import op7_license_scan
 from .media import op8_media_columns
 from .mixing import op1_mixing_to_weights
 from .simhash import op6_simhash_near_dedup
+from .suffix_dedup import op9_suffix_array_dedup
 from .token_counts import op10_token_counts
 from .toxicity import op2_toxicity
 from .vector_dedup import op4_embedding_near_dedup
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_license_scan": op7_license_scan,
     "op8_media_columns": op8_media_columns,
+    "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_token_counts": op10_token_counts,
 }
 ORACLE: dict[str, str] = {}
