@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from gridloom.params import AGGREGATION, CONDITIONAL
 
 
+def let(value: Column, f) -> Column:
+    """f of a value that is computed once (a lambda over an array of one), where f uses it many times."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def calendar_key(key: Column) -> Column:
     """A key without its @marker."""
     return F.regexp_replace(key, "@.*$", "")
@@ -40,9 +45,13 @@ def period_position(key: Column) -> Column:
 
 def calendar_lag(source: Column, target: Column) -> Column:
     """same, a signed distance (target less source), or unaligned for other grains and keys without a place."""
-    a, b = period_position(source), period_position(target)
-    apart = b["ordinal"] - a["ordinal"]
-    return F.when(a["grain"] == b["grain"], F.when(apart == 0, "same").when(apart > 0, F.concat(F.lit("+"), apart.cast("string"))).otherwise(apart.cast("string"))).otherwise("unaligned")
+
+    def lag(x: Column) -> Column:
+        apart = x["b"]["ordinal"] - x["a"]["ordinal"]
+        number = F.when(apart == 0, "same").when(apart > 0, F.concat(F.lit("+"), apart.cast("string"))).otherwise(apart.cast("string"))
+        return F.when(x["a"]["grain"] == x["b"]["grain"], number).otherwise("unaligned")
+
+    return let(F.struct(period_position(source).alias("a"), period_position(target).alias("b")), lag)
 
 
 def key_date(key: Column) -> Column:
@@ -69,14 +78,21 @@ def apply_grain(key: Column, grain: str) -> Column:
 def infer_grain(keys: Column) -> Column:
     """The grain of an array of keys by the upper median of the steps between their sorted dates."""
     dates = F.array_sort(F.array_distinct(F.filter(F.transform(keys, key_date), lambda d: d.isNotNull())))
-    n = F.size(dates)
-    steps = lambda f: F.array_sort(F.transform(F.sequence(F.lit(1), n - 1), f))
-    days = steps(lambda i: F.datediff(F.get(dates, i), F.get(dates, i - 1)))
-    months = steps(lambda i: F.round(F.months_between(F.get(dates, i), F.get(dates, i - 1))).cast("int"))
-    upper = lambda a: F.get(a, F.floor((n - 1) / 2).cast("int"))
-    d, m = upper(days), upper(months)
+    pairs = lambda ds: F.arrays_zip(F.slice(ds, 2, F.size(ds)).alias("b"), F.slice(ds, 1, F.size(ds) - 1).alias("a"))
+    step = lambda x: F.struct(F.datediff(x["b"], x["a"]).alias("days"), F.round(F.months_between(x["b"], x["a"])).cast("int").alias("months"))
     quarters = F.exists(keys, lambda k: calendar_key(k).rlike("Q[1-4]$"))
-    return F.when(n >= 2, F.when(d.between(5, 9), F.when((F.array_min(days) == 7) & (F.array_max(days) == 7) & ~quarters, "week")).when(d.between(13, 17), "biweek").when(d.between(25, 35), "month").when(m <= 1, "month").when(m.between(2, 4), "quarter").when(m.between(5, 7), F.when(quarters, "quarter").otherwise("half_year")).when(m.between(11, 13), "year"))
+
+    def of(steps: Column) -> Column:
+        days, months = F.array_sort(steps["days"]), F.array_sort(steps["months"])
+        middle = F.floor(F.size(steps) / 2).cast("int")
+        return let(F.struct(F.get(days, middle).alias("d"), F.get(months, middle).alias("m"), F.array_min(days).alias("low"), F.array_max(days).alias("high"), quarters.alias("q")), grain)
+
+    def grain(x: Column) -> Column:
+        d, m = x["d"], x["m"]
+        weekly = (x["low"] == 7) & (x["high"] == 7) & ~x["q"]
+        return F.when(d.between(5, 9), F.when(weekly, "week")).when(d.between(13, 17), "biweek").when(d.between(25, 35), "month").when(m <= 1, "month").when(m.between(2, 4), "quarter").when(m.between(5, 7), F.when(x["q"], "quarter").otherwise("half_year")).when(m.between(11, 13), "year")
+
+    return let(dates, lambda ds: F.when(F.size(ds) >= 2, let(F.transform(pairs(ds), step), of)))
 
 
 def period_index(order: Column, axis: Column) -> Column:

@@ -286,7 +286,7 @@ def trace_dependents(spark, d):
     return graph.trace(functional(spark, d), origins, "dependents", 4).select("origin", "node", "depth")
 
 
-@query("""WITH e AS (SELECT DISTINCT user_id, CAST(epoch(ts) // 3600 AS BIGINT) AS s, CAST(epoch(ts) // 3600 AS BIGINT) + event_id % 5 AS e FROM events),
+@query("""WITH e AS (SELECT DISTINCT user_id, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS s, CAST(floor(epoch(ts) / 3600) AS BIGINT) + event_id % 5 AS e FROM events),
 m AS (SELECT *, CASE WHEN s > max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 1 ELSE 0 END AS b FROM e),
 g AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS i FROM m)
 SELECT user_id, min(s) AS s, max(e) AS e, count(*) AS n FROM g GROUP BY user_id, i""")
@@ -296,14 +296,14 @@ def merge_spans(spark, d):
     return O.merge_spans(rows, ["user_id"], "s", "e")
 
 
-@query("""WITH e AS (SELECT DISTINCT user_id, CAST(epoch(ts) // 86400 AS BIGINT) AS day FROM events), g AS (SELECT *, CASE WHEN day - lag(day) OVER w >= 3 THEN 1 ELSE 0 END AS b FROM e WINDOW w AS (PARTITION BY user_id ORDER BY day))
+@query("""WITH e AS (SELECT DISTINCT user_id, CAST(floor(epoch(ts) / 86400) AS BIGINT) AS day FROM events), g AS (SELECT *, CASE WHEN day - lag(day) OVER w >= 3 THEN 1 ELSE 0 END AS b FROM e WINDOW w AS (PARTITION BY user_id ORDER BY day))
 SELECT user_id, day, CAST(sum(b) OVER (PARTITION BY user_id ORDER BY day ROWS UNBOUNDED PRECEDING) + 1 AS BIGINT) AS band FROM g""")
 def gap_bands(spark, d):
     rows = table(spark, d, "events").select("user_id", F.floor(F.unix_timestamp("ts") / 86400).alias("day")).distinct()
     return O.gap_bands(rows, ["user_id"], "day")
 
 
-@query("""WITH e AS (SELECT DISTINCT user_id, CAST(epoch(ts) // 86400 AS BIGINT) AS day FROM events), g AS (SELECT *, day - row_number() OVER (PARTITION BY user_id ORDER BY day) AS i, row_number() OVER (PARTITION BY user_id ORDER BY day) AS place FROM e)
+@query("""WITH e AS (SELECT DISTINCT user_id, CAST(floor(epoch(ts) / 86400) AS BIGINT) AS day FROM events), g AS (SELECT *, day - row_number() OVER (PARTITION BY user_id ORDER BY day) AS i, row_number() OVER (PARTITION BY user_id ORDER BY day) AS place FROM e)
 SELECT user_id, min(place) AS first_place, max(place) AS last_place, min(day) AS first_value, count(*) AS n FROM g GROUP BY user_id, i HAVING count(*) >= 3""")
 def integer_runs(spark, d):
     from pyspark.sql import Window
@@ -345,9 +345,9 @@ def measures(spark, d):
     return rows.select("p_partkey", "unit_text", C.currency_code(u).alias("currency"), C.scale_token(u).alias("scale"), C.unit_kind(u).alias("kind"))
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'green') OR contains(lower(p_name), '1')")
+@query("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'ring') OR contains(lower(p_name), 'blue')")
 def label_search(spark, d):
-    return table(spark, d, "part").where(C.label_contains(F.col("p_name"), " GREEN ") | C.label_contains(F.col("p_name"), "1")).select("p_partkey", "p_name")
+    return table(spark, d, "part").where(C.label_contains(F.col("p_name"), " RING ") | C.label_contains(F.col("p_name"), "Blue")).select("p_partkey", "p_name")
 
 
 @query(GRID + "SELECT sheet, col, CAST(sum(cents) AS BIGINT) AS total, true AS confirmed FROM grid GROUP BY ALL")
@@ -381,14 +381,14 @@ def generation_guard(spark, d):
     return guarded(events).groupBy(F.col("job_id").alias("user_id")).agg(F.count("*").alias("kept"), F.max_by("event_id", F.struct("ts", "event_id")).alias("last_event"))
 
 
-@query("SELECT event_type, CAST(epoch(time_bucket(INTERVAL 1 DAY, ts)) AS BIGINT) AS day, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY ALL")
+@query("SELECT event_type, CAST(floor(epoch(time_bucket(INTERVAL 1 DAY, ts))) AS BIGINT) AS day, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY ALL")
 def tumbling_window(spark, d):
     w = F.window("ts", "1 day")
     return table(spark, d, "events").groupBy("event_type", w.alias("w")).agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users")).select("event_type", F.unix_timestamp("w.start").alias("day"), "n", "users")
 
 
 @query("""WITH e AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 6 HOUR THEN 1 ELSE 0 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
-g AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS i FROM e) SELECT user_id, CAST(epoch(min(ts)) AS BIGINT) AS started, count(*) AS n FROM g GROUP BY user_id, i""")
+g AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS i FROM e) SELECT user_id, CAST(floor(epoch(min(ts))) AS BIGINT) AS started, count(*) AS n FROM g GROUP BY user_id, i""")
 def session_window(spark, d):
     w = F.session_window("ts", "6 hours")
     return table(spark, d, "events").groupBy("user_id", w.alias("w")).agg(F.count("*").alias("n")).select("user_id", F.unix_timestamp("w.start").alias("started"), "n")
