@@ -24,7 +24,10 @@ def _part(key: Column, rx: str, group: int) -> Column:
 
 def period_position(key: Column) -> Column:
     """struct(grain, ordinal): the place of a key among keys of its grain; null for other keys."""
-    k = calendar_key(key)
+    return let(calendar_key(key), _position)
+
+
+def _position(k: Column) -> Column:
     year = _part(k, r"^(\d{4})", 1)
     quarter, half = _part(k, r"^\d{4}Q([1-4])$", 1), _part(k, r"^\d{4}H([12])$", 1)
     month = _part(k, r"^\d{4}-(0[1-9]|1[0-2])$", 1)

@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions import cells as C
-from gridloom.functions.periods import period_position
 from gridloom.operators.ordered import noise_floor
 from gridloom.params import NOISE, OBSERVATIONS, OBSERVATIONS_MOST
 
@@ -28,12 +27,12 @@ def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     period = F.concat(F.year("o_orderdate").cast("string"), F.lit("Q"), F.quarter("o_orderdate").cast("string"))
+    col = (F.year("o_orderdate") - FIRST_YEAR) * 4 + F.quarter("o_orderdate") + 1
     # partial sums by customer's nation and segment before the window; the rows left are sheets x lines x quarters
-    flat = o.join(c, o.o_custkey == c.c_custkey).groupBy("c_nationkey", "c_mktsegment", "o_orderpriority", period.alias("period_id")).agg(F.sum("cents").alias("cents"))
+    flat = o.join(c, o.o_custkey == c.c_custkey).groupBy("c_nationkey", "c_mktsegment", "o_orderpriority", period.alias("period_id"), col.cast("long").alias("col")).agg(F.sum("cents").alias("cents"))
     flat = flat.join(n, flat.c_nationkey == n.n_nationkey)
     line = F.dense_rank().over(Window.partitionBy("n_name").orderBy("c_mktsegment", "o_orderpriority")) + 1
-    col = period_position(F.col("period_id"))["ordinal"] - FIRST_YEAR * 4 + 1
-    out = flat.select(F.lit(BOOK).alias("book_id"), F.col("n_name").alias("sheet"), line.cast("long").alias("row"), col.alias("col"), "period_id", F.concat_ws(" ", "c_mktsegment", "o_orderpriority").alias("label"), F.when(F.col("n_nationkey") % 2 == 1, "k").otherwise("unit").alias("unit"), F.col("cents").cast("string").alias("cached_value"), "cents")
+    out = flat.select(F.lit(BOOK).alias("book_id"), F.col("n_name").alias("sheet"), line.cast("long").alias("row"), "col", "period_id", F.concat_ws(" ", "c_mktsegment", "o_orderpriority").alias("label"), F.when(F.col("n_nationkey") % 2 == 1, "k").otherwise("unit").alias("unit"), F.col("cents").cast("string").alias("cached_value"), "cents")
     return out.withColumns({"addr": C.address(F.col("col"), F.col("row")), "row_key": F.concat_ws("|", "sheet", F.col("row").cast("string"), F.concat("sheet", F.lit("!r1")))})
 
 
