@@ -173,4 +173,4 @@ def label_contains(label: Column, needle: str) -> Column:
 
 
 def markdown_cell(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, r"\|", r"\\\\|"), r"\r?\n", " ")
+    return F.regexp_replace(F.regexp_replace(text, r"\|", r"\\|"), r"\r?\n", " ")

@@ -400,3 +400,110 @@ def session_inflight(spark, d):
 
     events = table(spark, d, "events").select(F.col("user_id").alias("session_id"), F.when(F.col("event_type") == "purchase", "succeeded").otherwise("queued").alias("status"))
     return inflight(events)
+
+
+@query("""WITH d AS (SELECT p_partkey AS o, CASE WHEN p_partkey % 3 = 0 THEN p_brand END AS sheet, 'Name' || (p_size % 20) AS name, CASE p_partkey % 4 WHEN 0 THEN 'S!$A$' || p_size WHEN 1 THEN 'S!$B$1:$C$' || p_size WHEN 2 THEN 'S!A1' ELSE '[1]S!$A$1' END AS f FROM part),
+l AS (SELECT sheet, name, arg_max(f, o) AS f FROM d GROUP BY ALL), u AS (SELECT DISTINCT p_brand AS sheet, 'Name' || (p_size % 23) AS name FROM part),
+r AS (SELECT u.sheet, u.name, coalesce(a.f, b.f) AS f FROM u LEFT JOIN l a ON a.sheet = u.sheet AND a.name = u.name LEFT JOIN l b ON b.sheet IS NULL AND b.name = u.name)
+SELECT sheet, lower(name) AS name, CASE WHEN f IS NULL THEN 'unknown' WHEN contains(f, '[') THEN 'external' WHEN contains(f, '$') THEN 'resolved' ELSE 'unresolved' END AS status, CASE WHEN contains(f, '$') AND NOT contains(f, '[') THEN replace(f, '$', '') END AS target FROM r""")
+def defined_names(spark, d):
+    """Names of sheets and of the workbook: the nearest scope, the last definition, absolute targets only."""
+    from gridloom.operators.lookups import resolve_names
+
+    part = table(spark, d, "part")
+    k, size = F.col("p_partkey") % 4, F.col("p_size").cast("string")
+    formula = F.when(k == 0, F.concat(F.lit("S!$A$"), size)).when(k == 1, F.concat(F.lit("S!$B$1:$C$"), size)).when(k == 2, "S!A1").otherwise("[1]S!$A$1")
+    names = part.select(F.when(F.col("p_partkey") % 3 == 0, F.col("p_brand")).alias("sheet"), F.concat(F.lit("Name"), (F.col("p_size") % 20).cast("string")).alias("name"), formula.alias("formula"), F.col("p_partkey").alias("ordinal"))
+    uses = part.select(F.col("p_brand").alias("sheet"), F.concat(F.lit("name"), (F.col("p_size") % 23).cast("string")).alias("name")).distinct()
+    return resolve_names(uses, names).select("sheet", "name", "status", "target")
+
+
+@query("SELECT coalesce(o_orderkey, k) AS cell, coalesce(v, CAST(o_custkey AS VARCHAR)) AS value FROM (SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 3 > 0) a FULL JOIN (SELECT l_orderkey AS k, 'x' || min(l_partkey) AS v FROM lineitem WHERE l_orderkey % 2 = 0 GROUP BY l_orderkey) b ON o_orderkey = k")
+def cache_overlay(spark, d):
+    """Values of one workbook over those of its converted copy."""
+    from gridloom.operators.lookups import overlay
+
+    base = table(spark, d, "orders").where("o_orderkey % 3 > 0").select(F.col("o_orderkey").alias("cell"), F.col("o_custkey").cast("string").alias("value"))
+    top = table(spark, d, "lineitem").where("l_orderkey % 2 = 0").groupBy(F.col("l_orderkey").alias("cell")).agg(F.concat(F.lit("x"), F.min("l_partkey").cast("string")).alias("value"))
+    return overlay(base, top, ["cell"], "value")
+
+
+@query("WITH v AS (SELECT l_returnflag, l_orderkey, min(l_linenumber) AS c FROM lineitem GROUP BY ALL), n AS (SELECT l_returnflag, c, count(*) AS n FROM v GROUP BY ALL) SELECT l_returnflag, CAST(arg_max(c, n * 1000 - c) AS BIGINT) AS label_col, max(n) AS n FROM n GROUP BY l_returnflag")
+def label_column_votes(spark, d):
+    from gridloom.operators.lookups import label_column
+
+    rows = table(spark, d, "lineitem").select("l_returnflag", "l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"))
+    return label_column(rows, ["l_returnflag"], "l_orderkey", "l_linenumber")
+
+
+@query("WITH s AS (SELECT DISTINCT p_brand, p_type, p_size FROM part), g AS (SELECT DISTINCT p_brand FROM part), p AS (SELECT p_brand AS a, lead(p_brand) OVER (ORDER BY p_brand) AS b FROM g), x AS (SELECT a, b, (SELECT count(*) FROM (SELECT DISTINCT p_size FROM s WHERE p_brand = a INTERSECT SELECT DISTINCT p_size FROM s WHERE p_brand = b)) AS i, (SELECT count(*) FROM (SELECT DISTINCT p_size FROM s WHERE p_brand = a UNION SELECT DISTINCT p_size FROM s WHERE p_brand = b)) AS u FROM p WHERE b IS NOT NULL) SELECT a, b, i / CAST(u AS DOUBLE) AS overlap FROM x")
+def column_set_overlap(spark, d):
+    """Overlap of the column sets of neighbouring brands."""
+    from pyspark.sql import Window
+
+    from gridloom.operators.lookups import jaccard
+
+    sets = table(spark, d, "part").groupBy("p_brand").agg(F.collect_set("p_size").alias("s"))
+    w = Window.orderBy("p_brand")
+    out = sets.select(F.col("p_brand").alias("a"), F.lead("p_brand").over(w).alias("b"), "s", F.lead("s").over(w).alias("t")).where("b is not null")
+    return out.select("a", "b", jaccard(F.col("s"), F.col("t")).alias("overlap"))
+
+
+@query("SELECT * FROM (SELECT 0 AS priority, s_suppkey AS ord, 'supplier ' || s_suppkey AS line FROM supplier WHERE s_suppkey % 4 = 0 UNION ALL SELECT 1, p_partkey, 'part ' || p_partkey FROM part) ORDER BY 1, 2 LIMIT 50")
+def warning_lines(spark, d):
+    """The first fifty warnings, a source before the next."""
+    from gridloom.operators.lookups import capped_lines
+    from gridloom.params import WARNINGS
+
+    line = lambda t, key, word: t.select(F.col(key).alias("ord"), F.concat(F.lit(word), F.col(key).cast("string")).alias("line"))
+    return capped_lines([line(table(spark, d, "supplier").where("s_suppkey % 4 = 0"), "s_suppkey", "supplier "), line(table(spark, d, "part"), "p_partkey", "part ")], "ord", WARNINGS)
+
+
+@query("""WITH e AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS o FROM events), g AS (SELECT *, o - row_number() OVER (PARTITION BY user_id, event_type ORDER BY o) AS i FROM e),
+r AS (SELECT user_id, event_type, min(o) AS f, count(*) AS n FROM g GROUP BY user_id, event_type, i HAVING count(*) >= 2) SELECT user_id, arg_max(event_type, n * 1000000 - f) AS event_type, arg_max(f, n * 1000000 - f) AS first_place, max(n) AS n FROM r GROUP BY user_id""")
+def longest_equal_run(spark, d):
+    """The longest run of equal templates in a row, the first among equals."""
+    from pyspark.sql import Window
+
+    o = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long")
+    rows = table(spark, d, "events").select("user_id", "event_type", o.alias("o"))
+    return O.equal_runs(rows, ["user_id"], "o", "event_type", 2)
+
+
+@query("""WITH v AS (SELECT DISTINCT p_brand, p_size FROM part), g AS (SELECT p_brand, p_size, p_size - row_number() OVER (PARTITION BY p_brand ORDER BY p_size) AS i FROM v), s AS (SELECT p_brand, min(p_size) AS a, max(p_size) AS b FROM g GROUP BY p_brand, i)
+SELECT p_brand, string_agg(a || ':' || b, ',' ORDER BY a) AS spans FROM s GROUP BY p_brand""")
+def span_texts(spark, d):
+    from gridloom.operators.lookups import span_text
+
+    return table(spark, d, "part").groupBy("p_brand").agg(F.collect_set("p_size").alias("s")).select("p_brand", span_text(F.col("s")).alias("spans"))
+
+
+@query("SELECT p_partkey, p_brand || CASE WHEN row_number() OVER w > 1 THEN '#' || row_number() OVER w ELSE '' END AS block_id FROM part WINDOW w AS (PARTITION BY p_brand ORDER BY p_partkey)")
+def block_id_suffix(spark, d):
+    from gridloom.operators.lookups import suffixed
+
+    return table(spark, d, "part").select("p_partkey", suffixed("p_brand", ["p_partkey"]).alias("block_id"))
+
+
+@query("WITH q AS (SELECT l_orderkey, l_linenumber, sum(CAST(l_quantity AS BIGINT)) % 5 AS v FROM lineitem GROUP BY ALL) SELECT l_orderkey, l_linenumber, coalesce(count(*) OVER w >= 2 AND sum(v) OVER w = v, false) AS is_total FROM q WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
+def left_neighbour_sums(spark, d):
+    """Values that are the sum of all values to their left."""
+    from gridloom.operators.lookups import is_running_sum
+
+    rows = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg((F.sum(F.col("l_quantity").cast("bigint")) % 5).alias("v"))
+    return rows.select("l_orderkey", "l_linenumber", is_running_sum("v", ["l_orderkey"], "l_linenumber").alias("is_total"))
+
+
+@query("SELECT p_partkey, sha256('context:' || sha256(p_name)) AS job_id, replace(p_name || '|x', '|', '\\|') AS cell FROM part")
+def ids_and_escapes(spark, d):
+    return table(spark, d, "part").select("p_partkey", F.sha2(F.concat(F.lit("context:"), F.sha2("p_name", 256)), 256).alias("job_id"), C.markdown_cell(F.concat("p_name", F.lit("|x"))).alias("cell"))
+
+
+@query("WITH a AS (SELECT n_name AS name, n_nationkey AS o FROM nation), b AS (SELECT CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE 'Sheet' || n_nationkey END AS name, n_nationkey AS o FROM nation), s AS (SELECT a.name AS l, b.name AS r FROM a JOIN b ON a.name = b.name), ra AS (SELECT name, row_number() OVER (ORDER BY o) AS k FROM a WHERE name NOT IN (SELECT l FROM s)), rb AS (SELECT name, row_number() OVER (ORDER BY o) AS k FROM b WHERE name NOT IN (SELECT r FROM s)) SELECT l AS left_name, r AS right_name, true AS by_name FROM s UNION ALL SELECT ra.name, rb.name, false FROM ra JOIN rb USING (k)")
+def sheet_pairing(spark, d):
+    """Sheets of two workbooks by name, the rest by order."""
+    from gridloom.operators.lookups import pair
+
+    n = table(spark, d, "nation")
+    other = n.select(F.when(F.col("n_nationkey") % 2 == 0, F.col("n_name")).otherwise(F.concat(F.lit("Sheet"), F.col("n_nationkey").cast("string"))).alias("n_name"), "n_nationkey")
+    return pair(n, other, "n_name", "n_nationkey")
