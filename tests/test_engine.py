@@ -183,3 +183,60 @@ def test_job_stream(spark, tmp_path):
         q.stop()
     got = {r["event_id"]: r["accepted"] for r in spark.table("decisions").collect()}
     assert got == {1: True, 2: True, 3: False, 4: False, 5: True, 6: False}
+
+
+def test_sinks(spark, tmp_path):
+    from gridloom.sources import sinks
+
+    df = spark.createDataFrame([(1, None), (2, "b")], "id long, t string")
+    assert sorted(sinks.json_lines(df)) == ['{"id":1}', '{"id":2,"t":"b"}']
+    sinks.write_table(df, str(tmp_path / "local"), rows_per_file=1)
+    sinks.export({"rows": df.where("id = 2")}, str(tmp_path / "out"), "e1")
+    assert sinks.read_published(spark, str(tmp_path / "out"), "rows", str(tmp_path / "local")).count() == 1
+    assert sinks.read_published(spark, str(tmp_path / "out"), "other", str(tmp_path / "local")).count() == 2
+    assert sinks.read_published(spark, str(tmp_path / "none"), "rows", str(tmp_path / "local")).count() == 2
+    sinks.write_bytes(str(tmp_path / "a.json"), b"{}")
+    assert (tmp_path / "a.json").read_bytes() == b"{}"
+    good = {s: sinks.fingerprint("v1", {"stage": s}) for s in sinks.STAGES}
+    assert sinks.stale_from(good, good) is None
+    assert sinks.stale_from(good, good | {"graph": "x"}) == "graph"
+    assert sinks.etag("v1", "a") != sinks.etag("v2", "a")
+
+
+def test_windows_and_dedup_on_a_stream(spark, tmp_path):
+    from gridloom.streaming.progress import queued_once, windowed
+
+    rows = [("s", "j", "queued", "2026-01-01 00:00:00"), ("s", "j", "queued", "2026-01-01 00:01:00"), ("s", "k", "queued", "2026-01-01 00:06:00"), ("t", "j", "failed", "2026-01-01 00:07:00")]
+    data = spark.createDataFrame(rows, "session_id string, job_id string, status string, t string").withColumn("ts", F.to_timestamp("t")).drop("t")
+    data.coalesce(1).write.parquet(str(tmp_path / "in"))
+    read = lambda: spark.readStream.schema(data.schema).parquet(str(tmp_path / "in"))
+    for name, stream, mode, want in (("once", queued_once(read()), "append", 3), ("windows", windowed(read()), "complete", 3)):
+        q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / f"cp_{name}")).start()
+        try:
+            q.processAllAvailable()
+        finally:
+            q.stop()
+        assert spark.table(name).count() == want
+    assert windowed(data).count() == 3
+
+
+def test_shared_formulas_and_presence(spark, tmp_path):
+    import io
+    import zipfile
+
+    from gridloom.sources.workbook import presence_runs, read_cells, read_workbooks, write_book
+
+    raw = io.BytesIO(write_book({"S": {"A1": (1, None)}}, {"Rate": "S!$A$1"}, iterate=True))
+    out = tmp_path / "shared.xlsx"
+    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    sheet = f'<worksheet xmlns="{main}"><cols><col min="3" max="3" hidden="1"/></cols><sheetData><row r="1"><c r="A1"><v>1</v></c><c r="B1"><f t="shared" si="0" ref="B1:B3">A1*$A$1</f><v>1</v></c><c r="C1"/></row><row r="2" hidden="1"><c r="B2"><f t="shared" si="0"/><v>2</v></c><c r="C2"/></row><row r="3"><c r="B3"><f t="shared" si="0"/><v>3</v></c></row></sheetData></worksheet>'
+    with zipfile.ZipFile(raw) as a, zipfile.ZipFile(out, "w") as b:
+        for n in a.namelist():
+            b.writestr(n, sheet if n.endswith("sheet1.xml") else a.read(n))
+    cells = read_cells(spark, str(out))
+    got = {r["addr"]: (r["formula_raw"], r["cached_value"], r["hidden"]) for r in cells.collect()}
+    assert got["B2"] == ("=A2*$A$1", "2", True) and got["B3"] == ("=A3*$A$1", "3", False) and got["C1"] == (None, None, True)
+    runs = {(r["col"], r["presence"], r["row_start"], r["row_end"]) for r in presence_runs(cells).collect()}
+    assert (3, "styled_blank", 1, 2) in runs and (2, "populated", 2, 2) in runs
+    facts = read_workbooks(spark, str(out)).first()
+    assert facts["iterate"] and facts["defined_names"][0]["name"] == "Rate"
