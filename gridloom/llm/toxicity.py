@@ -11,7 +11,8 @@ training: in each guessed language the raw logit that best separates calibration
 score FLAG, so one cut serves all languages.
 
 Training takes a bounded sample of labelled rows (POSITIVES and NEGATIVES at most, in expectation, by a hash of
-the text); executors turn its whole texts into hashes, the driver trains. Scoring is a map over Arrow batches
+the id): the sample's labels are broadcast, so no text is shuffled; executors turn its whole texts into hashes,
+the driver trains. Scoring is a map over Arrow batches
 with a broadcast model of at most WORDS words.
 
 Defined cases: null and empty texts score as the model's value of an empty text; without toxic or without clean
@@ -201,21 +202,30 @@ def speaks(speech: np.ndarray, x: np.ndarray) -> int:
     return int(np.argmax(speech[x].sum(0))) if len(x) else 0
 
 
-def fit(labelled: DataFrame, positives: int = POSITIVES, negatives: int = NEGATIVES) -> Model | None:
-    """A model from labelled(text, lang, toxic); null if one of the classes is missing."""
+def sample(marks: DataFrame, positives: int = POSITIVES, negatives: int = NEGATIVES) -> DataFrame:
+    """About so many rows of each class of marks(__id, toxic), by a hash of the id; small enough to broadcast, which is checked."""
+    marks = marks.where(F.col("toxic").isin(0, 1) & F.col("__id").isNotNull())
+    counts = {r["toxic"]: r["count"] for r in marks.groupBy("toxic").count().collect()}
+    share = lambda k, most: int(min(1, most / max(1, counts.get(k, 0))) * 1e6)
+    kept = marks.where(F.pmod(F.xxhash64("__id"), F.lit(1_000_000)) < F.when(F.col("toxic") == 1, share(1, positives)).otherwise(share(0, negatives)))
+    n = kept.count()
+    if n > 2 * (positives + negatives):
+        raise ValueError(f"{n} labels in the sample; do ids repeat?")
+    return kept
+
+
+def fit(labelled: DataFrame) -> Model | None:
+    """A model from the bounded rows labelled(text, lang, toxic); null if one of the classes is missing."""
     prepare(labelled.sparkSession)
-    rows = labelled.where(F.col("toxic").isin(0, 1) & F.col("text").isNotNull())
-    counts = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
-    if not counts.get(0) or not counts.get(1):
-        return None
-    share = F.when(F.col("toxic") == 1, F.lit(int(min(1, positives / counts[1]) * 1e6))).otherwise(F.lit(int(min(1, negatives / counts[0]) * 1e6)))
-    rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share).select("text", "toxic", F.coalesce("lang", F.lit("")).alias("lang"))
+    rows = labelled.where(F.col("text").isNotNull()).select("text", "toxic", F.coalesce("lang", F.lit("")).alias("lang"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.record_batch([b.column("toxic").cast(pa.int32()), b.column("lang"), pa.array([word_hashes(x).tobytes() for x in texts_of(b)], pa.binary())], names=["toxic", "lang", "h"])
 
     got = sorted((bytes(r.h), r.toxic, r.lang) for r in rows.mapInArrow(run, "toxic int, lang string, h binary").collect())
+    if len({t for _, t, _ in got}) < 2:
+        return None
     hashes = [np.frombuffer(h, np.uint64) for h, _, _ in got]
     y = np.array([t for _, t, _ in got], np.float64)
     langs = sorted({x for _, _, x in got})
@@ -268,9 +278,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text
     """(doc_id, held_out, score, predicted): learned from labelled rows that are not held out, for all rows of docs."""
     spark = prepare(docs.sparkSession)
     held = F.coalesce(fold(id_column, 3) == 1, F.lit(False))
-    marks = labels.select(F.col("doc_id").alias("__id"), F.col("toxic"))
+    marks = sample(labels.where(~F.coalesce(fold("doc_id", 3) == 1, F.lit(False))).select(F.col("doc_id").alias("__id"), F.col("toxic")))
     rows = docs.where(~held).select(F.col(id_column).alias("__id"), F.col(text_column).alias("text"), F.col(lang_column).alias("lang"))
-    model = fit(rows.join(marks, "__id").drop("__id"))
+    model = fit(rows.join(F.broadcast(marks), "__id").drop("__id"))
     shared = spark.sparkContext.broadcast(model)  # at most WORDS words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
