@@ -48,10 +48,26 @@ class Books:
 
         return catalog(self.series, q, sheet, limit, offset)
 
-    def trace(self, origin: str, direction: str = "precedents", depth: int = 8) -> DataFrame:
-        """Nodes around a cell (Sheet!A1), a row key or a label, by their least depth."""
-        ids = self.index.where((F.col("node_id") == origin) | (F.col("row_key") == origin)).select("book_id", F.col("node_id").alias("origin"))
-        return graph.trace(self.cell_edges, ids, direction, depth)
+    def trace(self, origin: str, direction: str = "precedents", depth: int = 8, range_members: int = 0) -> DataFrame:
+        """Nodes around a cell (Sheet!A1), a row key or part of a label, by their least depth.
+
+        Each book takes the first of these that it has, or else a blank cell inside a range. range_members bounds
+        the filled cells followed from each large range (the reference's default is TRACE_MEMBERS); 0 follows all.
+        """
+        origin = origin.strip()
+        ranges = checkpointed(graph.range_nodes(self.cell_edges))
+        cells = self.cells.select("book_id", "sheet", "row", "col", F.concat("sheet", F.lit("!"), "addr").alias("node"), (F.col("presence") == "populated").alias("filled"))
+        ids = self.index.where(F.col("node_id") == origin).select("book_id", "node_id").distinct()
+        if "|" in origin:
+            rows = self.layout.where(F.col("row_key") == origin)
+        else:
+            rows = self.layout.where(C.label_contains(F.col("label"), origin))
+        rows = rows.select("book_id", "row_key").distinct().join(ids.select("book_id"), "book_id", "left_anti")
+        ids = ids.unionByName(self.index.join(rows, ["book_id", "row_key"], "left_semi").select("book_id", "node_id").distinct())
+        blank = ranges.select("book_id").distinct().withColumn("node", F.lit(origin)).join(ids.select("book_id"), "book_id", "left_anti")
+        blank = graph.covering(blank, ranges, cells).select("book_id", F.col("node").alias("node_id")).distinct()
+        ids = ids.unionByName(blank).select("book_id", F.col("node_id").alias("origin"))
+        return graph.trace(self.cell_edges, ids, direction, depth, ranges, cells, range_members)
 
 
 def build(spark: SparkSession, path: str | list[str]) -> Books:

@@ -6,9 +6,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.functions.cells import node_type
+from gridloom.functions.cells import node_type, rectangle, split_sheet
 from gridloom.functions.periods import calendar_lag, formula_class, lag_bits
 from gridloom.operators.ordered import capped_ids
+from gridloom.operators.ranges import cover, is_whole_axis
 from gridloom.params import ID_CAP, TRACE_DEPTH, TRACE_DEPTH_MOST
 from gridloom.session import ship
 
@@ -126,11 +127,15 @@ def components(nexts: list[list[int]]) -> list[int]:
     return of
 
 
-def trace(edges: DataFrame, origins: DataFrame, direction: str = "precedents", depth: int = TRACE_DEPTH) -> DataFrame:
+def trace(edges: DataFrame, origins: DataFrame, direction: str = "precedents", depth: int = TRACE_DEPTH, ranges: DataFrame | None = None, cells: DataFrame | None = None, range_members: int = 0) -> DataFrame:
     """Nodes reached from each origin(book_id, origin) with their least depth, 0 for the origin itself.
 
     Breadth first: every round joins the frontier with the edges and drops what has been visited; at most
     TRACE_DEPTH_MOST rounds, all origins at once. The visited rows are cut off from their lineage each round.
+
+    Targets that are nodes of ranges(book_id, range, sheet, c1, c2, r1, r2) are passed through and never
+    listed: precedents go on to their filled cells(book_id, node, sheet, row, col, filled), at most
+    range_members of each range, row by row (0 follows all); dependents come from every range around a node.
     """
     from gridloom.session import checkpointed
 
@@ -139,8 +144,12 @@ def trace(edges: DataFrame, origins: DataFrame, direction: str = "precedents", d
     hops = edges.where("target is not null").select("book_id", F.col(a).alias("node"), F.col(b).alias("next")).distinct()
     visited = checkpointed(origins.select("book_id", "origin", F.col("origin").alias("node"), F.lit(0).cast("long").alias("depth")))
     for step in range(1, depth + 1):
-        frontier = visited.where(F.col("depth") == step - 1)
+        frontier = visited.where(F.col("depth") == step - 1).select("book_id", "origin", "node")
+        if ranges is not None and direction != "precedents":
+            frontier = frontier.unionByName(frontier.join(covering(frontier, ranges, cells), ["book_id", "node"]).select("book_id", "origin", F.col("range").alias("node")))
         new = frontier.join(hops, ["book_id", "node"]).select("book_id", "origin", F.col("next").alias("node")).distinct()
+        if ranges is not None and direction == "precedents":
+            new = pass_through(new, ranges, cells, range_members)
         new = new.join(visited.select("book_id", "origin", "node"), ["book_id", "origin", "node"], "left_anti")
         more = visited.unionByName(new.withColumn("depth", F.lit(step).cast("long")))
         more = checkpointed(more) if step < depth else more
@@ -150,6 +159,34 @@ def trace(edges: DataFrame, origins: DataFrame, direction: str = "precedents", d
     return visited
 
 
+def range_nodes(edges: DataFrame) -> DataFrame:
+    """The ranges that edges keep as one node: book_id, range, sheet, c1, c2, r1, r2."""
+    part = split_sheet(F.col("range"))
+    out = edges.where("kind = 'range' and not unresolved and target = range_ref").select("book_id", F.col("target").alias("range")).distinct()
+    return out.withColumns({"sheet": part["sheet"], "__r": rectangle(part["body"])}).select("book_id", "range", "sheet", "__r.*")
+
+
+def pass_through(nodes: DataFrame, ranges: DataFrame, cells: DataFrame, range_members: int = 0) -> DataFrame:
+    """nodes(book_id, origin, node) with the filled cells of each range in its place."""
+    met = ranges.join(nodes.select("book_id", F.col("node").alias("range")).distinct(), ["book_id", "range"], "left_semi")
+    members = cover(cells.where("filled"), met, ["book_id", "sheet"])
+    if range_members > 0:
+        members = members.withColumn("__n", F.row_number().over(Window.partitionBy("book_id", "range").orderBy("row", "col"))).where(F.col("__n") <= range_members)
+    members = members.select("book_id", "range", F.col("node").alias("member"))
+    plain = nodes.join(ranges.select("book_id", F.col("range").alias("node")), ["book_id", "node"], "left_anti").select("book_id", "origin", "node")
+    inside = nodes.withColumnRenamed("node", "range").join(members, ["book_id", "range"]).select("book_id", "origin", F.col("member").alias("node"))
+    return plain.unionByName(inside).distinct()
+
+
+def covering(nodes: DataFrame, ranges: DataFrame, cells: DataFrame) -> DataFrame:
+    """(book_id, node, range): the ranges around each node; a whole axis holds only cells that exist, a bounded range its blanks too."""
+    part = split_sheet(F.col("node"))
+    points = nodes.select("book_id", "node").distinct().withColumns({"sheet": part["sheet"], "__r": rectangle(part["body"])})
+    points = points.select("book_id", "node", "sheet", F.col("__r.r1").alias("row"), F.col("__r.c1").alias("col"))
+    points = points.join(cells.select("book_id", "node", F.lit(True).alias("exists")).distinct(), ["book_id", "node"], "left")
+    return cover(points, ranges, ["book_id", "sheet"]).where(F.col("exists") | ~is_whole_axis()).select("book_id", "node", "range")
+
+
 def row_adjacency(edges: DataFrame) -> DataFrame:
     """Distinct neighbours of each row, itself left out: book_id, row_key, precedents, dependents."""
     pairs = edges.where("source_row is not null and target_row is not null and source_row <> target_row").select("book_id", "source_row", "target_row").distinct()

@@ -73,6 +73,29 @@ def test_micro_book(book):
         book.observations()
 
 
+def test_trace_passes_through_large_ranges(spark, tmp_path):
+    from gridloom.plans.book import build
+    from gridloom.sources.workbook import write_book
+
+    cells = {"A1": ("Item", None), "B1": (2023, None), "D1": (0, "=SUM(B2:B101)"), "E1": (0, "=SUM(B:B)"), "F1": (0, "=D1+1")}
+    cells |= {f"A{r}": (f"Line {r}", None) for r in range(2, 102)}
+    cells |= {f"B{r}": (r, "=C2" if r == 90 else None) for r in range(2, 102) if r != 50} | {"C2": (7, None)}
+    (tmp_path / "long.xlsx").write_bytes(write_book({"S": cells}))
+    book = build(spark, str(tmp_path / "long.xlsx"))
+    at = lambda *a, **k: {r["node"]: r["depth"] for r in book.trace(*a, **k).collect()}
+    filled = {f"S!B{r}": 1 for r in range(2, 102) if r != 50}
+    assert at("S!D1") == {"S!D1": 0, **filled, "S!C2": 2}
+    assert at("S!E1") == {"S!E1": 0, "S!B1": 1, **filled, "S!C2": 2}
+    assert at("S!D1", range_members=3) == {"S!D1": 0, "S!B2": 1, "S!B3": 1, "S!B4": 1}
+    readers = {"S!D1": 1, "S!E1": 1, "S!F1": 2}
+    assert at("S!B77", "dependents") == {"S!B77": 0, **readers}
+    assert at("S!C2", "dependents") == {"S!C2": 0, "S!B90": 1, "S!D1": 2, "S!E1": 2, "S!F1": 3}
+    assert at("S!B50", "dependents") == {"S!B50": 0, "S!D1": 1, "S!F1": 2}
+    assert at("S!Z9", "dependents") == {}
+    by_label = book.trace("line 77", "dependents").where("depth > 0")
+    assert {r["node"]: r["depth"] for r in by_label.collect()} == readers
+
+
 def test_markdown(book):
     from gridloom.plans.book import context_markdown
 
