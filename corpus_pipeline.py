@@ -16,15 +16,15 @@ from gridloom.llm.mixing import mix
 from gridloom.llm.simhash import near_duplicates
 from gridloom.llm.suffix_dedup import remove_repeats
 
-#: Documents whose best cosine is under this have hardly a trigram of any learned language.
+#: Documents whose best cosine with a sketch is under this have hardly a trigram of any learned language.
 LEAST_COSINE = 0.03
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the classifier knows; lang becomes what it predicts. Null and letterless texts go."""
-    languages, prototypes = learn(docs)
+    languages, prototypes = learn(docs, sketched=True)
     columns = docs.columns
-    scored = predict(docs, languages, prototypes).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_COSINE))
+    scored = predict(docs, languages, prototypes).where((F.col("lang_pred") != UNKNOWN) & (F.col("__known") >= LEAST_COSINE))
     return scored.withColumn("lang", F.col("lang_pred")).select(*columns)
 
 

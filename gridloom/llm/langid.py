@@ -9,6 +9,11 @@ Training uses a bounded sample of labelled rows (about TRAIN_ROWS, by a hash of
 aggregated on executors, and what reaches the driver is languages x DIMENSIONS numbers. Prediction is a
 map; a worker keeps at most KEPT trigram vectors.
 
+The score of a text without a known trigram is noise of standard deviation 1 / sqrt(DIMENSIONS). To tell such
+texts, learn(sketched=True) also sums each language's trigrams, hashed with a sign to WIDTH places, twice; cosines
+with these are exact but for collisions, of deviation 1 / sqrt(WIDTH), and the lower one counts, as few trigrams
+collide in both. They take languages x 2 x WIDTH numbers to the driver.
+
 Defined cases: null text and text without a letter are `und` with score 0; other text is lower-cased, and
 every run of other characters is one space; ties go to the first language by code point; with nothing to
 learn from, every text is `und`.
@@ -23,9 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, prepare, table
+from .common import fold, mix, prepare, table
 
 DIMENSIONS = 512
+WIDTH = 1 << 15
 TRAIN_ROWS = 40_000
 KEPT = 40_000
 UNKNOWN = "und"
@@ -65,10 +71,10 @@ class Trigrams:
 
     def bundle(self, text: str | None) -> np.ndarray | None:
         """The sum of a text's trigram vectors, or null if it has no letter."""
-        grams = trigrams(text or "")
-        if grams is None:
-            return None
-        kinds, counts = np.unique(grams, return_counts=True)
+        counted = count(text)
+        return None if counted is None else self.bundle_of(*counted)
+
+    def bundle_of(self, kinds: np.ndarray, counts: np.ndarray) -> np.ndarray:
         if len(self.rows) + len(kinds) > KEPT:
             self.clear()
         out = np.zeros(self.dimensions, np.float64)
@@ -103,6 +109,19 @@ def trigrams(text: str) -> np.ndarray | None:
     return code[:-2] << 42 | code[1:-1] << 21 | code[2:]
 
 
+def count(text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
+    """A text's distinct trigrams and how often each occurs, or null if it has no letter."""
+    grams = trigrams(text or "")
+    return None if grams is None else np.unique(grams, return_counts=True)
+
+
+def sketch(kinds: np.ndarray, counts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each of two hashes, the place of each trigram among its WIDTH and its signed count, all counts together at unit length."""
+    h = mix(kinds.astype(np.uint64))
+    sides = (h & np.uint64(0xFFFFFFFF), h >> np.uint64(32))
+    return [((x % np.uint64(WIDTH)).astype(np.int64) + WIDTH * k, np.where(x >> np.uint64(31), -counts, counts) / np.linalg.norm(counts)) for k, x in enumerate(sides)]
+
+
 _MADE: list[Trigrams] = []
 
 
@@ -112,58 +131,80 @@ def maker() -> Trigrams:
     return _MADE[0]
 
 
-def learn(labelled: DataFrame, text_column: str = "text", lang_column: str = "lang", rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray]:
-    """The languages and their unit prototypes, from about so many rows of text and language."""
+def learn(labelled: DataFrame, text_column: str = "text", lang_column: str = "lang", rows: int = TRAIN_ROWS, sketched: bool = False) -> tuple[list[str], np.ndarray]:
+    """The languages and their unit prototypes, each followed by its two unit sketches if sketched, from about so many rows of text and language."""
     prepare(labelled.sparkSession)
     data = labelled.where(F.col(lang_column).isNotNull() & F.col(text_column).isNotNull()).select(F.col(text_column).alias("text"), F.col(lang_column).alias("lang"))
     share = min(1.0, rows / max(1, data.count()))
     if share < 1:
         data = data.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000))
 
+    size = DIMENSIONS + 2 * WIDTH * sketched
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         made = maker()
         for b in batches:
             for text, lang in zip(b.column("text").to_pylist(), b.column("lang").to_pylist(), strict=True):
-                v = made.bundle(text)
-                if v is not None and (n := np.linalg.norm(v)):
-                    sums[lang] = sums.get(lang, 0) + v / n
+                counted = count(text)
+                if counted is not None and (n := np.linalg.norm(v := made.bundle_of(*counted))):
+                    if lang not in sums:
+                        sums[lang] = np.zeros(size)
+                    sums[lang][:DIMENSIONS] += v / n
+                    if sketched:
+                        for at, x in sketch(*counted):
+                            np.add.at(sums[lang], DIMENSIONS + at, x)
         for lang, v in sums.items():
-            yield pa.record_batch([pa.array([lang] * len(v)), pa.array(np.arange(len(v), dtype=np.int32)), pa.array(v)], names=["lang", "i", "v"])
+            some = np.flatnonzero(v).astype(np.int32)
+            yield pa.record_batch([pa.array([lang] * len(some), pa.string()), pa.array(some), pa.array(v[some])], names=["lang", "i", "v"])
 
     sums = data.mapInArrow(run, "lang string, i int, v double").groupBy("lang", "i").agg(F.round(F.sum("v"), 6).alias("v"))
-    per = sums.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("x")).limit(LANGUAGES_AT_MOST + 1).collect()
+    per = sums.groupBy("lang").agg(F.collect_list(F.struct("i", "v")).alias("x")).select("lang", "x.i", "x.v").limit(LANGUAGES_AT_MOST + 1).collect()
     if len(per) > LANGUAGES_AT_MOST:
         raise ValueError(f"more than {LANGUAGES_AT_MOST} languages")
     per = sorted(per, key=lambda r: r["lang"])
-    protos = np.array([[y["v"] for y in r["x"]] for r in per]) if per else np.zeros((0, DIMENSIONS))
-    return [r["lang"] for r in per], protos / np.maximum(np.linalg.norm(protos, axis=1, keepdims=True), 1e-12)
+    protos = np.zeros((len(per), size))
+    for k, r in enumerate(per):
+        protos[k, r["i"]] = r["v"]
+    for part in np.split(protos, [DIMENSIONS, DIMENSIONS + WIDTH], axis=1):
+        part /= np.maximum(np.linalg.norm(part, axis=1, keepdims=True), 1e-12)
+    return [r["lang"] for r in per], protos
 
 
 def predict(docs: DataFrame, languages: list[str], prototypes: np.ndarray, text_column: str = "text") -> DataFrame:
-    """Adds lang_pred and score (the cosine, 0 to 1) to each row; columns with these names are replaced."""
+    """Adds lang_pred and score (the cosine, 0 to 1) to each row; columns with these names are replaced.
+
+    With sketches after the prototypes, also __known: the largest cosine with a language by its sketches.
+    """
     prepare(docs.sparkSession)
     from pyspark.sql import types as T
 
     docs = docs.drop("lang_pred", "score")
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    protos = prototypes.astype(np.float64)
+    protos, sketches = prototypes[:, :DIMENSIONS].astype(np.float64), prototypes[:, DIMENSIONS:].astype(np.float32)
+    sketched = sketches.shape[1] > 0
+    if sketched:
+        schema = schema.add("__known", T.DoubleType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = maker()
         for b in batches:
-            lang, score = [], []
+            lang, score, known = [], [], []
             for text in b.column(text_column).to_pylist():
-                v = made.bundle(text) if languages else None
-                if v is None or not (n := np.linalg.norm(v)):
+                counted = count(text) if languages else None
+                if counted is None or not (n := np.linalg.norm(v := made.bundle_of(*counted))):
                     lang.append(UNKNOWN)
                     score.append(0.0)
+                    known.append(0.0)
                     continue
                 cosine = protos @ v / n
                 k = int(np.argmax(cosine))
                 lang.append(languages[k])
                 score.append(float(min(1.0, max(0.0, cosine[k]))))
-            yield pa.record_batch([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
+                if sketched:
+                    known.append(float(np.minimum(*(sketches[:, at] @ x for at, x in sketch(*counted))).max()))
+            more = {"__known": pa.array(known, pa.float64())} if sketched else {}
+            yield pa.record_batch([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), *more.values()], names=[*b.schema.names, "lang_pred", "score", *more])
 
     return docs.mapInArrow(run, schema)
 

@@ -369,6 +369,19 @@ def test_pipeline_stages(spark, rows, tmp_path):
     assert cp.ORACLE_SQL is None and isinstance(docs.schema, T.StructType)
 
 
+def test_unseen_scripts_are_rejected(spark, rows):
+    import corpus_pipeline as cp
+
+    rng = random.Random(5)
+    odd = []
+    for i in range(400):
+        base = rng.choice([0x0905, 0x0E01, 0x10D0, 0x4E00, 0xAC00])
+        odd.append((1000 + i, " ".join("".join(chr(base + rng.randrange(30)) for _ in range(rng.randint(1, 8))) for _ in range(rng.randint(1, 60))), None, "x", 0))
+    known = [r for r in rows if r[0] is not None and r[0] < 60]
+    got = {r["doc_id"] for r in cp.language_id(spark, spark.createDataFrame(known + odd, DOCS), "").collect()}
+    assert got == {r[0] for r in known}
+
+
 def test_pipeline_of_an_empty_table(spark, none, tmp_path):
     import corpus_pipeline as cp
 
