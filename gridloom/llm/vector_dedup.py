@@ -15,7 +15,8 @@ never the pairs. In high dimensions with weak leading directions nearly all bloc
 is quadratic (vectors^2 / 2 products) though still without pairs in any shuffle.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components link with nothing;
-vectors of different lengths never link; copies link with each other; a null vec_id is kept.
+vectors of different lengths never link; copies link with each other; a null vec_id is kept, and links
+like any other; component_id is the least vec_id of a component, or null if all of its are null.
 """
 
 from __future__ import annotations
@@ -131,7 +132,7 @@ def near_vectors(vectors: DataFrame, id_column: str = "vec_id", column: str = "e
     """(vec_id, n_links, component_id, kept) for each row of vectors."""
     spark = prepare(vectors.sparkSession)
     rows = cut(keyed(vectors, id_column, column))
-    reps = cut(rows.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("v").alias("v")))
+    reps = cut(rows.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.first("v").alias("v")).withColumn("rep", F.monotonically_increasing_id()))
     n = reps.count()
     share = min(1.0, SAMPLE / max(1, n))
     sample = [r.v for r in reps.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < int(share * 1_000_000)).select("v").limit(2 * SAMPLE).collect()]
@@ -185,8 +186,10 @@ def near_vectors(vectors: DataFrame, id_column: str = "vec_id", column: str = "e
     found = cut(placed.join(member, "block").groupBy("a", "b").applyInArrow(compare, "rep long, links long, root long"))
     groups = components(found.select(F.col("rep").alias("src"), F.col("root").alias("dst")))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    facts = reps.select("key", "rep", "copies").join(links, "rep", "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
-    facts = facts.select("key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("label", "rep").alias("component_id"))
+    facts = reps.select("key", "rep", "least", "copies").join(links, "rep", "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
+    facts = cut(facts.withColumn("label", F.coalesce("label", "rep")))
+    facts = facts.join(facts.groupBy("label").agg(F.min("least").alias("component_id")), "label")
+    facts = facts.select("key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
     out = rows.select("vec_id", "key").join(facts, "key", "left")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 

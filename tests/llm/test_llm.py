@@ -167,6 +167,17 @@ def test_vectors_equal_brute_force(spark, block):
     assert near_vectors(frame.limit(0)).count() == 0
 
 
+def test_vectors_with_null_and_repeated_ids(spark):
+    from gridloom.llm.vector_dedup import near_vectors
+
+    x, y, z, w = [1.0, 0.0, 0.0], [1.0, 0.1, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
+    rows = [(None, x), (9, y), (4, z), (4, w), (None, [0.1, 0.0, 1.0]), (7, [0.0, 1.0, 0.1]), (None, [1.0, 1.0, 1.0]), (None, [2.0, 2.0, 2.0])]
+    got = near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    key = lambda r: tuple(-1 if v is None else v for v in r)
+    want = [(None, 1, 9, True), (9, 1, 9, True), (4, 1, 4, True), (4, 1, 4, True), (None, 1, 4, True), (7, 1, 4, False), (None, 1, None, True), (None, 1, None, True)]
+    assert sorted(map(key, got)) == sorted(map(key, want))
+
+
 def test_language_of_held_out_documents(docs, rows, none):
     from gridloom.llm.langid import identify
 
