@@ -6,14 +6,14 @@ every stage but the last returns. Extra columns travel along.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm.bpe import FILE, encode_decode
 from gridloom.llm.common import cut, table
 from gridloom.llm.langid import UNKNOWN, learn, predict
 from gridloom.llm.mixing import mix
-from gridloom.llm.simhash import near_duplicates
+from gridloom.llm.simhash import firsts
 from gridloom.llm.suffix_dedup import remove_repeats
 
 #: Documents whose best cosine with a sketch is under this have hardly a trigram of any learned language.
@@ -29,12 +29,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each group of near copies; documents without an id stay."""
-    keep = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    rows = docs.where("doc_id is not null").join(keep, F.col("doc_id") == F.col("__keep"), "left_semi")
-    once = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(1))
-    rows = rows.withColumn("__n", F.row_number().over(once)).where("__n = 1").drop("__n")
-    return rows.union(docs.where("doc_id is null"))
+    """One document of each group of near copies: that of least id (one without an id only where none has one), then text hash."""
+    keep = firsts(docs).toDF("__no_id", "__id", "__text")
+    keys = {"__no_id": F.col("doc_id").isNull(), "__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "__text": F.xxhash64("text")}
+    rows = docs.withColumns(keys).dropDuplicates(list(keys))
+    return rows.join(keep, list(keys), "left_semi").select(*docs.columns)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

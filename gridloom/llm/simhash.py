@@ -56,15 +56,15 @@ def fingerprint(text: bytes) -> int:
 
 
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id long, fp long): the fingerprint, as a signed long, of every whole text."""
+    """(doc_id long, text_hash long, fp long): the fingerprint, as a signed long, of every whole text."""
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.array([fingerprint(x) for x in texts_of(b)], np.uint64).view(np.int64)
-            yield pa.record_batch([b.column("doc_id").cast(pa.int64()), pa.array(fp)], names=["doc_id", "fp"])
+            yield pa.record_batch([b.column("doc_id").cast(pa.int64()), b.column("text_hash"), pa.array(fp)], names=["doc_id", "text_hash", "fp"])
 
-    return docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(id_column).alias("doc_id"), F.xxhash64(text_column).alias("text_hash"), F.col(text_column).alias("text")).mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 def postings(distinct: DataFrame, longest: int = LIST) -> DataFrame:
@@ -131,18 +131,28 @@ def links(distinct: DataFrame, longest: int = LIST) -> DataFrame:
     return grouped.repartition(parts, "k", "i", "j").sortWithinPartitions("k", "i", "j").mapInArrow(run, "src long, dst long")
 
 
+def labels(same: DataFrame) -> DataFrame:
+    """Adds label, one for each component of links, to rows of distinct fp."""
+    found = components(links(same.select("fp")))
+    return cut(same.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp")))
+
+
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, fp, component_id): fingerprint and smallest id reachable by links, for every row of docs."""
-    fps = cut(fingerprints(docs, id_column, text_column))
-    same = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    found = components(links(same.select("fp")))
-    least = same.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    least = cut(least)
+    fps = cut(fingerprints(docs, id_column, text_column).drop("text_hash"))
+    least = labels(cut(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))))
     lowest = least.groupBy("label").agg(F.min("rep").alias("component_id"))
     of = least.join(lowest, "label").select("fp", "component_id")
     return fps.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
+def firsts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(no_id, doc_id, text_hash): the first of each component of near copies; rows without an id (doc_id 0) come last."""
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "text_hash")
+    least = labels(cut(fingerprints(docs, id_column, text_column).groupBy("fp").agg(F.min(key).alias("key"))))
+    return least.groupBy("label").agg(F.min("key").alias("key")).select("key.*")
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -393,6 +393,16 @@ def test_unseen_scripts_are_rejected(spark, rows):
     assert got == {r[0] for r in known}
 
 
+def test_one_document_of_each_group_stays(spark):
+    import corpus_pipeline as cp
+
+    a, b, c = (" ".join(random.Random(k).choices("abcdefghijkl", k=80)) for k in range(3))
+    rows = [(None, a), (None, a), (None, a.upper()), (5, b), (None, b), (7, c), (7, c.upper()), (7, c)]
+    docs = spark.createDataFrame([(i, t, "en", "x", 0) for i, t in rows], DOCS).repartition(3)
+    got = [(r["doc_id"], r["text"].lower()) for r in cp.simhash_near_dedup(spark, docs, "").collect()]
+    assert sorted(got, key=str) == sorted([(None, a), (5, b), (7, c)], key=str)
+
+
 def test_pipeline_of_an_empty_table(spark, none, tmp_path):
     import corpus_pipeline as cp
 
