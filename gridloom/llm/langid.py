@@ -5,9 +5,8 @@ its letters' vectors, permuted by their place (a roll) and multiplied; a documen
 of all its trigrams; a language's prototype bundles its training documents at unit length. A document takes
 the language whose prototype has the largest cosine with it.
 
-Training uses a bounded sample of labelled rows (about TRAIN_ROWS, by a hash of the text); its sums are
-aggregated on executors, and what reaches the driver is languages x DIMENSIONS numbers. Prediction is a
-map; a worker keeps at most KEPT trigram vectors.
+Training bundles all labelled rows; its sums are aggregated on executors, and what reaches the driver is
+languages x DIMENSIONS numbers. Prediction is a map; a worker keeps at most KEPT trigram vectors.
 
 The score of a text without a known trigram is noise of standard deviation 1 / sqrt(DIMENSIONS). To tell such
 texts, learn(sketched=True) also sums each language's trigrams, hashed with a sign to WIDTH places, twice; cosines
@@ -32,7 +31,6 @@ from .common import fold, mix, prepare, table
 
 DIMENSIONS = 512
 WIDTH = 1 << 15
-TRAIN_ROWS = 40_000
 KEPT = 40_000
 UNKNOWN = "und"
 LANGUAGES_AT_MOST = 10_000
@@ -131,13 +129,10 @@ def maker() -> Trigrams:
     return _MADE[0]
 
 
-def learn(labelled: DataFrame, text_column: str = "text", lang_column: str = "lang", rows: int = TRAIN_ROWS, sketched: bool = False) -> tuple[list[str], np.ndarray]:
-    """The languages and their unit prototypes, each followed by its two unit sketches if sketched, from about so many rows of text and language."""
+def learn(labelled: DataFrame, text_column: str = "text", lang_column: str = "lang", sketched: bool = False) -> tuple[list[str], np.ndarray]:
+    """The languages and their unit prototypes, each followed by its two unit sketches if sketched, from all rows with a text and a language."""
     prepare(labelled.sparkSession)
     data = labelled.where(F.col(lang_column).isNotNull() & F.col(text_column).isNotNull()).select(F.col(text_column).alias("text"), F.col(lang_column).alias("lang"))
-    share = min(1.0, rows / max(1, data.count()))
-    if share < 1:
-        data = data.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000))
 
     size = DIMENSIONS + 2 * WIDTH * sketched
 

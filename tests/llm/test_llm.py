@@ -191,6 +191,14 @@ def test_language_of_held_out_documents(docs, rows, none):
     assert identify(none).count() == 0
 
 
+def test_a_rare_language_is_learned_from_a_large_table(spark):
+    from gridloom.llm.langid import learn
+
+    few = spark.createDataFrame([(f"zażółć gęślą jaźń {i}", "pl") for i in range(3)], "text string, lang string")
+    many = spark.range(120_000).select(F.concat(F.lit("the ring "), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"))
+    assert learn(few.union(many))[0] == ["en", "pl"]
+
+
 def plain_fingerprint(text):
     words = WORD.findall((text or "").encode().lower())
     grams = [b" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
