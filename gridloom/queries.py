@@ -286,6 +286,23 @@ def trace_dependents(spark, d):
     return graph.trace(functional(spark, d), origins, "dependents", 4).select("origin", "node", "depth")
 
 
+def every_part(spark, d, direction: str) -> DataFrame:
+    origins = table(spark, d, "part").select(F.lit("parts").alias("book_id"), F.col("p_partkey").cast("string").alias("origin"))
+    return graph.trace(functional(spark, d), origins, direction).select("origin", "node", "depth")
+
+
+@query()
+def trace_precedents_all(spark, d):
+    """trace_precedents from every part, at the default depth."""
+    return every_part(spark, d, "precedents")
+
+
+@query()
+def trace_dependents_all(spark, d):
+    """trace_dependents from every part, at the default depth."""
+    return every_part(spark, d, "dependents")
+
+
 @query("""WITH e AS (SELECT DISTINCT user_id, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS s, CAST(floor(epoch(ts) / 3600) AS BIGINT) + event_id % 5 AS e FROM events),
 m AS (SELECT *, CASE WHEN s > max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 1 ELSE 0 END AS b FROM e),
 g AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS i FROM m)

@@ -73,6 +73,24 @@ def test_micro_book(book):
         book.observations()
 
 
+@pytest.mark.parametrize("direction", ["precedents", "dependents"])
+def test_traces_of_all_parts_equal_a_plain_search(spark, db, direction):
+    keys = [k for (k,) in db.execute("SELECT p_partkey FROM part").fetchall()]
+    nexts = {}
+    for k in keys:
+        a, b = (k, (k * k + 3) % len(keys)) if direction == "precedents" else ((k * k + 3) % len(keys), k)
+        nexts.setdefault(a, set()).add(b)
+    want = set()
+    for k in keys:
+        seen, edge = {k}, {k}
+        for depth in range(9):
+            want |= {(str(k), str(n), depth) for n in edge}
+            edge = {t for n in edge for t in nexts.get(n, ())} - seen
+            seen |= edge
+    got = own.QUERIES[f"trace_{direction}_all"](spark, SF).collect()
+    assert len(got) == len(want) and {(r["origin"], r["node"], r["depth"]) for r in got} == want
+
+
 def test_trace_passes_through_large_ranges(spark, tmp_path):
     from gridloom.plans.book import build
     from gridloom.sources.workbook import write_book
