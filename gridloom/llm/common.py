@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Callable
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -14,11 +17,15 @@ from gridloom.session import ship
 #: A word of the text operators: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 MASK64 = (1 << 64) - 1
+#: Rows of an Arrow batch at most: a Python worker holds a few batches of whole texts.
+BATCH_ROWS = 2000
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Make checkpoints possible: the shared folder named by the session, or a local one where none is set."""
+    """Make checkpoints possible (in the shared folder named by the session, or a local one where none is set), and keep Arrow batches small."""
     ship(spark)
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
@@ -32,6 +39,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def saved(df: DataFrame) -> DataFrame:
+    """The same rows, written as Parquet in the shared checkpoint folder: compressed, read by column, with no partitioning
+    kept, so that a join shuffles both sides and AQE can split hot keys."""
+    spark = prepare(df.sparkSession)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_HELD: dict[Any, Any] = {}
+
+
+def held(key: Any, make: Callable[[], Any]) -> Any:
+    """What make() returned for the key in this worker; only the last key's is kept, so that a stage leaves nothing to the next but one thing."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -61,31 +88,27 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node reachable from each node of edges(src long, dst long).
 
-    Alternates large-star and small-star steps; every round is an aggregation and a join by node, so no
-    component is ever gathered in one place. Loops and repeated edges are fine; nodes without edges are
-    not in the result. Empty edges give an empty result. Raises if the rounds run out.
+    Alternates large-star and small-star steps until nothing changes (a number of rounds in the order of the
+    logarithm of the longest path). Every round is an aggregation with partial sums and a join by node whose
+    two sides are plain shuffles, so AQE splits the rows of a hub; no component is ever gathered in one place.
+    Loops and repeated edges are fine; nodes without edges are not in the result. Empty edges give an empty result.
     """
-    pairs = cut(
+    pairs = saved(
         edges.where("src <> dst").select(F.greatest("src", "dst").alias("v"), F.least("src", "dst").alias("m")).distinct()
     )
-    seen = _sum(pairs)
-    for _ in range(rounds if seen[0] else 0):
+    seen, now = (0, 0), _sum(pairs)
+    while now != seen:
+        seen = now
         both = pairs.union(pairs.select("m", "v")).toDF("u", "w")
-        low = both.groupBy("u").agg(F.least(F.min("w"), F.col("u")).alias("low"))
-        large = both.join(low, "u").where("w > u").select(F.col("w").alias("v"), F.col("low").alias("m")).distinct()
-        low = large.groupBy("v").agg(F.min("m").alias("low"))
+        low = saved(both.groupBy("u").agg(F.least(F.min("w"), F.col("u")).alias("low")))
+        large = saved(both.join(low, "u").where("w > u").select(F.col("w").alias("v"), F.col("low").alias("m")).distinct())
+        low = saved(large.groupBy("v").agg(F.min("m").alias("low")))
         small = large.join(low, "v").select(F.explode(F.array(F.struct("v", F.col("low").alias("m")), F.struct(F.col("m").alias("v"), F.col("low").alias("m")))).alias("e")).select("e.*").where("v <> m")
-        pairs = cut(small.distinct())
+        pairs = saved(small.distinct())
         now = _sum(pairs)
-        if now == seen:
-            break
-        seen = now
-    else:
-        if seen[0]:
-            raise RuntimeError(f"components have not settled after {rounds} rounds")
     own = pairs.select(F.col("m").alias("node"), F.col("m").alias("label")).distinct()
     return pairs.select(F.col("v").alias("node"), F.col("m").alias("label")).union(own)
 
@@ -116,13 +139,17 @@ def windows_hash(data: np.ndarray, width: int) -> np.ndarray:
 
 _R = 0x9E3779B97F4A7C15
 _POWERS: list[np.ndarray] = []
+_POWERS_KEPT = 1 << 18
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the odd base and of its inverse modulo 2^64, at least n of each; the arrays are kept by the worker."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, 1 << 17)
-        with np.errstate(over="ignore"):
-            make = lambda r: np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, r & MASK64, np.uint64)]).astype(np.uint64), dtype=np.uint64)
-            _POWERS[:] = [make(_R), make(pow(_R, -1, 1 << 64))]
-    return _POWERS[0], _POWERS[1]
+    """Powers of the odd base and of its inverse modulo 2^64, at least n of each; the worker keeps those of usual texts."""
+    if _POWERS and len(_POWERS[0]) >= n:
+        return _POWERS[0], _POWERS[1]
+    size = max(n, _POWERS_KEPT)
+    with np.errstate(over="ignore"):
+        make = lambda r: np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, r & MASK64, np.uint64)]).astype(np.uint64), dtype=np.uint64)
+        made = make(_R), make(pow(_R, -1, 1 << 64))
+    if size == _POWERS_KEPT:
+        _POWERS[:] = made
+    return made

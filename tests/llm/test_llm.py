@@ -322,20 +322,85 @@ def plain_removal(texts, length=400):
     return out
 
 
-@pytest.mark.parametrize("hot", [20_000, 1])
-def test_suffix_dedup_equals_brute_force(docs, rows, spark, none, hot):
-    from gridloom.llm.suffix_dedup import digests
-
+def repeated_rows(rows):
     rng = random.Random(9)
     line = "".join(rng.choice("abcd ") for _ in range(700))
     more = [(200 + i, "".join(rng.choice("abc") for _ in range(30)) + line[i : 500 + 3 * i] + "é" + line[:399], "en", "a", 0) for i in range(20)] + [(300, "ab" * 230, "en", "a", 0), (301, "abc" * 150, "en", "a", 0)]
-    every = rows + more
-    got = digests(spark.createDataFrame(every, DOCS).repartition(3), hot=hot).collect()
+    more += [(310 + i, "".join(rng.choice("xyz") for _ in range(300)) + line[100:540] + "".join(rng.choice("xyz") for _ in range(300)), "en", "a", 0) for i in range(12)]
+    return rows + more
+
+
+@pytest.mark.parametrize("shard", [1_500_000, 1500])
+def test_suffix_dedup_equals_brute_force(rows, spark, none, shard):
+    from gridloom.llm.suffix_dedup import digests
+
+    every = repeated_rows(rows)
+    got = digests(spark.createDataFrame(every, DOCS).withColumn("t", F.lit(1)).withColumn("spans", F.lit("x")).repartition(3), shard=shard).collect()
     expect = sorted((str(r[0]), *x) for r, x in zip(every, plain_removal([(r[1] or "").encode() for r in every]), strict=True))
     assert sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == expect
     assert digests(none).count() == 0
 
 
+def plain_passages(texts, length, words):
+    """Each text without its maximal runs of repeated windows that hold more than so many words; the bytes that go."""
+    seen = {}
+    for t in texts:
+        for i in range(len(t) - length + 1):
+            seen[t[i : i + length]] = seen.get(t[i : i + length], 0) + 1
+    out = []
+    for t in texts:
+        gone, i = set(), 0
+        while i <= len(t) - length:
+            j = i
+            while j <= len(t) - length and seen[t[j : j + length]] > 1:
+                j += 1
+            if j > i and len(t[i : j - 1 + length].split()) > words:
+                gone.update(range(i, j - 1 + length))
+            i = j + 1
+        out.append((bytes(b for k, b in enumerate(t) if k not in gone).decode(errors="ignore"), len(gone)))
+    return out
+
+
+@pytest.mark.parametrize("shard", [1_500_000, 700])
+def test_passages_equal_brute_force(rows, spark, none, shard):
+    from gridloom.llm.suffix_dedup import PASSAGE, WORDS, digests, remove_repeats
+
+    rng = random.Random(4)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9))) for _ in range(n))
+    shared = [words(52), words(55), words(45), words(300)]
+    every = repeated_rows(rows) + [(400 + i, f"{words(rng.randint(1, 40))} {shared[i % 4]} {words(rng.randint(1, 40))}", "en", "a", 0) for i in range(24)]
+    docs = spark.createDataFrame(every, DOCS).withColumn("z", F.col("n_chars")).repartition(3)
+    expect = plain_passages([(r[1] or "").encode() for r in every], PASSAGE, WORDS)
+    got = remove_repeats(docs, shard=shard)
+    assert got.columns == docs.columns
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in got.collect()) == sorted((str(r[0]), str(x if r[1] is not None else None)) for r, (x, _) in zip(every, expect, strict=True))
+    assert sorted((str(r["doc_id"]), r["passage_bytes"]) for r in digests(docs, shard=shard).collect()) == sorted((str(r[0]), n) for r, (_, n) in zip(every, expect, strict=True))
+    assert remove_repeats(none).count() == 0
+
+
+def test_many_equal_rows_are_quick(spark):
+    import time
+
+    from gridloom.llm.suffix_dedup import digests
+
+    rng = random.Random(3)
+    text = "".join(rng.choice("abcdefghij ") for _ in range(6000))
+    docs = spark.createDataFrame([(None, text, "en", "a", 0)] * 4000 + [(i, text[i : i + 3000] + str(i), "en", "a", 0) for i in range(50)], DOCS)
+    start = time.time()
+    got = digests(docs).groupBy("n_bytes", "n_removed").count().collect()
+    assert {(r["n_bytes"], r["n_removed"], r["count"]) for r in got if r["n_bytes"] == 6000} == {(6000, 6000, 4000)}
+    assert time.time() - start < 60
+
+
+def test_a_very_long_text(spark):
+    from gridloom.llm.suffix_dedup import digests
+
+    rng = np.random.default_rng(8)
+    long = rng.integers(97, 123, 3_000_000, dtype=np.uint8).tobytes().decode()
+    got = by_id(digests(spark.createDataFrame([(1, long + long[:1000], "en", "a", 0), (2, "ab" * 100_000, "en", "a", 0)], DOCS)))
+    assert (got[1]["n_removed"], got[1]["n_spans"], got[2]["n_removed"]) == (2000, 2, 200_000)
+
+
 def test_token_counts_equal_a_plain_viterbi(docs, rows, none):
     from gridloom.llm.token_counts import FILE, NORMAL, PENALTY, SPACE, read_vocabulary, token_counts
 
