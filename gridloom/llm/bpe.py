@@ -7,9 +7,9 @@ leftmost pair of minimum rank, and goes on until no word has a pair left. The id
 words in order; decoding joins ids with the vocabulary and aggregates their bytes ordered by position.
 
 The merge table is read by the driver from the tokenizer's rank file (a parameter) and sent with the task:
-its size is the vocabulary's, never the data's. Words longer than LONGEST bytes would need as many rounds
-as merges over rows as many as bytes, which is quadratic; they are merged by a heap with the same rule.
-A worker's memory holds one Arrow batch, the merge table and at most KEPT words.
+its size is the vocabulary's, never the data's. Words longer than LONGEST bytes take a form of the query that joins
+all of a word's pairs of least rank in one round, so that rounds grow with the kinds of tokens met and not with bytes.
+A worker's memory holds one Arrow batch, the merge table, at most KEPT words and the rows of one query.
 
 Defined cases: null text is empty; empty text has no tokens and the digests of empty bytes; rows repeat
 freely; ids do not depend on batch or partition, since words are independent.
@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +30,8 @@ from .common import prepare, table
 
 LONGEST = 64
 KEPT = 500_000
+PIECE_BYTES = 1_000_000  # of the words of one query; a longer word is a query of its own
+STEP_ROWS = 8_000_000  # of the rounds of one query for long words
 FILE = "byte_bpe_50k.tiktoken"
 
 #: One round: neighbouring tokens of each word meet the merge table; the leftmost pair of least rank is joined.
@@ -40,20 +41,45 @@ WITH RECURSIVE tokens(w, i, t, open) AS (
     SELECT w, i, t, true FROM pieces
   UNION ALL
     (WITH pairs AS (
-        SELECT w, i, t, m.id, m.rank, next_i FROM
+        SELECT w, i, t, m.rank, next_i FROM
         (SELECT w, i, t, lead(t) OVER o AS r, lead(i) OVER o AS next_i FROM tokens WHERE open WINDOW o AS (PARTITION BY w ORDER BY i)) a
         LEFT JOIN merges m ON m.l = a.t AND m.r = a.r
      ), best AS (
-        SELECT w, min((rank::BIGINT << 32) | (i << 16) | next_i) AS x, arg_min(id, (rank::BIGINT << 32) | (i << 16)) AS joined
-        FROM pairs WHERE id IS NOT NULL GROUP BY w
+        SELECT w, min((rank::BIGINT << 32) | (i << 16) | next_i) AS x FROM pairs WHERE rank IS NOT NULL GROUP BY w
      )
-     SELECT p.w, p.i, CASE WHEN p.i = ((x >> 16) & 65535) THEN b.joined ELSE p.t END, x IS NOT NULL
+     SELECT p.w, p.i, CASE WHEN p.i = ((x >> 16) & 65535) THEN (x >> 32)::INT ELSE p.t END, x IS NOT NULL
      FROM pairs p LEFT JOIN best b ON b.w = p.w
      WHERE x IS NULL OR p.i <> (x & 65535))
 )
 SELECT w, list(t ORDER BY i) AS ids FROM tokens WHERE NOT open GROUP BY w
 """
 
+#: The same for long words, whose single joins would take as many rounds as they have bytes: a round joins all of a
+#: word's pairs of least rank, from the left, those that overlap a joined one left out. Where the joined token could
+#: form a pair of lower rank (alone) only the leftmost is joined; where it cannot, single joins would take the others
+#: next all the same. Words that are still open after the last step come back as they are, to go on from there.
+CONTRACT_LONG = """
+WITH RECURSIVE tokens(w, i, t, open, step) AS (
+    SELECT w, i, t, true, 0 FROM pieces
+  UNION ALL
+    (WITH pairs AS (
+        SELECT w, i, t, step, m.rank, m.alone, min(m.rank) OVER (PARTITION BY w) AS least FROM
+        (SELECT w, i, t, step, lead(t) OVER (PARTITION BY w ORDER BY i) AS r FROM tokens WHERE open AND step < {steps}) a
+        LEFT JOIN merges m ON m.l = a.t AND m.r = a.r
+     ), runs AS (
+        SELECT *, coalesce(rank = least, false) AS hit, row_number() OVER o AS k,
+            max(CASE WHEN rank = least THEN NULL ELSE i END) OVER o AS miss, min(CASE WHEN rank = least THEN i END) OVER (PARTITION BY w) AS leftmost
+        FROM pairs WINDOW o AS (PARTITION BY w ORDER BY i ROWS UNBOUNDED PRECEDING)
+     ), chosen AS (
+        SELECT w, i, t, step, least, hit AND CASE WHEN alone THEN i = leftmost ELSE (row_number() OVER (PARTITION BY w, miss ORDER BY i) + (miss IS NULL)::INT) % 2 = 0 END AS joined FROM runs
+     ), kept AS (
+        SELECT *, lag(joined) OVER (PARTITION BY w ORDER BY i) AS gone FROM chosen
+     )
+     SELECT w, i, CASE WHEN joined THEN least ELSE t END, least IS NOT NULL, step + 1 FROM kept WHERE gone IS NOT TRUE)
+)
+SELECT w, list(i ORDER BY i), list(t ORDER BY i), bool_or(open) FROM tokens WHERE NOT open OR step = {steps} GROUP BY w
+"""
+
 DECODE = """
 SELECT w, string_agg(v.hex, '' ORDER BY p.i) AS hex
 FROM (SELECT w, unnest(ids) AS t, unnest(range(len(ids))) AS i FROM coded) p JOIN vocabulary v ON v.id = p.t
@@ -67,28 +93,6 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The ids of one word by a heap of pairs: least rank first, leftmost first."""
-    part = [word[i : i + 1] for i in range(len(word))]
-    left, right = list(range(-1, len(part) - 1)), list(range(1, len(part) + 1))
-    heap = [(r, i, 2) for i in range(len(part) - 1) if (r := ranks.get(part[i] + part[i + 1])) is not None]
-    heapq.heapify(heap)
-    while heap:
-        _, i, n = heapq.heappop(heap)
-        j = right[i] if part[i] else len(part)
-        if not part[i] or j >= len(part) or len(part[i]) + len(part[j]) != n:
-            continue
-        part[i] += part[j]
-        part[j] = b""
-        right[i] = right[j]
-        if right[i] < len(part):
-            left[right[i]] = i
-        for a, b in ((left[i], i), (i, right[i])):
-            if a >= 0 and b < len(part) and (r := ranks.get(part[a] + part[b])) is not None:
-                heapq.heappush(heap, (r, a, len(part[a]) + len(part[b])))
-    return [ranks[p] for p in part if p]
-
-
 class Codec:
     """A worker's DuckDB session with the merge table, and the words that it has coded."""
 
@@ -101,10 +105,15 @@ class Codec:
         self.byte = np.array([ranks[bytes([i])] for i in range(256)])
         self.words: dict[str, tuple[str, int, bytes]] = {}
         self.old: dict[str, tuple[str, int, bytes]] = {}
-        self.db = duckdb.connect(":memory:", config={"threads": "1", "memory_limit": "600MB"})
-        merges = [(ranks[t[:k]], ranks[t[k:]], r, r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
+        # nothing is spilled: PIECE_BYTES and STEP_ROWS bound what a query holds
+        self.db = duckdb.connect(":memory:", config={"threads": "1", "memory_limit": "600MB", "temp_directory": ""})
+        merges = [(ranks[t[:k]], ranks[t[k:]], r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
+        least: dict[int, int] = {}
+        for left, right, r in merges:
+            least[left], least[right] = min(r, least.get(left, r)), min(r, least.get(right, r))
         columns = list(zip(*merges, strict=True))
-        m = pa.table({n: pa.array(c, pa.int32()) for n, c in zip(("l", "r", "id", "rank"), columns, strict=True)})
+        m = pa.table({n: pa.array(c, pa.int32()) for n, c in zip(("l", "r", "rank"), columns, strict=True)})
+        m = m.append_column("alone", pa.array([least.get(r, r + 1) < r for *_, r in merges]))
         v = pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "hex": [t.hex() for t in ranks]})
         for name, data in (("merges", m), ("vocabulary", v)):
             self.db.register("x", data)
@@ -115,17 +124,23 @@ class Codec:
         """Codes words, decodes their ids again, and keeps both."""
         raw = [w.encode() for w in words]
         ids: list[list[int]] = [[]] * len(raw)
-        short = [k for k, w in enumerate(raw) if len(w) <= self.longest]
-        for k, w in enumerate(raw):
-            if len(w) > self.longest:
-                ids[k] = merge_long(w, self.ranks)
-        for at in range(0, len(short), 50_000):
-            part = short[at : at + 50_000]
-            size = np.array([len(raw[k]) for k in part])
-            place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            token = self.byte[np.frombuffer(b"".join([raw[k] for k in part]), np.uint8)]
-            for k, got in self._query("pieces", [pa.array(c.astype(np.int32)) for c in (np.repeat(part, size), place, token)], ["w", "i", "t"], CONTRACT):
-                ids[k] = got
+        for some, sql in (([k for k, w in enumerate(raw) if len(w) <= self.longest], CONTRACT), ([k for k, w in enumerate(raw) if len(w) > self.longest], CONTRACT_LONG)):
+            while some:
+                ends = np.cumsum([len(raw[k]) for k in some])
+                n = max(1, int(np.searchsorted(ends, PIECE_BYTES, "right")))
+                part, some = some[:n], some[n:]
+                size = np.array([len(raw[k]) for k in part])
+                place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                token = self.byte[np.frombuffer(b"".join([raw[k] for k in part]), np.uint8)]
+                rows = [pa.array(c.astype(np.int32)) for c in (np.repeat(part, size), place, token)]
+                while rows:
+                    steps = max(4, STEP_ROWS // len(rows[0]))
+                    got, rows = self._query("pieces", rows, ["w", "i", "t"], sql.format(steps=steps)), []
+                    open_ = [x for x in got if len(x) > 2 and x[3]]
+                    for x in got:
+                        ids[x[0]] = x[-1] if len(x) == 2 else x[2]
+                    if open_:
+                        rows = [pa.array(np.concatenate(c).astype(np.int32)) for c in ([np.full(len(x[1]), x[0]) for x in open_], [x[1] for x in open_], [x[2] for x in open_])]
         back = dict(self._query("coded", [pa.array(range(len(ids)), pa.int32()), pa.array(ids, pa.list_(pa.int32()))], ["w", "ids"], DECODE))
         for k, w in enumerate(words):
             self.words[w] = (" ".join(map(str, ids[k])), len(ids[k]), bytes.fromhex(back[k]))

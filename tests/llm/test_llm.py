@@ -139,6 +139,23 @@ def test_bpe_equals_tiktoken(docs, rows, none):
     assert encode_decode(none, path, public_tokenizers.PATTERN).count() == 0
 
 
+def test_bpe_of_long_words():
+    import tiktoken
+
+    from gridloom.llm.bpe import FILE, Codec, read_ranks
+
+    path = public_tokenizers.path(FILE)
+    ranks = read_ranks(path)
+    encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(6)
+    texts = ["a" * n for n in (63, 64, 65, 66, 5001, 100_000)] + ["ab" * 500 + "a", "=-" * 300, " " * 1001 + "x", "\n" * 700, "é" * 333, "日本" * 200, "aaab" * 501]
+    texts += ["".join(rng.choice("theandrs") for _ in range(n)) for n in (65, 100, 500)] + ["".join(rng.choice("ABCdef123") for _ in range(rng.randint(60, 300))) for _ in range(40)]
+    for longest in (4, 64):
+        for text, (ids, n, back) in zip(texts, Codec(ranks, public_tokenizers.PATTERN, longest).code(texts), strict=True):
+            want = encoding.encode_ordinary(text)
+            assert (ids, n, back) == (" ".join(map(str, want)), len(want), text.encode())
+
+
 @pytest.mark.parametrize("block", [16, 8192])
 def test_vectors_equal_brute_force(spark, block):
     from gridloom.llm.vector_dedup import near_vectors
