@@ -7,15 +7,16 @@ probability r - floor(r). Which documents get the extra copy is a balanced sampl
 probabilities inside the null space of two constraints, the words and the number of documents, so both
 totals stay exactly as expected until at most two documents of a group are undecided.
 
-Scale: a source is dealt into groups of about GROUP documents by a hash, so a source with a third of all
-rows is many tasks. Groups leave at most two undecided documents each; those fly again in groups of groups,
+Scale: equal rows collapse to one with their number n, whose owed extra copies are n times the fraction: the whole
+part is taken, the rest is the probability of one more. A source is dealt into groups of about GROUP such rows by a
+hash of id and text, so a source or a (null) id with a third of all rows is many tasks. Groups leave at most two undecided documents each; those fly again in groups of groups,
 until one group of a source is left, whose last documents land with the least error in words; one exchange of a
 taken for a left document of that group then closes what the landing left open. The texts are
 read once and only (id, size, source) is shuffled.
 
 Defined cases: null text has size 0; documents of size 0 are never taken; the null source comes last; a
-source without words has target 0; equal rows are separate documents; random numbers are hashes of id and
-seed, so reruns agree.
+source without words has target 0; equal rows are separate documents, taken in any order; random numbers are hashes
+of id, text and seed, so reruns agree.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, cut, prepare, table
@@ -33,6 +34,7 @@ from .common import WORD, cut, prepare, table
 WEIGHTS = (5, 2, 1)
 CAP = 3
 GROUP = 512
+STRETCH = 4096
 _HASHES = "doc_id long, size long, rank int, bucket long, h long, p double, y int"
 
 
@@ -115,19 +117,19 @@ def _flight(df: DataFrame, land: bool) -> DataFrame:
     return df.groupBy("rank", "bucket").applyInArrow(run, _HASHES)
 
 
-def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", weights: tuple[float, ...] = WEIGHTS, cap: float = CAP, seed: int = 7) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) for each row of docs."""
-    prepare(docs.sparkSession)
-    size = F.regexp_count(F.coalesce(F.col(text_column), F.lit("")), F.lit(WORD)).cast("long")
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), size.alias("size"), F.col(source_column).alias("source"), F.xxhash64(F.col(id_column), F.lit(seed)).alias("h"))
-    rows = cut(rows)
-    sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
+def copies(groups: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP) -> DataFrame:
+    """groups(doc_id, size, source, t, n), n equal rows each, with source_size, target, base (times that each row is taken) and more (how many are taken once more)."""
+    sums = groups.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.count(F.when(F.col("size") > 0, 1)).alias("n"))
     plan = cut(targets(sums, weights, cap))
     key = lambda s: [F.coalesce(s["source"], F.lit("")), s["source"].isNull()]
-    left, right = key(rows), key(plan)
-    joined = rows.join(plan.withColumnRenamed("source", "source_"), (left[0] == F.coalesce(F.col("source_"), F.lit(""))) & (left[1] == F.col("source_").isNull()))
-    base = F.floor(F.col("ratio") + F.lit(1e-12))
-    joined = joined.withColumns({"base": base.cast("long"), "p": F.greatest(F.col("ratio") - base, F.lit(0.0)), "bucket": F.pmod(F.col("h"), F.ceil(F.col("n") / F.lit(GROUP)))})
+    facts = plan.withColumnsRenamed({"source": "source_", "n": "groups"})
+    left, right = key(groups), (F.coalesce(facts["source_"], F.lit("")), facts["source_"].isNull())
+    joined = groups.join(facts, (left[0] == right[0]) & (left[1] == right[1])).drop("source_")
+    joined = joined.withColumn("base", F.floor(F.col("ratio") + F.lit(1e-12)).cast("long"))
+    joined = joined.withColumn("owed", F.when(F.col("size") > 0, F.col("n") * F.greatest(F.col("ratio") - F.col("base"), F.lit(0.0))).otherwise(0.0))
+    joined = joined.withColumn("sure", F.least(F.col("n"), F.floor(F.col("owed") + F.lit(1e-9))).cast("long"))
+    joined = joined.withColumns({"p": F.greatest(F.col("owed") - F.col("sure"), F.lit(0.0)), "bucket": F.pmod(F.col("h"), F.greatest(F.lit(1), F.ceil(F.col("groups") / F.lit(GROUP))))})
+    joined = cut(joined)
     largest = plan.agg(F.max("n")).first()[0] or 0
     flown = cut(_flight(joined.where("size > 0").select("doc_id", "size", "rank", "bucket", "h", "p", F.lit(-1).alias("y")), largest <= GROUP))
     done, buckets = [flown.where("y >= 0")], math.ceil(largest / GROUP)
@@ -139,10 +141,46 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", s
     chosen = done[0]
     for x in done[1:]:
         chosen = chosen.union(x)
-    empty = joined.where("size = 0").select("doc_id", "size", "rank", F.lit(0).alias("y"))
-    chosen = chosen.select("doc_id", "size", "rank", "y").union(empty)
-    facts = plan.select("rank", "source_size", "target", "ratio")
-    return chosen.join(facts, "rank").select("doc_id", "size", "source_size", "target", (F.col("size") * (F.floor(F.col("ratio") + F.lit(1e-12)) + F.col("y"))).cast("long").alias("taken"))
+    chosen = chosen.where("y > 0").groupBy("rank", "h", "size").agg(F.sum("y").alias("y"))
+    joined = joined.join(chosen, ["rank", "h", "size"], "left").withColumn("more", F.least(F.col("n"), F.col("sure") + F.coalesce("y", F.lit(0))))
+    return joined.select("doc_id", "size", "source", "t", "n", "source_size", "target", "base", "more")
+
+
+def spread(df: DataFrame, times: Column) -> DataFrame:
+    """Each row so many times, numbered 1.. in __i; what comes of one row is dealt to tasks STRETCH rows at a time."""
+    df = df.withColumn("__times", times.cast("long"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    few = df.where(F.col("__times").between(1, STRETCH)).withColumn("__k", F.lit(0).cast("long"))
+    many = df.where(F.col("__times") > STRETCH).withColumn("__k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__times") - 1) / F.lit(STRETCH)))))
+    out = few.unionByName(many.repartition(parts, "__k", F.xxhash64(*df.columns)))
+    first = F.col("__k") * STRETCH + 1
+    return out.withColumn("__i", F.explode(F.sequence(first, F.least(F.col("__times"), first + STRETCH - 1)))).drop("__times", "__k")
+
+
+def grouped(docs: DataFrame, id_column: str, text_column: str, source_column: str, row: list[Column], seed: int = 7) -> DataFrame:
+    """(doc_id, size, source, t, n, h) of the distinct rows by id, text, source and what else is in row."""
+    size = F.regexp_count(F.coalesce(F.col(text_column), F.lit("")), F.lit(WORD)).cast("long")
+    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), size.alias("size"), F.col(source_column).alias("source"), F.xxhash64(F.col(id_column), F.col(text_column), *row).alias("t"))
+    rows = rows.groupBy("doc_id", "size", "source", "t").agg(F.count("*").alias("n"))
+    return cut(rows.withColumn("h", F.xxhash64("t", F.lit(seed))))
+
+
+def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", weights: tuple[float, ...] = WEIGHTS, cap: float = CAP, seed: int = 7) -> DataFrame:
+    """(doc_id, size, source_size, target, taken) for each row of docs."""
+    prepare(docs.sparkSession)
+    of = copies(grouped(docs, id_column, text_column, source_column, [], seed), weights, cap)
+    taken = F.col("size") * (F.col("base") + (F.col("__i") <= F.col("more")).cast("long"))
+    return spread(of, F.col("n")).select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+
+
+def mixed(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", weights: tuple[float, ...] = WEIGHTS, cap: float = CAP, seed: int = 7) -> DataFrame:
+    """The rows of docs as often as the mix takes them; rows without words are not taken."""
+    prepare(docs.sparkSession)
+    own = [F.col(c) for c in docs.columns]
+    of = copies(grouped(docs, id_column, text_column, source_column, own, seed), weights, cap)
+    times = of.select(F.col("t").alias("__t"), (F.col("n") * F.col("base") + F.col("more")).alias("__taken")).where("__taken > 0 and size > 0")
+    rows = docs.withColumn("__t", F.xxhash64(F.col(id_column), F.col(text_column), *own)).dropDuplicates(["__t"])
+    return spread(rows.join(times, "__t"), F.col("__taken")).select(*docs.columns)
 
 
 def op1_mixing_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -82,6 +82,22 @@ def test_mixing_reaches_targets(docs, rows, none):
     assert mix(none).count() == 0
 
 
+def test_mixing_of_hot_rows(spark):
+    from gridloom.llm.mixing import mix, mixed
+
+    rows = [(None, "one two three", "hot", 0)] * 9000 + [(i, "w " * (i % 7 + 1), "b", 0) for i in range(600)] + [(7, None, "b", 0), (8, " ", None, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long").repartition(5)
+    got = mix(docs).groupBy("doc_id", "size", "source_size", "target").agg(F.sum("taken").alias("taken"), F.count("*").alias("n")).collect()
+    assert sum(r["n"] for r in got) == len(rows)
+    hot = next(r for r in got if r["doc_id"] is None)
+    assert hot["n"] == 9000 and abs(hot["taken"] - hot["target"]) <= 3
+    b = [r for r in got if r["source_size"] == sum(i % 7 + 1 for i in range(600))]
+    assert abs(sum(r["taken"] for r in b) - b[0]["target"]) <= 7
+    out = mixed(docs).groupBy("source", F.size(F.split("text", "[a-z]+")).alias("n")).count().collect()
+    assert sum(r["count"] for r in out if r["source"] == "hot") * 3 == hot["taken"]
+    assert sum(r["count"] * (r["n"] - 1) for r in out if r["source"] == "b") == sum(r["taken"] for r in b)
+
+
 def test_cube_keeps_both_totals():
     from gridloom.llm.mixing import fly
 
