@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from gridloom.llm.bpe import FILE, encode_decode
 from gridloom.llm.common import cut, table
 from gridloom.llm.langid import UNKNOWN, learn, predict
-from gridloom.llm.mixing import mix
+from gridloom.llm.mixing import mixed
 from gridloom.llm.simhash import firsts
 from gridloom.llm.suffix_dedup import remove_repeats
 
@@ -43,12 +43,8 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them; equal rows are taken alike, and texts without words are not."""
-    key = F.xxhash64("doc_id", "text")
-    taken = mix(docs.withColumn("__key", key).select("__key", "text", "source"), id_column="__key").where("taken > 0")
-    taken = taken.groupBy(F.col("doc_id").alias("__key")).agg(F.max((F.col("taken") / F.col("size")).cast("int")).alias("__times"))
-    rows = docs.withColumn("__key", key).join(taken, "__key")
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).drop("__key", "__times", "__copy").select(*docs.columns)
+    """Documents as often as the mix takes them; texts without words are not taken."""
+    return mixed(docs)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
