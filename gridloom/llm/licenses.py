@@ -14,7 +14,7 @@ all kept.
 from __future__ import annotations
 
 from functools import reduce
-from operator import and_
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -86,8 +86,89 @@ TEMPLATES = (
     ("licen[sc]e (?:is )?(?:the )?{}(?: licen[sc]e)?", 6, 0.7),
     ("{} licen[sc]e", 7, 0.6),
 )
-#: Whole-sentence signatures of licence bodies and notices.
+#: Label, keyword, regex, priority and weight of signatures of licence bodies, notices and headers.
 BODIES = (
+    ("mit", "merchantability", "the software is provided as is without warranty of any kind express or implied", 2, 0.9),
+    ("mit", "granted", "to deal in the software without restriction", 2, 0.9),
+    ("mit", "notice", "the above copyright notice and this permission notice shall be included in all copies", 2, 0.95),
+    ("mit-0", "attribution", "mit no attribution", 1, 0.9),
+    ("bsd", "redistributions", "redistributions of source code must retain the above copyright notice", 2, 0.9),
+    ("bsd", "redistributions", "redistributions in binary form must reproduce the above copyright notice", 2, 0.9),
+    ("bsd-3", "endorse", "may (?:not )?be used to endorse or promote products derived from this software", 1, 0.9),
+    ("bsd-4", "advertising", "all advertising materials mentioning features or use of this software must display", 1, 0.95),
+    ("0bsd", "0bsd", "(?:0bsd|zero clause bsd|bsd zero clause)", 1, 0.9),
+    ("isc", "negligence", "whether in an action of contract negligence or other tortious action", 4, 0.5),
+    ("apache-2", "apache", "apache license version 2 0 january 2004", 1, 1.0),
+    ("apache-2", "compliance", "you may not use this file except in compliance with the license", 2, 0.9),
+    ("apache-2", "governing", "see the license for the specific language governing permissions and limitations", 3, 0.8),
+    ("apache-2", "apache", "www apache org licenses license 2 0", 2, 0.95),
+    ("gpl-2", "gnu", "gnu general public license as published by the free software foundation(?: either)? version 2", 1, 1.0),
+    ("gpl-3", "gnu", "gnu general public license as published by the free software foundation(?: either)? version 3", 1, 1.0),
+    ("gpl", "redistribute", "you can redistribute it and or modify it under the terms of the gnu general public", 2, 0.9),
+    ("gpl", "gnu", "www gnu org licenses gpl", 3, 0.8),
+    ("gpl", "copyleft", "free copyleft license for software", 2, 0.8),
+    ("lgpl-2.1", "lesser", "gnu lesser general public license version 2 1", 1, 1.0),
+    ("lgpl-3", "lesser", "gnu lesser general public license version 3", 1, 1.0),
+    ("lgpl", "lesser", "gnu lesser general public license as published by the free software foundation", 2, 0.9),
+    ("lgpl", "gnu", "www gnu org licenses lgpl", 3, 0.8),
+    ("agpl-3", "affero", "gnu affero general public license as published by the free software foundation", 1, 1.0),
+    ("agpl-3", "gnu", "www gnu org licenses agpl", 3, 0.8),
+    ("gfdl-1", "documentation", "gnu free documentation license(?: version 1(?: [1-3])?)?", 1, 0.95),
+    ("mpl-2", "mozilla", "this source code form is subject to the terms of the mozilla public license v 2 0", 1, 1.0),
+    ("mpl-2", "mozilla", "mozilla org mpl 2 0", 2, 0.9),
+    ("mpl-1.1", "mpl", "subject to the mozilla public license version 1 1", 1, 1.0),
+    ("epl-1", "eclipse", "made available under the terms of the eclipse public license v1 0", 1, 1.0),
+    ("epl-2", "eclipse", "made available under the terms of the eclipse public license 2 0", 1, 1.0),
+    ("cddl-1", "development", "common development and distribution license", 1, 0.95),
+    ("cpl-1", "common", "common public license(?: version)?(?: v)? ?1 0", 1, 0.95),
+    ("ipl-1", "ibm", "ibm public license(?: version)? 1 0", 1, 0.95),
+    ("eupl-1.2", "european", "european union public licen[cs]e(?: v| version)? ?1 2", 1, 0.95),
+    ("eupl", "eupl", "eupl(?: v| version)? ?1(?: [0-2])?", 3, 0.8),
+    ("osl-3", "osl", "(?:open software license|osl)(?: v| version)? ?3 0", 1, 0.9),
+    ("afl-3", "academic", "academic free license(?: v| version)? ?3 0", 1, 0.9),
+    ("artistic-1", "artistic", "the artistic license preamble", 1, 0.9),
+    ("artistic-1", "perl", "under the same terms as perl itself", 2, 0.85),
+    ("zlib", "misrepresented", "the origin of this software must not be misrepresented", 1, 1.0),
+    ("zlib", "altered", "altered source versions must be plainly marked as such", 1, 0.95),
+    ("libpng", "libpng", "libpng license(?: version)?(?: 2)?", 2, 0.9),
+    ("boost-1", "boost", "boost software license version 1 0 august 17(?:th)? 2003", 1, 1.0),
+    ("boost-1", "boost", "www boost org license 1 0 txt", 2, 0.95),
+    ("unlicense", "unencumbered", "this is free and unencumbered software released into the public domain", 1, 1.0),
+    ("wtfpl", "everyone", "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed", 1, 0.95),
+    ("cc0-1", "cc0", "creative commons cc0(?: 1 0)?", 1, 0.95),
+    ("cc0-1", "waived", "waived all copyright and related or neighboring rights", 1, 0.95),
+    ("cc-by", "commons", "creative commons attribution 4 0 international", 1, 1.0),
+    ("cc-by-sa", "commons", "creative commons attribution share ?alike 4 0 international", 1, 1.0),
+    ("cc-by", "creativecommons", "creativecommons org licenses by [1-4] 0", 1, 1.0),
+    ("cc-by-sa", "creativecommons", "creativecommons org licenses by sa [1-4] 0", 1, 1.0),
+    ("cc-by-nd", "creativecommons", "creativecommons org licenses by nd [1-4] 0", 1, 1.0),
+    ("cc-by-nc", "creativecommons", "creativecommons org licenses by nc [1-4] 0", 1, 1.0),
+    ("cc-by-nc-sa", "creativecommons", "creativecommons org licenses by nc sa [1-4] 0", 1, 1.0),
+    ("cc-by-nc-nd", "creativecommons", "creativecommons org licenses by nc nd [1-4] 0", 1, 1.0),
+    ("cc0-1", "creativecommons", "creativecommons org publicdomain zero 1 0", 1, 1.0),
+    ("odbl-1", "database", "open (?:data commons open )?database license(?: v| version)?(?: ?1 0)?", 1, 0.95),
+    ("odc-by-1", "commons", "open data commons attribution license", 1, 0.95),
+    ("pddl-1", "dedication", "public domain dedication and license", 1, 0.95),
+    ("python-2", "python", "python software foundation license(?: version 2)?", 1, 0.95),
+    ("php-3", "php", "(?:the )?php license(?: version)? 3(?: 0[01]?)?", 1, 0.95),
+    ("ruby", "ruby", "under the same (?:terms|license) as ruby", 2, 0.85),
+    ("openssl", "openssl", "(?:dual )?openssl(?: and ssleay)? license", 1, 0.95),
+    ("ofl-1.1", "font", "sil open font license(?: version)? 1 1", 1, 1.0),
+    ("upl-1", "universal", "universal permissive license(?: v| version)?(?: ?1 0)?", 1, 0.95),
+    ("ncsa", "ncsa", "university of illinois ncsa open source license", 1, 1.0),
+    ("postgresql", "postgresql", "(?:the )?postgresql licen[cs]e", 1, 0.95),
+    ("bsl-1.1", "business", "business source license(?: 1 1)?", 1, 0.95),
+    ("sspl-1", "server", "server side public license(?: v| version)?(?: ?1)?", 1, 0.95),
+    ("elastic-2", "elastic", "elastic license(?: v| version)?(?: ?2(?: 0)?)?", 1, 0.95),
+    ("commons-clause", "clause", "commons clause license condition", 1, 0.95),
+    ("beerware", "beer", "you can buy me a beer in return", 1, 0.95),
+    ("json", "evil", "the software shall be used for good not evil", 1, 0.95),
+    ("ms-pl", "microsoft", "microsoft public license(?: ms pl)?", 1, 0.95),
+    ("ms-rl", "microsoft", "microsoft reciprocal license(?: ms rl)?", 1, 0.95),
+    ("proprietary", "proprietary", "proprietary and confidential", 8, 0.5),
+    ("proprietary", "confidential", "unauthorized (?:copying|use|distribution) of this file (?:via any medium )?is strictly prohibited", 6, 0.6),
+    ("non-commercial", "commercial", "for (?:personal and )?non ?commercial use only", 6, 0.6),
+    ("research-only", "research", "for (?:academic|research)(?: and (?:academic|research))? (?:purposes|use) only", 6, 0.6),
     ("mit", "granted", "permission is hereby granted free of charge to any person obtaining a copy", 1, 1.0),
     ("bsd", "redistribution", "redistribution and use in source and binary forms with or without modification are permitted", 1, 1.0),
     ("isc", "fee", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", 1, 1.0),
@@ -114,6 +195,29 @@ def _spaces(c: Column) -> Column:
     return F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))
 
 
+def numbered(rx: str) -> str:
+    """A rule's regex over words that carry their number (word#12), one space on both sides of each."""
+    rx = rx.replace(" ?", "(?:#[0-9]+ )?").replace(" ", "#[0-9]+ ").replace("(?:#[0-9]+#[0-9]+ )?", "(?:#[0-9]+ )?")
+    return f"(?<= )(?:{rx})#[0-9]+(?= )"
+
+
+def swept(ordered: Column) -> Column:
+    """Detections in order of start, wider first, then priority, without those that end no later than one before.
+
+    The array is cut into pieces of about the root of its size: each piece needs only the latest end before it.
+    """
+    piece = F.greatest(F.lit(16), F.ceil(F.sqrt(F.size(ordered)))).cast("int")
+    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.size(ordered) - 1) / piece).cast("int")), lambda k: F.slice(ordered, k * piece + 1, piece))
+    tops = F.transform(pieces, lambda x: F.array_max(F.transform(x, lambda d: -d.getField("back"))))
+    before = F.aggregate(tops, F.array(F.lit(-1)), lambda acc, t: F.concat(acc, F.array(F.greatest(t, F.element_at(acc, -1)))))
+    none = F.expr("cast(array() as array<struct<first:int,after:int,label:string,weight:double>>)")
+    kept = lambda d: F.array(F.struct(d.getField("s").alias("first"), (-d.getField("back")).alias("after"), d.getField("label").alias("label"), d.getField("w").alias("weight")))
+    step = lambda acc, d: F.when(-d.getField("back") > acc.getField("end"), F.struct((-d.getField("back")).alias("end"), F.concat(acc.getField("kept"), kept(d)).alias("kept"))).otherwise(acc)
+    both = F.arrays_zip(pieces.alias("x"), F.slice(before, F.lit(1), F.size(pieces)).alias("end"))  # what a lambda names is evaluated anew for each element
+    sweep = lambda z: F.aggregate(z.getField("x"), F.struct(z.getField("end").alias("end"), none.alias("kept")), step, lambda acc: acc.getField("kept"))
+    return F.flatten(F.transform(both, sweep))
+
+
 def scan(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds n_words, n_base, first_word, last_word, base_labels, labels, score and detections to each row.
 
@@ -122,49 +226,42 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
     """
     raw = F.coalesce(F.col(text), F.lit(""))
     low = F.lower(raw)
-    has = lambda *parts: reduce(and_, [F.contains(F.col("__low"), F.lit(x)) for x in parts])
-    word = lambda rx: F.col("__low").rlike(f"(?<![0-9a-z]){rx}(?![0-9a-z])")
-    gate = has("licen") | has("spdx") | has("under") & word("under") | has("subject") & word("subject")
-    gate = gate | has("cc", "by", "nc") & word("cc[^0-9a-z]+by") | has("permission", "granted") | has("redistribution") | has("public", "domain") | has("rights", "reserved")
+    word = lambda rx: F.col("__low").rlike(f"(?<![0-9a-z])(?:{rx})(?![0-9a-z])")
+    own = sorted({r[1] for r in BODIES})
+    some = reduce(or_, [F.contains(F.col("__low"), F.lit(x)) for x in own])
+    gate = F.contains(F.col("__low"), F.lit("licen")) | F.contains(F.col("__low"), F.lit("spdx")) | word("under|subject") | some & word("|".join(own))
     vocabulary = sorted({r[1] for r in rules()})
     # normalised words, with one space on both sides of each; null where the gate is shut
     normal = F.when(gate, F.concat(F.lit(" "), F.regexp_replace(F.translate(F.concat(raw, F.lit(" ")), _UPPER, _UPPER.lower()), _NOT_WORD, " ")))
     normal = F.regexp_replace(normal, "^ +", " ")
     base = "(?<= )(?:" + "|".join(p for p, _ in BASE) + ")(?= )"
-    of_word = {w: F.array(*[F.struct(F.lit(label).alias("label"), F.lit(f"(?<= ){rx}(?= )").alias("rx"), F.lit(p).alias("p"), F.lit(weight).alias("w")) for label, word_, rx, p, weight in rules() if word_ == w]) for w in vocabulary}
+    of_word = {w: F.array(*[F.struct(F.lit(label).alias("label"), F.lit(numbered(rx)).alias("rx"), F.lit(p).alias("p"), F.lit(weight).alias("w")) for label, word_, rx, p, weight in rules() if word_ == w]) for w in vocabulary}
     rule_map = F.create_map(*[x for w in vocabulary for x in (F.lit(w), of_word[w])])
     n = F.col("__n")
-
-    def places(r: Column) -> Column:
-        """Word intervals of a rule: the words between matches and in them, added up."""
-        between = F.transform(F.split(n, r.getField("rx"), -1), lambda x: _spaces(x))
-        inside = F.transform(F.regexp_extract_all(n, r.getField("rx"), F.lit(0)), lambda x: _spaces(x) + 1)
-        # every piece but the last ends before a match; its words are its spaces, less the one before its first word
-        zipped = F.arrays_zip(between.alias("b"), inside.alias("m"))
-        zipped = F.filter(zipped, lambda z: z.getField("m").isNotNull())
-        start = F.struct(F.lit(-1).alias("at"), F.expr("cast(array() as array<struct<s:int,e:int>>)").alias("out"))
-        step = lambda acc, z: F.struct((acc.getField("at") + z.getField("b") + z.getField("m") - 1).alias("at"), F.concat(acc.getField("out"), F.array(F.struct((acc.getField("at") + z.getField("b")).alias("s"), (acc.getField("at") + z.getField("b") + z.getField("m")).alias("e")))).alias("out"))
-        return F.aggregate(zipped, start, step, lambda acc: acc.getField("out"))
-
+    # the same with each word's number, so that what a rule matches tells its place
+    places = F.transform(F.split(F.trim(n), " "), lambda w, i: F.concat(w, F.lit("#"), i.cast("string")))
     there = F.filter(F.array(*map(F.lit, vocabulary)), lambda w: F.contains(n, F.concat(F.lit(" "), w, F.lit(" "))))
     candidates = F.flatten(F.transform(there, lambda w: rule_map[w]))
+    number = lambda m, rx: F.regexp_extract(m, rx, 1).cast("int")
     hits = F.transform(
-        F.filter(candidates, lambda r: F.regexp_like(n, r.getField("rx"))),
-        lambda r: F.transform(places(r), lambda z: F.struct(z.getField("s").alias("s"), (-z.getField("e")).alias("back"), r.getField("p").alias("p"), r.getField("label").alias("label"), r.getField("w").alias("w"))),
+        candidates,
+        lambda r: F.transform(
+            F.regexp_extract_all(F.col("__p"), r.getField("rx"), F.lit(0)),
+            lambda m: F.struct(number(m, "#([0-9]+)").alias("s"), (-1 - number(m, "#([0-9]+)$")).alias("back"), r.getField("p").alias("p"), r.getField("label").alias("label"), r.getField("w").alias("w")),
+        ),
     )
-    ordered = F.array_sort(F.flatten(hits))
-    zero = F.struct(F.lit(-1).alias("end"), F.expr("cast(array() as array<struct<first:int,after:int,label:string,weight:double>>)").alias("kept"))
-    sweep = lambda acc, d: F.when(-d.getField("back") > acc.getField("end"), F.struct((-d.getField("back")).alias("end"), F.concat(acc.getField("kept"), F.array(F.struct(d.getField("s").alias("first"), (-d.getField("back")).alias("after"), d.getField("label").alias("label"), d.getField("w").alias("weight")))).alias("kept"))).otherwise(acc)
     none = F.expr("cast(array() as array<struct<first:int,after:int,label:string,weight:double>>)")
     labels_of = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
 
-    df = df.drop("__low", "__n", "__m", "__s", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "detections")
+    df = df.drop("__low", "__n", "__p", "__o", "__m", "__s", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "detections")
     df = df.withColumn("__low", low).withColumn("__n", normal).drop("__low")
+    df = df.withColumn("__p", F.when(n.isNotNull(), F.concat(F.lit(" "), F.array_join(places, " "), F.lit(" "))))
+    df = df.withColumn("__o", F.array_sort(F.flatten(hits)))
     df = df.withColumns({
         "n_words": F.regexp_count(raw, F.lit(_WORDS)).cast("long"),
         "__m": F.when(F.col("__n").rlike(base), F.regexp_extract_all(n, F.lit(base), F.lit(0))).otherwise(F.expr("cast(array() as array<string>)")),
         "__s": F.when(F.col("__n").rlike(base), F.split(n, base, -1)),
-        "detections": F.when(F.col("__n").isNotNull(), F.aggregate(ordered, zero, sweep, lambda acc: acc.getField("kept"))).otherwise(none),
+        "detections": F.when(F.size("__o") > 0, swept(F.col("__o"))).otherwise(none),
     })
     name = F.create_map(*[F.lit(x) for pair in BASE for x in pair])
     own = F.transform(F.col("__m"), lambda x: name[x])
@@ -176,7 +273,7 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
         "base_labels": labels_of(own),
         "labels": labels_of(F.concat(own, F.col("detections.label"))),
         "score": F.when(some, F.lit(1.0)).otherwise(F.coalesce(F.array_max(F.col("detections.weight")), F.lit(0.0))),
-    }).drop("__n", "__m", "__s")
+    }).drop("__n", "__p", "__o", "__m", "__s")
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

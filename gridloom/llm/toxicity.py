@@ -1,23 +1,25 @@
 """Toxicity: a convolutional text classifier in numpy.
 
-Words (runs of ASCII letters and digits or any other character, A-Z lower-cased) are hashed to 64 bits; those
-met in at least MIN_DOCS training documents have an embedding, found through a hash table, and all others share
-a zero one. Filters of several widths slide over the embeddings; each filter's maximum over the text goes into
-a logistic layer. The first embedding component starts at the word's smoothed log odds. Only the places of the
-maxima pass gradients back, so an epoch costs little more than the forward pass.
+Words (runs of ASCII letters and digits or any other character, A-Z lower-cased) are hashed to 64 bits, and the
+embedding of a word is the sum of two rows of a table of BUCKETS, named by two halves of the hash: no vocabulary is
+kept, and words that share one row seldom share the other. Filters of several widths slide over the embeddings;
+each filter's maximum over the text goes into a logistic layer. The first embedding component starts at the row's
+smoothed log odds; rows not met in training are zero. Only the places of the maxima pass gradients back, so an epoch
+costs little more than the forward pass.
 
 Thresholds are calibrated by language, which is itself guessed from the text by word frequencies learned in
 training: in each guessed language the raw logit that best separates calibration documents is moved to the
 score FLAG, so one cut serves all languages.
 
-Training takes a bounded sample of labelled rows (POSITIVES and NEGATIVES at most, in expectation, by a hash of
-the id): the sample's labels are broadcast, so no text is shuffled; executors turn its whole texts into hashes,
-the driver trains. Scoring is a map over Arrow batches
-with a broadcast model of at most WORDS words.
+Training takes a bounded sample of labelled rows (POSITIVES and NEGATIVES labels at most, in expectation, by a hash of
+the id; then at most ROWS distinct texts of TRAIN_BYTES together, by a hash of id and text; texts over LONGEST bytes
+are not learned from): the sample's labels are broadcast, so no text is shuffled but those of the sample; executors
+turn its whole texts into table places, the driver trains. Scoring is a map over Arrow batches with a broadcast model
+of fixed size.
 
 Defined cases: null and empty texts score as the model's value of an empty text; without toxic or without clean
-labels every score is 0; repeated label rows count once each; ties do not occur in scoring (it is a function of
-the text).
+labels every score is 0; repeated labels and repeated rows count once; a document labelled both ways counts as one
+of each; ties do not occur in scoring (it is a function of the text).
 """
 
 from __future__ import annotations
@@ -34,8 +36,8 @@ from .common import _powers, fold, mix, prepare, table, texts_of
 
 FLAG = 0.7
 POSITIVES, NEGATIVES = 4000, 8000
-WORDS = 1 << 16
-MIN_DOCS = 5
+ROWS, TRAIN_BYTES, LONGEST = 24_000, 80_000_000, 1_000_000
+BUCKETS = 1 << 18
 DIM, FILTERS, WIDTHS = 12, 8, (1, 2, 3)
 EPOCHS, BATCH, RATE = 8, 64, 0.03
 CHUNK = 1 << 19
@@ -67,44 +69,26 @@ def word_hashes(data: bytes) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-class Vocabulary:
-    """Indices of word hashes: 1.. for known words, 0 for all others, through an open hash table."""
-
-    def __init__(self, hashes: np.ndarray):
-        bits = max(10, int(len(hashes) * 4).bit_length())
-        self.mask = np.uint64((1 << bits) - 1)
-        self.hashes = np.concatenate([[np.uint64(0)], hashes.astype(np.uint64)])
-        self.slots = np.zeros(1 << bits, np.int32)
-        left = np.arange(1, len(self.hashes))
-        self.probes = 0
-        while len(left):
-            at = (self.hashes[left] + np.uint64(self.probes)) & self.mask
-            free = self.slots[at] == 0
-            self.slots[at[free]] = left[free]  # of several for one slot the last stays
-            left = left[self.slots[at] != left]
-            self.probes += 1
-
-    def index(self, hashes: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(hashes), np.int32)
-        open_ = np.arange(len(hashes))
-        for step in range(self.probes):
-            got = self.slots[(hashes[open_] + np.uint64(step)) & self.mask]
-            hit = (got > 0) & (self.hashes[got] == hashes[open_])
-            out[open_[hit]] = got[hit]
-            open_ = open_[~hit & (got > 0)]
-            if not len(open_):
-                break
-        return out
+def places(data: bytes) -> np.ndarray:
+    """The two table rows of each word in a text, in order."""
+    h = word_hashes(data)
+    return np.stack([h & np.uint64(BUCKETS - 1), (h >> np.uint64(32)) & np.uint64(BUCKETS - 1)]).astype(np.int32)
+
+
+def padded(x: np.ndarray, width: int) -> np.ndarray:
+    """Places with room for a filter before and after; BUCKETS is the place of no word, whose row is zero."""
+    return np.pad(x, ((0, 0), (width - 1, max(1, width - 1))), constant_values=BUCKETS)
 
 
 class Net:
     """Embeddings, filters of several widths, maxima, a logistic layer."""
 
-    def __init__(self, odds: np.ndarray, seed: int = 3):
+    def __init__(self, odds: np.ndarray, seen: np.ndarray, seed: int = 3):
         rng = np.random.default_rng(seed)
-        self.e = (rng.normal(0, 0.05, (len(odds), DIM))).astype(np.float32)
-        self.e[:, 0] = odds
-        self.e[0] = 0
+        self.e = rng.normal(0, 0.05, (BUCKETS + 1, DIM)).astype(np.float32)
+        self.e[:-1, 0] = odds / 2
+        self.e[:-1][~seen] = 0
+        self.e[-1] = 0
         self.w = [rng.normal(0, 0.2, (width * DIM, FILTERS)).astype(np.float32) for width in WIDTHS]
         for w in self.w:
             w[::DIM] = np.abs(w[::DIM]) + 0.3  # filters start by looking for words with high odds
@@ -113,17 +97,17 @@ class Net:
         self.state: dict[str, np.ndarray] = {}
 
     def maxima(self, x: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Each filter's maximum over word indices x, and its place."""
-        values, places = [], []
+        """Each filter's maximum over the places x, and the places under it."""
+        values, under = [], []
         for width, w in zip(WIDTHS, self.w, strict=True):
-            padded = np.concatenate([np.zeros(width - 1, x.dtype), x, np.zeros(max(1, width - 1), x.dtype)])
-            e = self.e[padded]
-            n = len(padded) - width + 1
+            at = padded(x, width)
+            e = self.e[at[0]] + self.e[at[1]]
+            n = at.shape[1] - width + 1
             s = sum(e[j : j + n] @ w[j * DIM : (j + 1) * DIM] for j in range(width))
             k = s.argmax(0)
             values.append(np.maximum(s[k, np.arange(FILTERS)], 0))
-            places.append(padded[k[:, None] + np.arange(width)])
-        return np.concatenate(values), places
+            under.append(at[:, k[:, None] + np.arange(width)])
+        return np.concatenate(values), under
 
     def logit(self, x: np.ndarray) -> float:
         return float(self.maxima(x)[0] @ self.v + self.c)
@@ -142,17 +126,17 @@ class Net:
                 gw, gv, gc = [np.zeros_like(w) for w in self.w], np.zeros_like(self.v), 0.0
                 rows, grads = [], []
                 for k in order[lo : lo + BATCH]:
-                    h, places = self.maxima(texts[k])
+                    h, under = self.maxima(texts[k])
                     d = float(weight[k] * (1 / (1 + math.exp(-max(-30.0, min(30.0, float(h @ self.v + self.c))))) - y[k])) / BATCH
                     gv += d * h
                     gc += d
                     back = d * self.v * (h > 0)
-                    for i, (w, words) in enumerate(zip(self.w, places, strict=True)):
+                    for i, (w, words) in enumerate(zip(self.w, under, strict=True)):
                         g = back[i * FILTERS : (i + 1) * FILTERS]
-                        e = self.e[words].reshape(FILTERS, -1)
+                        e = (self.e[words[0]] + self.e[words[1]]).reshape(FILTERS, -1)
                         gw[i] += e.T * g
-                        rows.append(words.ravel())
-                        grads.append((w.T * g[:, None]).reshape(-1, DIM))
+                        rows += [words[0].ravel(), words[1].ravel()]
+                        grads += [(w.T * g[:, None]).reshape(-1, DIM)] * 2
                 for i, w in enumerate(self.w):
                     self.step(f"w{i}", w, gw[i] + 1e-5 * w)
                 self.step("v", self.v, gv)
@@ -160,35 +144,33 @@ class Net:
                 at, inverse = np.unique(np.concatenate(rows), return_inverse=True)
                 total = np.zeros((len(at), DIM), np.float32)
                 np.add.at(total, inverse, np.concatenate(grads))
-                total, at = total[at > 0], at[at > 0]
+                total, at = total[at < BUCKETS], at[at < BUCKETS]
                 self.step("e", self.e, total, at)
 
 
 class Model:
-    """What scoring needs; picklable, of bounded size."""
+    """What scoring needs; picklable, of fixed size."""
 
-    def __init__(self, vocabulary: Vocabulary, net: Net, speech: np.ndarray, cuts: np.ndarray):
-        self.vocabulary, self.speech, self.cuts = vocabulary, speech, cuts
+    def __init__(self, net: Net, speech: np.ndarray, cuts: np.ndarray):
+        self.speech, self.cuts = speech, cuts
         self.c = float(net.c)
         self.v = net.v
-        # products of every embedding with every part of every filter: a text's convolution is then sums of rows
+        # products of every row with every part of every filter: a text's convolution is then sums of rows
         self.parts = [[np.ascontiguousarray(net.e @ w[j * DIM : (j + 1) * DIM]) for j in range(width)] for width, w in zip(WIDTHS, net.w, strict=True)]
 
-    def indices(self, text: bytes) -> np.ndarray:
-        return self.vocabulary.index(word_hashes(text))
-
     def score(self, text: bytes) -> float:
-        x = self.indices(text)
+        x = places(text)
         values = []
         for width, parts in zip(WIDTHS, self.parts, strict=True):
-            padded = np.concatenate([np.zeros(width - 1, x.dtype), x, np.zeros(max(1, width - 1), x.dtype)])
-            n = len(padded) - width + 1
+            at = padded(x, width)
+            n = at.shape[1] - width + 1
             top = np.full(FILTERS, -np.inf, np.float32)
             for lo in range(0, n, 65536):
                 hi = min(n, lo + 65536)
-                s = parts[0][padded[lo:hi]]
+                s = parts[0][at[0, lo:hi]] + parts[0][at[1, lo:hi]]
                 for j in range(1, width):
-                    s = s + parts[j][padded[lo + j : hi + j]]
+                    s += parts[j][at[0, lo + j : hi + j]]
+                    s += parts[j][at[1, lo + j : hi + j]]
                 top = np.maximum(top, s.max(0))
             values.append(np.maximum(top, 0))
         z = float(np.concatenate(values) @ self.v + self.c)
@@ -197,48 +179,45 @@ class Model:
 
 
 def speaks(speech: np.ndarray, x: np.ndarray) -> int:
-    """The likeliest language of word indices by word frequencies (the first for texts without known words)."""
-    x = x[x > 0]
-    return int(np.argmax(speech[x].sum(0))) if len(x) else 0
+    """The likeliest language of places by their frequencies (the first for texts without words)."""
+    return int(np.argmax(speech[x.ravel()].sum(0))) if x.size else 0
 
 
 def sample(marks: DataFrame, positives: int = POSITIVES, negatives: int = NEGATIVES) -> DataFrame:
-    """About so many rows of each class of marks(__id, toxic), by a hash of the id; small enough to broadcast, which is checked."""
-    marks = marks.where(F.col("toxic").isin(0, 1) & F.col("__id").isNotNull())
+    """About so many of the distinct rows of each class of marks(__id, toxic), by a hash of the id: small enough to broadcast."""
+    marks = marks.where(F.col("toxic").isin(0, 1) & F.col("__id").isNotNull()).select("__id", "toxic").distinct()
     counts = {r["toxic"]: r["count"] for r in marks.groupBy("toxic").count().collect()}
     share = lambda k, most: int(min(1, most / max(1, counts.get(k, 0))) * 1e6)
-    kept = marks.where(F.pmod(F.xxhash64("__id"), F.lit(1_000_000)) < F.when(F.col("toxic") == 1, share(1, positives)).otherwise(share(0, negatives)))
-    n = kept.count()
-    if n > 2 * (positives + negatives):
-        raise ValueError(f"{n} labels in the sample; do ids repeat?")
-    return kept
+    return marks.where(F.pmod(F.xxhash64("__id"), F.lit(1_000_000)) < F.when(F.col("toxic") == 1, share(1, positives)).otherwise(share(0, negatives)))
+
+
+def bounded(labelled: DataFrame, rows: int = ROWS, size: int = TRAIN_BYTES) -> DataFrame:
+    """The distinct texts of labelled(__id, text, lang, toxic), or about as many of them as the bounds allow."""
+    known = labelled.where(F.col("text").isNotNull() & (F.octet_length("text") <= LONGEST)).withColumn("k", F.xxhash64("__id", "text"))
+    facts = known.select("k", "toxic", F.octet_length("text").alias("b")).distinct().agg(F.count("*").alias("n"), F.sum("b").alias("b")).first()
+    share = min(1.0, rows / max(1, facts["n"]), size / max(1, facts["b"] or 0))
+    some = known.where(F.pmod(F.xxhash64("k"), F.lit(1_000_000)) < int(share * 1e6))
+    return some.groupBy("k", "toxic").agg(F.first("text").alias("text"), F.first(F.coalesce("lang", F.lit(""))).alias("lang"))
 
 
 def fit(labelled: DataFrame) -> Model | None:
-    """A model from the bounded rows labelled(text, lang, toxic); null if one of the classes is missing."""
+    """A model from the rows labelled(__id, text, lang, toxic), within the bounds; null if one of the classes is missing."""
     prepare(labelled.sparkSession)
-    rows = labelled.where(F.col("text").isNotNull()).select("text", "toxic", F.coalesce("lang", F.lit("")).alias("lang"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.record_batch([b.column("toxic").cast(pa.int32()), b.column("lang"), pa.array([word_hashes(x).tobytes() for x in texts_of(b)], pa.binary())], names=["toxic", "lang", "h"])
+            yield pa.record_batch([b.column("toxic").cast(pa.int32()), b.column("lang"), pa.array([places(x).tobytes() for x in texts_of(b)], pa.binary())], names=["toxic", "lang", "h"])
 
-    got = sorted((bytes(r.h), r.toxic, r.lang) for r in rows.mapInArrow(run, "toxic int, lang string, h binary").collect())
+    got = sorted((bytes(r.h), r.toxic, r.lang) for r in bounded(labelled).select("toxic", "lang", "text").mapInArrow(run, "toxic int, lang string, h binary").collect())
     if len({t for _, t, _ in got}) < 2:
         return None
-    hashes = [np.frombuffer(h, np.uint64) for h, _, _ in got]
+    texts = [np.frombuffer(h, np.int32).reshape(2, -1) for h, _, _ in got]
     y = np.array([t for _, t, _ in got], np.float64)
     langs = sorted({x for _, _, x in got})
     tongue = np.array([langs.index(x) for _, _, x in got])
-    kinds = [np.unique(h) for h in hashes]
-    words, docs = np.unique(np.concatenate(kinds), return_counts=True)
-    words = np.sort(words[np.argsort(-docs, kind="stable")[: WORDS - 1]][: int((docs >= MIN_DOCS).sum())])
-    vocabulary = Vocabulary(words)
-    texts = [vocabulary.index(h) for h in hashes]
     part = np.arange(len(got)) % 5 == 0  # the calibration documents; the order is that of hashes
-    n = len(words) + 1
-    seen = np.zeros((2, n))
-    speech = np.full((n, len(langs)), 0.5)
+    seen = np.zeros((2, BUCKETS))
+    speech = np.full((BUCKETS, len(langs)), 0.5)
     for x, t, k, held in zip(texts, y, tongue, part, strict=True):
         own = np.unique(x)
         speech[own, k] += 1
@@ -246,8 +225,7 @@ def fit(labelled: DataFrame) -> Model | None:
             seen[int(t), own] += 1
     n1, n0 = max(1, (y[~part] == 1).sum()), max(1, (y[~part] == 0).sum())
     odds = np.clip(np.log((seen[1] / n1 * 1000 + 2) / (seen[0] / n0 * 1000 + 2)), -3, 5)
-    odds[0] = 0
-    net = Net(odds.astype(np.float32))
+    net = Net(odds.astype(np.float32), seen.sum(0) > 0)
     learn = np.flatnonzero(~part)
     weight = np.where(y == 1, max(1.0, (y == 0).sum() / max(1, (y == 1).sum()) / 2), 1.0)
     net.train([texts[i] for i in learn], y[learn], weight[learn])
@@ -256,7 +234,7 @@ def fit(labelled: DataFrame) -> Model | None:
     guess = np.array([speaks(speech, texts[i]) for i in np.flatnonzero(part)])
     everywhere = best_cut(z, y[part])
     cuts = np.array([best_cut(z[guess == k], y[part][guess == k]) if (y[part][guess == k] == 1).sum() >= 10 else everywhere for k in range(len(langs))])
-    return Model(vocabulary, net, speech, cuts)
+    return Model(net, speech, cuts)
 
 
 def best_cut(z: np.ndarray, y: np.ndarray) -> float:
@@ -280,8 +258,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text
     held = F.coalesce(fold(id_column, 3) == 1, F.lit(False))
     marks = sample(labels.where(~F.coalesce(fold("doc_id", 3) == 1, F.lit(False))).select(F.col("doc_id").alias("__id"), F.col("toxic")))
     rows = docs.where(~held).select(F.col(id_column).alias("__id"), F.col(text_column).alias("text"), F.col(lang_column).alias("lang"))
-    model = fit(rows.join(F.broadcast(marks), "__id").drop("__id"))
-    shared = spark.sparkContext.broadcast(model)  # at most WORDS words
+    model = fit(rows.join(F.broadcast(marks), "__id"))  # POSITIVES and NEGATIVES bound what is broadcast
+    shared = spark.sparkContext.broadcast(model)  # BUCKETS rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value

@@ -124,7 +124,7 @@ def test_toxicity_finds_planted_words(spark, none):
         rows.append((i, " ".join(words), rng.choice(["en", "de"]), "s", 0))
         marks.append((i, 1, int(bad)))
     rows += [(900, None, None, None, 0), (901, "", "en", "s", 0), (None, "vile", "en", "s", 0)]
-    labels = spark.createDataFrame(marks + [(0, 1, 1), (5, 0, None)], "doc_id long, quality int, toxic int")
+    labels = spark.createDataFrame(marks + [(0, 1, 1), (5, 0, None)] + [(8, 1, 1)] * 30_000, "doc_id long, quality int, toxic int")
     got = toxicity(spark.createDataFrame(rows, DOCS), labels).collect()
     assert len(got) == len(rows)
     held = {r["doc_id"]: r for r in got if r["doc_id"] is not None and r["doc_id"] < 700 and r["held_out"]}
@@ -304,6 +304,55 @@ def test_licenses_equal_brute_force(spark):
     assert "Python" not in plan and "Exchange" not in plan
 
 
+def plain_detections(words, rules):
+    """Places of all rules, ordered by start, wider first, then priority and label, without those inside an earlier one."""
+    text = " " + " ".join(words) + " "
+    found = []
+    for label, keyword, rx, p, weight in rules:
+        if keyword in words:
+            for m in re.finditer(f"(?<= )(?:{rx})(?= )", text):
+                first = text[: m.start()].count(" ") - 1
+                found.append((first, -(first + m[0].count(" ") + 1), p, label, weight))
+    out = []
+    for s, back, _, label, weight in sorted(found):
+        if all(-back > e for _, e, *_ in out):
+            out.append((s, -back, label, weight))
+    return out
+
+
+def test_license_rules_equal_brute_force(spark):
+    from gridloom.llm.licenses import BODIES, NAMES, TEMPLATES, rules, scan
+
+    rng = random.Random(11)
+    plain = lambda rx: re.sub(r"\[(.)[^\]]*\]", r"\1", re.sub(r"\(\?:([^()|]*)(?:\|[^()]*)?\)\??", r"\1", re.sub(r"\(\?:([^()|]*)(?:\|[^()]*)?\)\??", r"\1", rx))).replace(" ?", " ").replace("?", "")
+    pieces = [plain(t.format(name)) for t, *_ in TEMPLATES for *_, name in NAMES] + [plain(b[2]) for b in BODIES]
+    texts = [" ".join(rng.choice(pieces) if rng.random() < 0.4 else rng.choice("under the license of mit gpl v2 3 0 version cc by nc sa apache spdx word".split()) for _ in range(rng.randint(1, 60))) for _ in range(300)]
+    texts += pieces + [rng.choice([", ", "; ", "-"]).join(p.upper().split()) for p in pieces]
+    got = {r["i"]: r for r in scan(spark.createDataFrame(list(enumerate(texts)), "i int, text string")).collect()}
+    hit = 0
+    for i, text in enumerate(texts):
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())
+        want = plain_detections(words, rules())
+        assert [tuple(d) for d in got[i]["detections"]] == want, text
+        base = set(filter(None, got[i]["base_labels"].split(",")))
+        assert got[i]["labels"] == ",".join(sorted(base | {d[2] for d in want}))
+        hit += len(want)
+    assert hit > 1000
+    assert scan(spark.createDataFrame([], "i int, text string")).count() == 0
+
+
+def test_license_scan_of_a_long_text_is_quick(spark):
+    import time
+
+    from gridloom.llm.licenses import scan
+
+    text = " ".join(["word", "under the mit license", "cc by nc"] * 10_000)
+    start = time.time()
+    row = scan(spark.createDataFrame([(text,)], "text string")).drop("text").first()
+    assert (row["n_words"], row["n_base"], len(row["detections"])) == (80_000, 20_000, 20_000)
+    assert time.time() - start < 30
+
+
 def test_media_round_trip(spark, rows):
     from gridloom.llm.media import UNKNOWN, digest, pad, samples, sniff, sniff_media, to_bmp, to_png, to_wav
 
