@@ -14,7 +14,7 @@ all kept.
 from __future__ import annotations
 
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -180,6 +180,24 @@ BODIES = (
     ("cc-by-nc-nd", "cc", "cc by nc nd(?: [1-4] 0)?", 5, 0.9),
 )
 
+#: Every rule's matches hold one of these, or all words of a pair whose regex the text has.
+GATES = ("licen", "spdx", "software", "copyright", "commons", "permission", "redistribution", "tortious", "proprietary", "prohibited", "eupl")
+WORD_GATES = (
+    (("under",), "under"),
+    (("subject",), "subject"),
+    (("cc", "by", "nc"), "cc[^0-9a-z]+by"),
+    (("cc0",), "cc0"),
+    (("bsd",), "0?bsd"),
+    (("public", "domain"), "domain"),
+    (("rights", "reserved"), "reserved"),
+    (("altered", "source"), "altered"),
+    (("beer", "return"), "beer"),
+    (("attribution",), "attribution"),
+    (("mozilla",), "mozilla"),
+    (("only", "use"), "use[^0-9a-z]+only"),
+    (("only", "purposes"), "purposes[^0-9a-z]+only"),
+)
+
 _NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -227,24 +245,27 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
     raw = F.coalesce(F.col(text), F.lit(""))
     low = F.lower(raw)
     word = lambda rx: F.col("__low").rlike(f"(?<![0-9a-z])(?:{rx})(?![0-9a-z])")
-    own = sorted({r[1] for r in BODIES})
-    some = reduce(or_, [F.contains(F.col("__low"), F.lit(x)) for x in own])
-    gate = F.contains(F.col("__low"), F.lit("licen")) | F.contains(F.col("__low"), F.lit("spdx")) | word("under|subject") | some & word("|".join(own))
+    has = lambda *parts: reduce(and_, [F.contains(F.col("__low"), F.lit(x)) for x in parts])
+    gate = reduce(or_, [has(x) for x in GATES]) | reduce(or_, [reduce(and_, [has(x) for x in some]) & word(rx) for some, rx in WORD_GATES])
     vocabulary = sorted({r[1] for r in rules()})
     # normalised words, with one space on both sides of each; null where the gate is shut
     normal = F.when(gate, F.concat(F.lit(" "), F.regexp_replace(F.translate(F.concat(raw, F.lit(" ")), _UPPER, _UPPER.lower()), _NOT_WORD, " ")))
     normal = F.regexp_replace(normal, "^ +", " ")
     base = "(?<= )(?:" + "|".join(p for p, _ in BASE) + ")(?= )"
-    of_word = {w: F.array(*[F.struct(F.lit(label).alias("label"), F.lit(numbered(rx)).alias("rx"), F.lit(p).alias("p"), F.lit(weight).alias("w")) for label, word_, rx, p, weight in rules() if word_ == w]) for w in vocabulary}
+    of_word = {w: F.array(*[F.struct(F.lit(label).alias("label"), F.lit(f"(?<= )(?:{rx})(?= )").alias("plain"), F.lit(numbered(rx)).alias("rx"), F.lit(p).alias("p"), F.lit(weight).alias("w")) for label, word_, rx, p, weight in rules() if word_ == w]) for w in vocabulary}
     rule_map = F.create_map(*[x for w in vocabulary for x in (F.lit(w), of_word[w])])
+    any_of = {w: "(?<= )(?:" + "|".join(rx for _, word_, rx, *_ in rules() if word_ == w) + ")(?= )" for w in vocabulary}
+    any_map = F.create_map(*[F.lit(x) for w in vocabulary for x in (w, any_of[w])])
     n = F.col("__n")
     # the same with each word's number, so that what a rule matches tells its place
     places = F.transform(F.split(F.trim(n), " "), lambda w, i: F.concat(w, F.lit("#"), i.cast("string")))
     there = F.filter(F.array(*map(F.lit, vocabulary)), lambda w: F.contains(n, F.concat(F.lit(" "), w, F.lit(" "))))
-    candidates = F.flatten(F.transform(there, lambda w: rule_map[w]))
+    # a keyword's rules are tried one by one only where one of them matches
+    candidates = F.flatten(F.transform(F.filter(there, lambda w: F.regexp_like(n, any_map[w])), lambda w: rule_map[w]))
+    candidates = F.filter(candidates, lambda r: F.regexp_like(n, r.getField("plain")))
     number = lambda m, rx: F.regexp_extract(m, rx, 1).cast("int")
     hits = F.transform(
-        candidates,
+        F.col("__c"),
         lambda r: F.transform(
             F.regexp_extract_all(F.col("__p"), r.getField("rx"), F.lit(0)),
             lambda m: F.struct(number(m, "#([0-9]+)").alias("s"), (-1 - number(m, "#([0-9]+)$")).alias("back"), r.getField("p").alias("p"), r.getField("label").alias("label"), r.getField("w").alias("w")),
@@ -253,10 +274,11 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
     none = F.expr("cast(array() as array<struct<first:int,after:int,label:string,weight:double>>)")
     labels_of = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
 
-    df = df.drop("__low", "__n", "__p", "__o", "__m", "__s", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "detections")
+    df = df.drop("__low", "__n", "__c", "__p", "__o", "__m", "__s", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "detections")
     df = df.withColumn("__low", low).withColumn("__n", normal).drop("__low")
-    df = df.withColumn("__p", F.when(n.isNotNull(), F.concat(F.lit(" "), F.array_join(places, " "), F.lit(" "))))
-    df = df.withColumn("__o", F.array_sort(F.flatten(hits)))
+    df = df.withColumn("__c", F.when(n.isNotNull(), candidates))
+    df = df.withColumn("__p", F.when(F.size("__c") > 0, F.concat(F.lit(" "), F.array_join(places, " "), F.lit(" "))))
+    df = df.withColumn("__o", F.when(F.size("__c") > 0, F.array_sort(F.flatten(hits))))
     df = df.withColumns({
         "n_words": F.regexp_count(raw, F.lit(_WORDS)).cast("long"),
         "__m": F.when(F.col("__n").rlike(base), F.regexp_extract_all(n, F.lit(base), F.lit(0))).otherwise(F.expr("cast(array() as array<string>)")),
@@ -273,7 +295,7 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
         "base_labels": labels_of(own),
         "labels": labels_of(F.concat(own, F.col("detections.label"))),
         "score": F.when(some, F.lit(1.0)).otherwise(F.coalesce(F.array_max(F.col("detections.weight")), F.lit(0.0))),
-    }).drop("__n", "__p", "__o", "__m", "__s")
+    }).drop("__n", "__c", "__p", "__o", "__m", "__s")
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
