@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, prepare, saved, table, texts_of, windows_hash
@@ -247,7 +247,9 @@ def divide(texts: DataFrame, hot: DataFrame, length: int, gram: int) -> DataFram
 
     single = saved(of_texts(dealt.where("mixed"), ["h", "k", "a", "alone", "x", "y"]).mapInArrow(windows, "h long, k long, alone boolean, x int, own long"))
     again = saved(single.groupBy("h", "own").agg(F.count("*").alias("rows")).where("rows > 1").select("h", "own"))
-    return whole.union(single.where("alone").join(again, ["h", "own"]).select("h", "k", F.col("x").alias("s"), F.col("x").alias("e")))
+    single = single.where("alone").join(again, ["h", "own"]).select("h", "k", "x").distinct()
+    single = single.withColumn("island", F.col("x") - F.row_number().over(Window.partitionBy("h", "k").orderBy("x")))  # a run has RUN windows at most
+    return whole.union(single.groupBy("h", "k", "island").agg(F.min("x").alias("s"), F.max("x").alias("e")).drop("island"))
 
 
 def repeated_windows(texts: DataFrame, length: int, gram: int, shard: int = SHARD) -> DataFrame:
@@ -275,8 +277,9 @@ def repeated_windows(texts: DataFrame, length: int, gram: int, shard: int = SHAR
     marks = marks.union(kinds.where("rows > 1").select("h", "k", F.lit(0), F.col("b") - F.col("a")))
     if facts["hot"]:
         marks = marks.union(divide(texts, mixed.where(~fit).select("h", "k", "t", "n", "a", "b", "alone"), length, gram))
-    spans = rows.join(saved(marks), ["h", "k"]).select("t", "n", F.struct((F.col("a") + F.col("s")).alias("s"), (F.col("a") + F.col("e")).alias("e")).alias("span"))
-    return spans.groupBy("t", "n").agg(F.collect_set("span").alias("spans"))
+    marks = saved(marks.groupBy("h", "k").agg(F.collect_list(F.struct("s", "e")).alias("marks")))  # one row a run, so that the join makes no more rows than there are runs
+    spans = rows.join(marks, ["h", "k"]).select("t", "n", F.transform("marks", lambda x: F.struct((F.col("a") + x["s"]).alias("s"), (F.col("a") + x["e"]).alias("e"))).alias("spans"))
+    return spans.groupBy("t", "n").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def keyed(docs: DataFrame, text_column: str) -> DataFrame:
