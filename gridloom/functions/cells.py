@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gridloom.params import GRID_COLUMNS, GRID_ROWS, SCALES, SERIAL_MOST
+from gridloom.params import CURRENCY_SIGNS, GRID_COLUMNS, GRID_ROWS, SCALES, SERIAL_MOST, SERIES_KINDS, STRUCTURAL_KEYS, VALUE_BLOCKS
 
 NUMBER = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
 
@@ -174,3 +174,38 @@ def label_contains(label: Column, needle: str) -> Column:
 
 def markdown_cell(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"\|", r"\\|"), r"\r?\n", " ")
+
+
+def unit_display(unit: Column, currency: Column, scale: Column, per: Column) -> Column:
+    """How a unit is shown: %, years, count, x, date; a scale letter with a currency sign for money, over something for prices."""
+    signs = F.create_map(*[F.lit(x) for pair in CURRENCY_SIGNS.items() for x in pair])
+    money = F.nullif(F.concat(F.coalesce(F.nullif(scale, F.lit("unit")), F.lit("")), F.coalesce(signs[currency], F.lit(""))), F.lit(""))
+    plain = F.create_map(*[F.lit(x) for x in ("rate", "%", "years", "years", "count", "count", "ratio", "x", "date", "date")])
+    out = F.when(unit == "price", F.concat(F.coalesce(money, F.lit("money")), F.lit("/"), F.coalesce(per, F.lit("unit")))).when(unit == "money", F.coalesce(money, F.lit("money")))
+    return out.otherwise(F.coalesce(plain[unit], F.lit("")))
+
+
+def displayed_number(value: Column, fmt: Column) -> Column:
+    """The digits that a simple number format shows (0, 0.00, #,##0.0, 0%); null for other formats and texts."""
+    token = F.regexp_replace(F.element_at(F.split(fmt, ";", 2), 1), r'\[[^\]]*\]|"[^"]*"|\\.|[*_]', "")
+    number = parse_number(value) * F.when(token.contains("%"), 100).otherwise(1)
+    token = F.regexp_replace(token, "[%,]", "")
+    decimals = F.length(F.regexp_replace(F.coalesce(F.get(F.split(token, r"\.", 2), F.lit(1)), F.lit("")), "[^0#]", ""))
+    whole = [F.format_string(f"%.{d}f", number) for d in range(10)]
+    shown = F.get(F.array(*whole), F.least(decimals, F.lit(9)))
+    return F.when(number.isNotNull() & token.rlike("[0#]"), shown)
+
+
+def chart_note(sheet: Column) -> Column:
+    """A note for sheets that are copies in charts or dashboards; null for others."""
+    return F.when(F.trim(sheet).rlike(r"(?iu)^(charts?|графики|диаграммы?|dashboards?|дашборды?)\s*\d*$"), F.concat(F.lit("Sheet "), sheet, F.lit(" is a chart copy, not a calculation")))
+
+
+def is_value_block(kind: Column) -> Column:
+    """Whether a block publishes value columns and no period axis."""
+    return F.coalesce(kind.isin(*VALUE_BLOCKS), F.lit(False))
+
+
+def is_series_column(kind: Column, period_key: Column) -> Column:
+    """Whether a column is a timeline's value column, no total and no stub."""
+    return F.coalesce(kind.isin(*SERIES_KINDS) & ~period_key.isin(*STRUCTURAL_KEYS), F.lit(False))

@@ -8,21 +8,22 @@ from pyspark.sql import functions as F
 from gridloom.operators.ordered import first_seen
 
 
-def resolve_names(uses: DataFrame, names: DataFrame) -> DataFrame:
-    """uses(sheet, name) with what the name stands for; names(sheet or null, name, formula, ordinal).
+def resolve_names(uses: DataFrame, names: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """uses(keys, sheet, name) with what the name stands for; names(keys, sheet or null, name, formula, ordinal).
 
     A sheet's own name hides the workbook's; the last definition of a scope wins; only a wholly absolute cell or
     range resolves, one level deep; a bracket means another workbook.
     """
-    last = first_seen(names.withColumn("__n", F.lower("name")).withColumn("__o", -F.col("ordinal")), ["sheet", "__n"], ["__o"])
-    local = last.where("sheet is not null").select(F.col("sheet").alias("__s"), "__n", F.col("formula").alias("__local"))
-    book = last.where("sheet is null").select("__n", F.col("formula").alias("__book"))
-    out = uses.withColumn("__n", F.lower("name")).join(local.withColumnRenamed("__n", "__m"), (F.col("sheet") == F.col("__s")) & (F.col("__n") == F.col("__m")), "left").join(book, "__n", "left")
+    keys = keys or []
+    last = first_seen(names.withColumn("__n", F.lower("name")).withColumn("__o", -F.col("ordinal")), [*keys, "sheet", "__n"], ["__o"])
+    local = last.where("sheet is not null").select(*keys, F.col("sheet").alias("__s"), "__n", F.col("formula").alias("__local"))
+    book = last.where("sheet is null").select(*keys, "__n", F.col("formula").alias("__book"))
+    out = uses.withColumns({"__n": F.lower("name"), "__s": F.col("sheet")}).join(local, [*keys, "__s", "__n"], "left").join(book, [*keys, "__n"], "left")
     text = F.coalesce("__local", "__book")
     corner = r"\$[A-Za-z]{1,3}\$[0-9]{1,7}"
     absolute = text.rlike(rf"^=?('[^']+'!|[^!'\[]+!)?{corner}(:{corner})?$")
     status = F.when(text.isNull(), "unknown").when(text.contains("["), "external").when(absolute, "resolved").otherwise("unresolved")
-    return out.withColumns({"status": status, "target": F.when(absolute & ~text.contains("["), F.regexp_replace(F.regexp_replace(text, r"^=", ""), r"\$", ""))}).drop("__n", "__m", "__s", "__local", "__book")
+    return out.withColumns({"status": status, "target": F.when(absolute & ~text.contains("["), F.regexp_replace(F.regexp_replace(text, r"^=", ""), r"\$", ""))}).drop("__n", "__s", "__local", "__book")
 
 
 def overlay(base: DataFrame, top: DataFrame, keys: list[str], value: str) -> DataFrame:

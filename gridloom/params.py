@@ -18,3 +18,8 @@ CONDITIONAL = ("IF", "IFS", "SWITCH")
 AGGREGATION = ("SUM", "SUMPRODUCT", "AVERAGE", "MIN", "MAX", "COUNT", "COUNTA", "COUNTIF", "COUNTIFS", "SUBTOTAL", "AGGREGATE")
 DYNAMIC = ("INDIRECT", "OFFSET")
 EDGE_KINDS = ("ref", "range", "cross_sheet", "external", "dynamic")
+MONTH_STEPS = (1, 3, 6, 12)
+OUTLINE_MOST = 8
+VALUE_BLOCKS = ("params", "key_value", "matrix")
+SERIES_KINDS, STRUCTURAL_KEYS = ("period", "stub", "relative"), ("total", "stub")
+CURRENCY_SIGNS = {"GBP": "£", "USD": "$", "EUR": "€", "RUB": "₽"}

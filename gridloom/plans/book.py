@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gridloom.functions import cells as C
 from gridloom.operators import formula as G
 from gridloom.operators import ranges as R
+from gridloom.operators.lookups import resolve_names
 from gridloom.params import NOISE
 from gridloom.plans import graph
 from gridloom.plans.layout import axis_periods, detect
@@ -39,9 +40,8 @@ class Books:
         """Row by period facts with the formula behind each; see grid.observations for the selection."""
         from gridloom.plans.grid import observations
 
-        out = observations(self.series, row_keys, q, period_ids, limit)
-        of = self.series.select("sheet", "row_key", "period_id", "book_id", F.concat("sheet", F.lit("!"), "addr").alias("cell"))
-        return out.join(of, ["sheet", "row_key", "period_id"]).join(self.links.select("book_id", "cell", "formula", "formula_class"), ["book_id", "cell"], "left")
+        out = observations(self.series, row_keys, q, period_ids, limit, ("book_id", "cell"))
+        return out.join(self.links.select("book_id", "cell", "formula", "formula_class"), ["book_id", "cell"], "left")
 
     def catalog(self, q: str | None = None, sheet: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
         from gridloom.plans.grid import catalog
@@ -72,47 +72,67 @@ class Books:
 
 def build(spark: SparkSession, path: str | list[str]) -> Books:
     """All relations of the workbooks under a path; cells and layout are written once and read by what follows."""
+    workbooks = checkpointed(read_workbooks(spark, path))
     cells = checkpointed(read_cells(spark, path))
-    populated = cells.where("presence = 'populated'")
+    populated = cells.where("presence = 'populated'").join(workbooks.select("book_id", "date1904").distinct(), "book_id", "left")
     layout = checkpointed(detect(populated))
     periods = axis_periods(layout)
     rows = layout.select("book_id", "sheet", "row", "row_key", "label", "kind", "axis_id", "block_kind", "unit", "label_col")
     at = populated.join(rows, ["book_id", "sheet", "row"], "left").join(periods.select("book_id", "axis_id", "col", "period_id"), ["book_id", "axis_id", "col"], "left")
     identity = checkpointed(at.withColumn("row_key", F.when(F.col("period_id").isNotNull() | (F.col("col") != F.col("label_col")), F.col("row_key"))))
     parsed = checkpointed(G.parse_cells(populated))
-    edges = G.formula_edges(parsed)
-    cell_edges = checkpointed(expand_edges(edges, populated))
+    edges = checkpointed(with_names(G.formula_edges(parsed), workbooks))
+    cell_edges = checkpointed(expand_edges(edges, cells))
     index = graph.index(identity, cell_edges)
     enriched = graph.enrich(cell_edges, index)
     formulas = populated.where("formula_raw is not null").select("book_id", F.concat("sheet", F.lit("!"), "addr").alias("source"), F.col("formula_raw").alias("formula"))
-    return Books(read_workbooks(spark, path), cells, layout, periods, identity, parsed, edges, cell_edges, index, enriched, graph.links(formulas, edges, enriched), graph.cycles(enriched), series(identity))
+    return Books(workbooks, cells, layout, periods, identity, parsed, edges, cell_edges, index, enriched, graph.links(formulas, edges, enriched), graph.cycles(enriched), series(rows, periods, cells))
+
+
+def with_names(edges: DataFrame, workbooks: DataFrame) -> DataFrame:
+    """Edges whose defined names stand for what they are defined as; a name that does not resolve stays as it is."""
+    names = workbooks.select("book_id", F.posexplode("defined_names").alias("ordinal", "d")).select("book_id", "d.sheet", "d.name", "d.formula", "ordinal")
+    own = edges.withColumn("sheet", C.split_sheet(F.col("source"))["sheet"]).withColumn("name", F.when(F.col("named"), F.col("target")))
+    found = resolve_names(own.where("named").select("book_id", "sheet", "name").distinct(), names, ["book_id"]).where("status in ('resolved', 'external')")
+    found = found.select("book_id", "sheet", "name", "status", F.when(F.col("target").contains("!"), F.regexp_replace("target", "'", "")).otherwise(F.concat("sheet", F.lit("!"), "target")).alias("means"))
+    out = own.join(found, ["book_id", "sheet", "name"], "left")
+    known = F.col("means").isNotNull()
+    other = C.split_sheet(F.col("means"))["sheet"] != F.col("sheet")
+    kind = F.when(F.col("status") == "external", "external").when(known & F.col("means").contains(":"), "range").when(known & other, "cross_sheet").otherwise(F.col("kind"))
+    return out.select("book_id", "source", kind.alias("kind"), F.coalesce("means", "target").alias("target"), (F.col("unresolved") & ~known).alias("unresolved"), "named", "ord")
 
 
 def expand_edges(edges: DataFrame, cells: DataFrame) -> DataFrame:
-    """Edges to cells: small ranges as their cells, large ones as one node; with status and whether they dangle."""
-    known = cells.select("book_id", F.concat("sheet", F.lit("!"), "addr").alias("target"), F.lit(True).alias("known"))
+    """Edges to cells: small ranges as their cells, large ones on sheets of the book as one node; with status and whether they dangle."""
+    known = cells.where("presence = 'populated'").select("book_id", F.concat("sheet", F.lit("!"), "addr").alias("target"), F.lit(True).alias("known"))
+    blank = cells.where("presence <> 'populated'").select("book_id", F.concat("sheet", F.lit("!"), "addr").alias("target"), "presence")
     sheets = cells.select("book_id", "sheet", F.lit(True).alias("sheet_known")).distinct()
     part = C.split_sheet(F.col("target"))
     rows = edges.withColumns({"sheet": part["sheet"], "__r": C.rectangle(part["body"])}).select("book_id", "source", "kind", "target", "unresolved", "ord", "sheet", "__r.*")
+    rows = rows.join(sheets, ["book_id", "sheet"], "left")
     ranges = rows.where("kind = 'range' and not unresolved")
-    small = R.expand(ranges.where(~R.is_range_node())).select("book_id", "source", "kind", "unresolved", F.col("target").alias("range_ref"), F.concat("sheet", F.lit("!"), C.address(F.col("col"), F.col("row"))).alias("target"), "sheet", (F.col("ord") * 0).cast("long").alias("ord"), "truncated")
-    nodes = ranges.where(R.is_range_node()).select("book_id", "source", "kind", "unresolved", F.col("target").alias("range_ref"), "target", "sheet", F.col("ord").cast("long").alias("ord"), F.lit(False).alias("truncated"))
-    single = rows.where("kind <> 'range' or unresolved").select("book_id", "source", "kind", "unresolved", F.lit(None).cast("string").alias("range_ref"), "target", "sheet", F.col("ord").cast("long").alias("ord"), F.lit(False).alias("truncated"))
-    out = small.unionByName(single).join(known, ["book_id", "target"], "left").unionByName(nodes.withColumn("known", F.lit(True)))
-    out = out.join(sheets, ["book_id", "sheet"], "left")
-    status = R.classify_member(F.coalesce("known", F.lit(False)), F.coalesce("sheet_known", F.lit(False)), F.lit(None).cast("string"), F.col("range_ref").isNotNull(), F.col("unresolved"))
+    node = R.is_range_node() & F.coalesce("sheet_known", F.lit(False))
+    small = R.expand(ranges.where(~node)).select("book_id", "source", "kind", "unresolved", F.col("target").alias("range_ref"), F.concat("sheet", F.lit("!"), C.address(F.col("col"), F.col("row"))).alias("target"), "sheet", "sheet_known", (F.col("ord") * 0).cast("long").alias("ord"), "truncated")
+    nodes = ranges.where(node).select("book_id", "source", "kind", "unresolved", F.col("target").alias("range_ref"), "target", "sheet", "sheet_known", F.col("ord").cast("long").alias("ord"), F.lit(False).alias("truncated"))
+    single = rows.where("kind <> 'range' or unresolved").select("book_id", "source", "kind", "unresolved", F.lit(None).cast("string").alias("range_ref"), "target", "sheet", "sheet_known", F.col("ord").cast("long").alias("ord"), F.lit(False).alias("truncated"))
+    out = small.unionByName(single).join(known, ["book_id", "target"], "left").join(blank, ["book_id", "target"], "left")
+    out = out.unionByName(nodes.withColumn("known", F.lit(True)), allowMissingColumns=True)
+    status = R.classify_member(F.coalesce("known", F.lit(False)), F.coalesce("sheet_known", F.lit(False)), F.col("presence"), F.col("range_ref").isNotNull(), F.col("unresolved"))
     return out.withColumn("__s", status).select("book_id", "source", "target", "kind", "unresolved", "truncated", "range_ref", "ord", F.col("__s.status").alias("status"), F.col("__s.reason").alias("reason"), F.col("__s.dangling").alias("dangling"))
 
 
-def series(identity: DataFrame) -> DataFrame:
-    """Values of timeline rows by period, in base units."""
+def series(rows: DataFrame, periods: DataFrame, cells: DataFrame) -> DataFrame:
+    """Values of timeline rows by period, in base units: one row for each row and period, with status empty where there is no cell."""
     from gridloom.operators.ordered import noise_floor
 
-    rows = identity.where("period_id is not null")
-    out = rows.withColumns({"status": C.value_status(F.col("cached_value"), ~F.col("kind").isin("abstract", "index")), "scale_factor": C.scale_factor(C.scale_token(F.coalesce("unit", F.lit("unit"))))})
+    sheets = cells.groupBy("book_id", "sheet").agg(F.min("ordinal").alias("sheet_no"))
+    grid = rows.where("axis_id is not null").drop("label_col", "block_kind").join(periods.select("book_id", "axis_id", "col", "period_id"), ["book_id", "axis_id"])
+    out = grid.join(cells.select("book_id", "sheet", "row", "col", "cached_value"), ["book_id", "sheet", "row", "col"], "left").join(sheets, ["book_id", "sheet"], "left")
+    out = out.withColumns({"addr": C.address(F.col("col"), F.col("row")), "status": C.value_status(F.col("cached_value"), ~F.col("kind").isin("abstract", "index")), "scale_factor": C.scale_factor(C.scale_token(F.coalesce("unit", F.lit("unit"))))})
+    out = out.withColumn("cell", F.concat("sheet", F.lit("!"), "addr"))
     out = out.withColumn("number", C.normalized_number(F.col("cached_value"), F.col("scale_factor")))
     out = out.withColumn("number", noise_floor("number", ["book_id", "row_key"], NOISE)).withColumn("normalized", C.number_text(F.col("number")))
-    return out.select("book_id", "sheet", "row", "col", "addr", "row_key", "label", "kind", "axis_id", "period_id", "unit", "cached_value", "status", "scale_factor", "number", "normalized")
+    return out.select("book_id", "sheet", "sheet_no", "row", "col", "addr", "cell", "row_key", "label", "kind", "axis_id", "period_id", "unit", "cached_value", "status", "scale_factor", "number", "normalized")
 
 
 def context_markdown(series_rows: DataFrame) -> str:

@@ -51,6 +51,16 @@ def dangling_ids(edges: DataFrame, cap: int = ID_CAP) -> DataFrame:
     return capped_ids(edges.where("dangling"), ["book_id", "reason"], "target", "ord", cap)
 
 
+def usable(edges: DataFrame) -> DataFrame:
+    """Edges that a walk may take: with a target, resolved, not dangling, between cells or ranges of the book (as far as edges have these columns)."""
+    out = edges.where("target is not null")
+    if "unresolved" in edges.columns:
+        out = out.where(~F.coalesce("unresolved", F.lit(False)))
+    if "dangling" in edges.columns:
+        out = out.where(~F.coalesce("dangling", F.lit(False)))
+    return out.where(F.col("kind").isin("ref", "cross_sheet", "range")) if "kind" in edges.columns else out
+
+
 def cycles(edges: DataFrame) -> DataFrame:
     """Strongly connected components with two cells or a loop: book_id, cycle (c1..), members, class.
 
@@ -58,11 +68,11 @@ def cycles(edges: DataFrame) -> DataFrame:
     edges between cells that have both an incoming and an outgoing edge are gathered.
     """
     ship(edges.sparkSession)
-    usable = edges.where("target is not null").select("book_id", "source", "target", "period_lag")
-    into = usable.select("book_id", F.col("target").alias("source")).distinct()
-    out_of = usable.select("book_id", F.col("source").alias("target")).distinct()
+    kept = usable(edges).select("book_id", "source", "target", "period_lag")
+    into = kept.select("book_id", F.col("target").alias("source")).distinct()
+    out_of = kept.select("book_id", F.col("source").alias("target")).distinct()
     for _ in range(2):
-        usable = usable.join(into, ["book_id", "source"], "left_semi").join(out_of, ["book_id", "target"], "left_semi")
+        kept = kept.join(into, ["book_id", "source"], "left_semi").join(out_of, ["book_id", "target"], "left_semi")
 
     def run(x: pa.Table) -> pa.Table:
         names = sorted({*x.column("source").to_pylist(), *x.column("target").to_pylist()})
@@ -88,7 +98,7 @@ def cycles(edges: DataFrame) -> DataFrame:
         rows = sorted((sorted(m), c) for c, m in members.items())
         return pa.table({"book_id": pa.array([x.column("book_id")[0].as_py()] * len(rows), pa.string()), "cycle": pa.array([f"c{i + 1}" for i in range(len(rows))], pa.string()), "members": pa.array([m for m, _ in rows], pa.list_(pa.string())), "class": pa.array(["iterative_ok" if steady[c] else "unexpected" for _, c in rows], pa.string())})
 
-    return usable.groupBy("book_id").applyInArrow(run, "book_id string, cycle string, members array<string>, class string")
+    return kept.groupBy("book_id").applyInArrow(run, "book_id string, cycle string, members array<string>, class string")
 
 
 def components(nexts: list[list[int]]) -> list[int]:
@@ -141,7 +151,7 @@ def trace(edges: DataFrame, origins: DataFrame, direction: str = "precedents", d
 
     depth = max(1, min(TRACE_DEPTH_MOST, depth))
     a, b = ("source", "target") if direction == "precedents" else ("target", "source")
-    hops = edges.where("target is not null").select("book_id", F.col(a).alias("node"), F.col(b).alias("next")).distinct()
+    hops = usable(edges).select("book_id", F.col(a).alias("node"), F.col(b).alias("next")).distinct()
     visited = checkpointed(origins.select("book_id", "origin", F.col("origin").alias("node"), F.lit(0).cast("long").alias("depth")))
     for step in range(1, depth + 1):
         frontier = visited.where(F.col("depth") == step - 1).select("book_id", "origin", "node")

@@ -55,8 +55,8 @@ def series(cells: DataFrame) -> DataFrame:
     return out.withColumn("normalized", C.number_text(F.col("number")))
 
 
-def observations(rows: DataFrame, row_keys: list[str] | None = None, q: str | None = None, period_ids: list[str] | None = None, limit: int = OBSERVATIONS) -> DataFrame:
-    """Row by period facts of rows chosen by key or label, in document order, at most limit of them; truncated tells of more."""
+def observations(rows: DataFrame, row_keys: list[str] | None = None, q: str | None = None, period_ids: list[str] | None = None, limit: int = OBSERVATIONS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Row by period facts of rows chosen by key or label, in document order, at most limit of each book; truncated tells of more."""
     if not row_keys and not (q or "").strip():
         raise ValueError("selector_required")
     limit = max(1, min(OBSERVATIONS_MOST, limit))
@@ -66,21 +66,28 @@ def observations(rows: DataFrame, row_keys: list[str] | None = None, q: str | No
         rows = rows.where(C.label_contains(F.col("label"), q))
     if period_ids:
         rows = rows.where(F.col("period_id").isin(period_ids))
-    top = rows.orderBy("sheet", "row", "col").limit(limit + 1)
-    w = Window.orderBy("sheet", "row", "col")
-    top = top.withColumns({"__rn": F.row_number().over(w), "truncated": F.count("*").over(Window.partitionBy()) > limit})
-    return top.where(F.col("__rn") <= limit).select("sheet", "row_key", "label", "period_id", "cached_value", "status", "normalized", "truncated")
+    w = Window.partitionBy("book_id").orderBy(*document_order(rows), "row", "col")
+    top = rows.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= limit + 1)
+    top = top.withColumn("truncated", F.max("__rn").over(Window.partitionBy("book_id")) > limit)
+    return top.where(F.col("__rn") <= limit).select(*keep, "sheet", "row_key", "label", "period_id", "cached_value", "status", "normalized", "truncated")
+
+
+def document_order(rows: DataFrame) -> list[str]:
+    """The order of sheets: their place in the workbook where it is known."""
+    return ["sheet_no"] if "sheet_no" in rows.columns else ["sheet"]
 
 
 def catalog(rows: DataFrame, q: str | None = None, sheet: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
-    """A page of rows without numbers, with the total before paging."""
-    lines = rows.select("book_id", "sheet", "row", "row_key", "label", "unit").distinct()
+    """A page of each book's rows without numbers, with the total before paging."""
+    order = document_order(rows)
+    lines = rows.select("book_id", "sheet", *[c for c in order if c != "sheet"], "row", "row_key", "label", "unit").distinct()
     if q:
         lines = lines.where(C.label_contains(F.col("label"), q))
     if sheet:
         lines = lines.where(F.col("sheet") == sheet)
-    lines = lines.withColumn("total", F.count("*").over(Window.partitionBy("book_id")))
-    return lines.orderBy("sheet", "row").offset(offset).limit(limit).select("sheet", "row", "row_key", "label", "unit", "total")
+    w = Window.partitionBy("book_id")
+    lines = lines.withColumns({"total": F.count("*").over(w), "__rn": F.row_number().over(w.orderBy(*order, "row", "row_key"))})
+    return lines.where(F.col("__rn").between(offset + 1, offset + limit)).select("sheet", "row", "row_key", "label", "unit", "total")
 
 
 def summary(rows: DataFrame) -> DataFrame:

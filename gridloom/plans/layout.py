@@ -92,9 +92,11 @@ def block_rows(sheet: str, block: str, kind: str, body: dict[int, list], columns
 
 
 def detect(cells: DataFrame) -> DataFrame:
-    """LAYOUT rows of every sheet of cells(book_id, sheet, row, col, cached_value, number_format, formula_raw, style_indent)."""
+    """LAYOUT rows of every sheet of cells(book_id, sheet, row, col, cached_value, number_format, formula_raw, style_indent, date1904 or none)."""
     ship(cells.sparkSession)
     shown = C.display_text(F.col("cached_value"), F.col("number_format"))
+    if "date1904" in cells.columns:
+        shown = F.when(F.col("date1904"), C.display_text(F.col("cached_value"), F.col("number_format"), True)).otherwise(shown)
     rows = cells.select("book_id", "sheet", "row", "col", "formula_raw", "style_indent", shown.alias("shown"), C.parse_number(F.col("cached_value")).alias("number"))
     rows = with_period_keys(rows, "shown")
     names = [f.split()[0] for f in LAYOUT.split(", ")]

@@ -524,3 +524,220 @@ def sheet_pairing(spark, d):
     n = table(spark, d, "nation")
     other = n.select(F.when(F.col("n_nationkey") % 2 == 0, F.col("n_name")).otherwise(F.concat(F.lit("Sheet"), F.col("n_nationkey").cast("string"))).alias("n_name"), "n_nationkey")
     return pair(n, other, "n_name", "n_nationkey")
+
+
+@query("""SELECT p_partkey, ['rate','years','count','ratio','date','money','price','other'][CAST(p_partkey % 8 + 1 AS INTEGER)] AS unit,
+CASE p_partkey % 8 WHEN 0 THEN '%' WHEN 1 THEN 'years' WHEN 2 THEN 'count' WHEN 3 THEN 'x' WHEN 4 THEN 'date' WHEN 5 THEN coalesce(nullif(m, ''), 'money') WHEN 6 THEN coalesce(nullif(m, ''), 'money') || '/' || coalesce(CASE WHEN p_size % 2 = 0 THEN 'MWh' END, 'unit') ELSE '' END AS shown
+FROM (SELECT *, ['', 'k', 'm', 'bn'][CAST(p_size % 4 + 1 AS INTEGER)] || CASE p_size % 5 WHEN 0 THEN '£' WHEN 1 THEN '$' WHEN 2 THEN '€' WHEN 3 THEN '₽' ELSE '' END AS m FROM part)""")
+def unit_displays(spark, d):
+    pick = lambda names, n: F.get(F.array(*map(F.lit, names)), n.cast("int"))
+    unit = pick(["rate", "years", "count", "ratio", "date", "money", "price", "other"], F.col("p_partkey") % 8)
+    shown = C.unit_display(unit, pick(["GBP", "USD", "EUR", "RUB", None], F.col("p_size") % 5), pick(["unit", "k", "m", "bn"], F.col("p_size") % 4), F.when(F.col("p_size") % 2 == 0, "MWh"))
+    return table(spark, d, "part").select("p_partkey", unit.alias("unit"), shown.alias("shown"))
+
+
+@query("""SELECT p_partkey, f AS fmt, CASE p_partkey % 6 WHEN 0 THEN printf('%.0f', p_size + 0.25) WHEN 1 THEN printf('%.2f', p_size + 0.25) WHEN 2 THEN printf('%.1f', (p_size + 0.25) * 100) WHEN 3 THEN printf('%.3f', p_size + 0.25) END AS shown
+FROM (SELECT *, ['0', '#,##0.00;[Red]-0', '0.0%', '"x"0.0##', '@', 'General'][CAST(p_partkey % 6 + 1 AS INTEGER)] AS f FROM part)""")
+def displayed_numbers(spark, d):
+    """Digits under number formats; formats without digits show none."""
+    fmt = F.get(F.array(*map(F.lit, ["0", "#,##0.00;[Red]-0", "0.0%", '"x"0.0##', "@", "General"])), (F.col("p_partkey") % 6).cast("int"))
+    return table(spark, d, "part").select("p_partkey", fmt.alias("fmt"), C.displayed_number((F.col("p_size") + 0.25).cast("string"), fmt).alias("shown"))
+
+
+@query("""SELECT n_nationkey, s AS sheet, CASE WHEN n_nationkey % 5 IN (0, 2, 4) THEN 'Sheet ' || s || ' is a chart copy, not a calculation' END AS note, n_nationkey % 4 < 3 AS value_block, n_nationkey % 3 < 2 AND n_nationkey % 4 <> 1 AS series
+FROM (SELECT *, ['Charts', n_name, 'Dashboard 2', 'Chart of accounts', 'графики'][n_nationkey % 5 + 1] AS s FROM nation)""")
+def block_predicates(spark, d):
+    """Chart sheets, blocks of values, series columns."""
+    pick = lambda names, n: F.get(F.array(*[F.lit(x) if isinstance(x, str) else x for x in names]), n)
+    k = F.col("n_nationkey")
+    sheet = pick(["Charts", F.col("n_name"), "Dashboard 2", "Chart of accounts", "графики"], k % 5)
+    block, kind, key = pick(["params", "key_value", "matrix", "timeline"], k % 4), pick(["period", "relative", "total"], k % 3), pick(["2024", "total", "2025", "M1"], k % 4)
+    return table(spark, d, "nation").select("n_nationkey", sheet.alias("sheet"), C.chart_note(sheet).alias("note"), C.is_value_block(block).alias("value_block"), C.is_series_column(kind, key).alias("series"))
+
+
+@query("""WITH c AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS p, min(l_suppkey) AS s FROM lineitem GROUP BY ALL), f AS (SELECT l_linenumber AS sheet, l_orderkey, p % 4 = 0 AS missing, p % 4 = 0 AND s % 3 > 0 AS wanted, p % 9 = 0 AS bad FROM c WHERE s % 7 > 0)
+SELECT sheet, count(*) AS formulas, count(*) FILTER (missing) AS missing_cached, count(*) FILTER (wanted) AS missing_values, count(*) FILTER (bad) AS unparsed,
+array_to_string(list(l_orderkey ORDER BY l_orderkey) FILTER (wanted)[1:3], ',') AS missing_samples, array_to_string(list(l_orderkey ORDER BY l_orderkey) FILTER (bad)[1:3], ',') AS unparsed_samples FROM f GROUP BY sheet""")
+def formula_statistics(spark, d):
+    """Line items as cells of sheets by line number: formulas, missing caches, unparsed ones and their first three."""
+    from gridloom.operators.facts import formula_stats
+
+    c = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("s"))
+    cells = c.select(F.col("l_linenumber").alias("sheet"), F.col("l_orderkey").alias("cell"), F.col("l_orderkey").alias("ordinal"), F.when(F.col("s") % 7 > 0, "=A1").alias("formula"), F.when(F.col("p") % 4 > 0, "1").alias("cached"), (F.col("p") % 9 == 0).alias("unparsed"), "s")
+    out = formula_stats(cells, cells.where("s % 3 = 0").select("sheet", "cell"), ["sheet"])
+    text = lambda c: F.coalesce(F.array_join(F.transform(c, lambda x: x.cast("string")), ","), F.lit("")).alias(c)
+    return out.select("sheet", "formulas", "missing_cached", "missing_values", "unparsed", text("missing_samples"), text("unparsed_samples"))
+
+
+@query("""WITH e AS (SELECT user_id % 10 AS axis, event_type, CAST(floor(epoch(ts) / 86400) AS BIGINT) AS day, bool_or(value > 490 AND event_type <> 'view') AS is_on FROM events GROUP BY ALL), live AS (SELECT axis, event_type FROM e GROUP BY ALL HAVING bool_or(is_on))
+SELECT axis, day, coalesce(string_agg(e.event_type || '=' || CASE WHEN is_on THEN 1 ELSE 0 END, ',' ORDER BY e.event_type) FILTER (live.event_type IS NOT NULL), '') AS flags FROM e LEFT JOIN live USING (axis, event_type) GROUP BY axis, day""")
+def flag_maps(spark, d):
+    """Flags of each period by name; names that are never on are left out."""
+    from gridloom.operators.facts import flag_map
+
+    e = table(spark, d, "events").select((F.col("user_id") % 10).alias("axis"), "event_type", F.floor(F.unix_timestamp("ts") / 86400).alias("day"), ((F.col("value") > 490) & (F.col("event_type") != "view")).alias("is_on"))
+    out = flag_map(e, ["axis"], "day", "event_type", "is_on")
+    entries = F.transform(F.array_sort(F.map_entries("flags")), lambda x: F.concat(x["key"], F.lit("="), x["value"].cast("int").cast("string")))
+    return out.select("axis", "day", F.array_join(entries, ",").alias("flags"))
+
+
+@query("""WITH v AS (SELECT l_returnflag AS sheet, l_linenumber AS col, count(*) AS readers, min(l_orderkey) AS f FROM lineitem WHERE lower(l_returnflag) <> lower(l_linestatus) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY sheet ORDER BY readers DESC, f, col) AS rn FROM v) SELECT sheet, col, readers FROM r WHERE rn = 1 AND readers >= 2""")
+def active_value_columns(spark, d):
+    from gridloom.operators.facts import active_value_column
+
+    edges = table(spark, d, "lineitem").select(F.col("l_linestatus").alias("source_sheet"), F.col("l_returnflag").alias("target_sheet"), F.col("l_linenumber").alias("target_col"), F.col("l_orderkey").alias("ord"))
+    return active_value_column(edges, [])
+
+
+@query(f"WITH r AS ({RECTS}) SELECT id, CASE WHEN r1 = 1 AND r2 = 1048576 OR (c2 - c1 + 1) * (r2 - r1 + 1) > 64 THEN 1 ELSE (c2 - c1 + 1) * (r2 - r1 + 1) END AS edges FROM r")
+def expansion_estimate(spark, d):
+    from gridloom.operators.facts import expansion
+
+    return rects(spark, d).select("id", expansion().alias("edges"))
+
+
+@query("""WITH l AS (SELECT o_custkey, o_orderkey, o_orderkey % 4 AS level, o_orderpriority = '1-URGENT' AS unit FROM orders)
+SELECT a.o_orderkey, CASE WHEN NOT unit THEN (SELECT max(b.o_orderkey) FROM l b WHERE b.o_custkey = a.o_custkey AND b.o_orderkey < a.o_orderkey AND b.level < a.level AND NOT b.unit) END AS parent_above, CASE WHEN NOT unit THEN (SELECT min(b.o_orderkey) FROM l b WHERE b.o_custkey = a.o_custkey AND b.o_orderkey > a.o_orderkey AND b.level < a.level AND NOT b.unit) END AS parent_below FROM l a""")
+def outline_parents(spark, d):
+    """The nearest order of the same customer with a smaller level, before and after."""
+    from gridloom.operators.facts import outline_parent
+
+    rows = table(spark, d, "orders").withColumn("level", F.col("o_orderkey") % 4)
+    unit = F.col("o_orderpriority") == "1-URGENT"
+    return rows.select("o_orderkey", *[outline_parent("level", unit, ["o_custkey"], "o_orderkey", below).alias(name) for below, name in ((False, "parent_above"), (True, "parent_below"))])
+
+
+@query("""WITH k AS (SELECT DISTINCT o_custkey, year(o_orderdate) * 12 + month(o_orderdate) AS m FROM orders), s AS (SELECT o_custkey, m, m - lag(m) OVER (PARTITION BY o_custkey ORDER BY m) AS step FROM k)
+SELECT o_custkey, count(step) > 0 AND count(DISTINCT step) = 1 AND coalesce(min(step) IN (1, 3, 6, 12), false) AS steady, count(*) >= 3 AND count(DISTINCT step) = 1 AS regular FROM s GROUP BY o_custkey""")
+def steady_steps(spark, d):
+    """Whether the order months of a customer go on by one step."""
+    from gridloom.operators.facts import regular_run, steady_month_step
+
+    rows = table(spark, d, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_set(F.date_format("o_orderdate", "yyyy-MM"))).alias("k"))
+    return rows.select("o_custkey", steady_month_step(F.col("k")).alias("steady"), regular_run(F.col("k")).alias("regular"))
+
+
+@query("""WITH m AS (SELECT o_custkey, o_orderkey, count(*) OVER (PARTITION BY o_custkey) AS t, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM orders) SELECT o_custkey, o_orderkey, t AS members_total, least(t, 5) AS members_shown FROM m WHERE rn <= 5""")
+def capped_range_members(spark, d):
+    from gridloom.operators.facts import capped_members
+
+    return capped_members(table(spark, d, "orders").select("o_custkey", "o_orderkey"), ["o_custkey"], ["o_orderkey"], 5)
+
+
+@query("""WITH a AS (SELECT c_nationkey, c_mktsegment, c_custkey, c_custkey % 3 = 0 AS dated, c_custkey % 7 AS flags FROM customer), r AS (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY dated DESC, flags DESC, c_nationkey, c_custkey) AS rn FROM a) SELECT c_mktsegment AS signature, c_custkey AS axis_id FROM r WHERE rn = 1""")
+def canonical_timelines(spark, d):
+    from gridloom.operators.facts import canonical_timeline
+
+    k = F.col("c_custkey")
+    axes = table(spark, d, "customer").select(F.col("c_mktsegment").alias("signature"), k.alias("axis_id"), (k % 3 == 0).alias("dated"), (k % 7).alias("flags"), F.col("c_nationkey").alias("sheet_no"), k.alias("axis_no"))
+    return canonical_timeline(axes, ["signature"]).select("signature", "axis_id")
+
+
+@query("""WITH a AS (SELECT n_regionkey AS sheet, n_nationkey AS axis_id, n_nationkey % 3 + 1 AS header_row, n_nationkey % 6 + 2 AS lo, n_nationkey % 6 + 2 + n_nationkey % 5 + 1 AS hi FROM nation),
+p AS (SELECT sheet, arg_max(axis_id, (hi - lo) * 1000 - header_row * 100 - axis_id) AS id FROM a GROUP BY sheet), x AS (SELECT a.*, b.axis_id AS pid, b.lo AS plo, b.hi AS phi, b.header_row AS ph, greatest(0, least(a.hi, b.hi) - greatest(a.lo, b.lo)) AS inter FROM a JOIN p ON a.sheet = p.sheet JOIN a b ON b.axis_id = p.id)
+SELECT sheet, axis_id, axis_id = pid AS "primary" FROM x WHERE axis_id = pid OR CASE WHEN hi - 1 < plo THEN hi - lo >= 3 ELSE (abs(lo - plo) <= 1 AND abs(hi - phi) <= 1) OR inter / CAST((hi - lo) + (phi - plo) - inter AS DOUBLE) >= 0.8 OR (header_row <> ph AND hi - lo >= 3) OR (inter = 0 AND (hi - lo >= 3 OR least(hi - lo, phi - plo) / CAST(greatest(hi - lo, phi - plo) AS DOUBLE) >= 0.75)) END""")
+def dominant_axis(spark, d):
+    """Axes that stay beside the widest one of a sheet."""
+    from gridloom.operators.facts import dominant_axes
+
+    k = F.col("n_nationkey")
+    axes = table(spark, d, "nation").select(F.col("n_regionkey").alias("sheet"), k.alias("axis_id"), (k % 3 + 1).alias("header_row"), F.sequence(k % 6 + 2, k % 6 + 2 + k % 5).alias("cols"))
+    return dominant_axes(axes, ["sheet"]).select("sheet", "axis_id", "primary")
+
+
+@query(f"""SELECT p_partkey, '=IF(''My ' || p_size || '''!$B$' || p_size || '>0,SUM(A:C,' || {letters_sql('(p_partkey % 300 + 1)')} || p_size || ':D9),"A1")+Other!C' || p_size || '+LOG10(2)' AS formula,
+'My ' || p_size || '!$B$' || p_size || ';S!A:C;S!' || {letters_sql('(p_partkey % 300 + 1)')} || p_size || ':D9;Other!C' || p_size AS targets FROM part""")
+def formula_target_scan(spark, d):
+    """Targets found in formulas without parsing them."""
+    from gridloom.operators.facts import formula_targets
+
+    size = F.col("p_size").cast("string")
+    formula = F.concat(F.lit("=IF('My "), size, F.lit("'!$B$"), size, F.lit(">0,SUM(A:C,"), C.column_letters(F.col("p_partkey") % 300 + 1), size, F.lit(':D9),"A1")+Other!C'), size, F.lit("+LOG10(2)"))
+    return table(spark, d, "part").select("p_partkey", formula.alias("formula"), F.array_join(formula_targets(formula, F.lit("S")), ";").alias("targets"))
+
+
+@query("""WITH o AS (SELECT l_partkey AS range_id, l_suppkey AS reader, min(l_orderkey) AS o FROM lineitem GROUP BY ALL), n AS (SELECT p_partkey, p_size FROM part WHERE p_size % 2 = 0) SELECT range_id, string_agg(CAST(reader AS VARCHAR), ',' ORDER BY o, reader) AS readers, CAST(coalesce(min(p_size), 0) AS BIGINT) AS cells FROM o LEFT JOIN n ON p_partkey = range_id GROUP BY range_id""")
+def range_readers(spark, d):
+    """Each range once, with its readers in order and its present cells."""
+    from gridloom.operators.facts import range_catalogue
+
+    reads = table(spark, d, "lineitem").select(F.col("l_partkey").alias("range"), F.col("l_suppkey").alias("reader"), F.col("l_orderkey").alias("ord"))
+    present = table(spark, d, "part").where("p_size % 2 = 0").select(F.col("p_partkey").alias("range"), F.col("p_size").alias("n"))
+    return range_catalogue(reads, present, []).select(F.col("range").alias("range_id"), F.array_join(F.transform("readers", lambda x: x.cast("string")), ",").alias("readers"), "cells")
+
+
+@query(SHEETS + """SELECT sheet, last + 1 AS "row", 'aggregate' AS kind, CAST(1 - last AS INTEGER) AS up, CAST(-1 AS INTEGER) AS down FROM spans UNION ALL SELECT sheet, last + 2, NULL, NULL, NULL FROM spans WHERE sheet IN (SELECT sheet FROM tops WHERE col > 2)""")
+def row_shape_majority(spark, d):
+    """The shape of most formulas of each total and closing row."""
+    from gridloom.operators.facts import row_patterns
+
+    cells, tree = parsed(spark, d)
+    rows = cells.select("book_id", "sheet", "addr", "row", "col").join(tree.select("book_id", "sheet", "addr", "formula_template"), ["book_id", "sheet", "addr"])
+    return row_patterns(rows, ["sheet", "row"]).select("sheet", "row", "kind", "up", "down")
+
+
+TEMPLATES = ["=R[-1]C[0]", "=R[-2]C[-1]", "=SUM(R[-3]C[0]:R[-1]C[0])", "=R[-1]C[0]-R[-2]C[0]", "=R[-1]C[0]/R[-2]C[0]", "=Other!R[2]C[0]"]
+
+
+@query("""WITH r AS (SELECT DISTINCT p_size AS "row", p_size % 6 AS k FROM part), n AS (SELECT r."row", k, unnest(CASE k WHEN 0 THEN [-1] WHEN 1 THEN [-2] WHEN 2 THEN [-3, -2, -1] WHEN 3 THEN [-1, -2] WHEN 4 THEN [] ELSE [2] END) AS step FROM r)
+SELECT n."row", ['alias', 'roll_forward', 'aggregate', 'difference', '', 'alias'][CAST(k + 1 AS INTEGER)] AS kind, n."row" + step AS member FROM n WHERE n."row" + step IN (SELECT "row" FROM r)""")
+def row_relation_members(spark, d):
+    """Alias, roll-forward, difference and aggregate relations between rows, from formula shapes."""
+    from gridloom.operators.facts import row_patterns, row_relations
+
+    rows = table(spark, d, "part").select(F.col("p_size").alias("row"), (F.col("p_partkey") % 50 + 2).alias("col")).distinct()
+    cells = rows.withColumn("formula_template", F.get(F.array(*map(F.lit, TEMPLATES)), (F.col("row") % 6).cast("int")))
+    return row_relations(row_patterns(cells, ["row"]), rows.select("row").distinct(), [])
+
+
+@query("""WITH s AS (SELECT s_suppkey, s_name, CASE WHEN s_suppkey % 3 > 0 THEN s_suppkey - s_suppkey % 3 END AS parent, CASE WHEN s_suppkey % 2 = 0 THEN ['Top', (SELECT s_name FROM supplier p WHERE p.s_suppkey = s.s_suppkey - s.s_suppkey % 3)] ELSE ['Top'] END AS sections FROM supplier s)
+SELECT s.s_suppkey, array_to_string(CASE WHEN p.s_name IS NOT NULL AND NOT list_contains(s.sections, p.s_name) THEN list_append(s.sections, p.s_name) ELSE s.sections END, '/') AS path FROM s LEFT JOIN supplier p ON p.s_suppkey = s.parent""")
+def label_path(spark, d):
+    """Section paths with the parent's label where it is not in them."""
+    from gridloom.operators.facts import label_paths
+
+    s = table(spark, d, "supplier").select("s_suppkey", "s_name")
+    up = F.col("s_suppkey") - F.col("s_suppkey") % 3
+    names = s.select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("up_name"))
+    rows = s.withColumn("k", up).join(names, "k", "left").select(F.col("s_suppkey").alias("row"), F.col("s_name").alias("label"), F.when(F.col("s_suppkey") % 3 > 0, up).alias("parent_row"), F.when(F.col("s_suppkey") % 2 == 0, F.array(F.lit("Top"), F.col("up_name"))).otherwise(F.array(F.lit("Top"))).alias("section_path"))
+    return label_paths(rows, []).select(F.col("row").alias("s_suppkey"), F.array_join("path", "/").alias("path"))
+
+
+@query("""WITH h AS (SELECT DISTINCT p_brand, p_size FROM part WHERE p_partkey % 3 = 0), c AS (SELECT DISTINCT p_brand, p_size FROM part WHERE p_partkey % 2 = 0), k AS (SELECT * FROM h INTERSECT SELECT * FROM c), g AS (SELECT p_brand, p_size, p_size - row_number() OVER (PARTITION BY p_brand ORDER BY p_size) AS i FROM k), s AS (SELECT p_brand, min(p_size) AS a, max(p_size) AS b FROM g GROUP BY p_brand, i)
+SELECT p_brand, string_agg(a || ':' || b, ',' ORDER BY a) AS spans FROM s GROUP BY p_brand""")
+def hidden_but_occupied(spark, d):
+    """Hidden rows that hold a value, as spans."""
+    from gridloom.operators.facts import hidden_occupied
+
+    part = table(spark, d, "part")
+    cells = part.select("p_brand", F.col("p_size").alias("row"), F.when(F.col("p_partkey") % 2 == 0, "1").alias("cached_value"), F.lit(None).cast("string").alias("formula_raw"))
+    return hidden_occupied(part.where("p_partkey % 3 = 0").select("p_brand", F.col("p_size").alias("row")).distinct(), cells, ["p_brand"])
+
+
+@query("SELECT c_nationkey, count(DISTINCT o_custkey) AS published, count(DISTINCT c_custkey) AS \"rows\", count(DISTINCT o_custkey) / CAST(count(DISTINCT c_custkey) AS DOUBLE) AS share FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_nationkey")
+def content_completeness(spark, d):
+    from gridloom.operators.facts import completeness
+
+    c = table(spark, d, "customer").select("c_nationkey", "c_custkey")
+    return completeness(c.join(table(spark, d, "orders"), F.col("o_custkey") == F.col("c_custkey"), "left_semi"), c, ["c_nationkey"], "c_custkey")
+
+
+@query("SELECT s_suppkey, s_name AS label, coalesce((SELECT string_agg(CAST(p AS VARCHAR), ',' ORDER BY CAST(p AS VARCHAR)) FROM (SELECT DISTINCT l_partkey AS p FROM lineitem WHERE l_suppkey = s_suppkey)), '') AS cells FROM (SELECT s_suppkey, s_nationkey, CASE WHEN s_suppkey % 4 = 0 THEN 'Circular ' || s_suppkey ELSE s_name END AS s_name FROM supplier) WHERE s_suppkey % 4 = 0 AND s_nationkey % 2 = 0")
+def circular_row_hints(spark, d):
+    """Rows that call themselves circular, in books without cycles, with their cells."""
+    from gridloom.operators.facts import circularity_hints
+
+    s = table(spark, d, "supplier").select(F.col("s_nationkey").alias("book"), F.lit("S").alias("sheet"), F.col("s_suppkey").alias("row"), F.when(F.col("s_suppkey") % 4 == 0, F.concat(F.lit("Circular "), F.col("s_suppkey").cast("string"))).otherwise(F.col("s_name")).alias("label"))
+    l = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("row"), F.col("l_partkey").cast("string").alias("cell"))
+    cells = s.select("book", "sheet", "row").join(l, "row")
+    out = circularity_hints(s, cells, s.where("book % 2 = 1").select("book"), ["book"])
+    return out.select(F.col("row").alias("s_suppkey"), "label", F.array_join("cells", ",").alias("cells"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey % 5 > 0 AND o_orderkey % 7 > 0 AND o_orderkey % 4 < 3")
+def usable_edges(spark, d):
+    """Edges that walks may take."""
+    k = F.col("o_orderkey")
+    kinds = F.get(F.array(*map(F.lit, ["ref", "range", "cross_sheet", "external"])), (k % 4).cast("int"))
+    edges = table(spark, d, "orders").select("o_orderkey", F.lit("a").alias("target"), kinds.alias("kind"), (k % 5 == 0).alias("unresolved"), (k % 7 == 0).alias("dangling"))
+    return graph.usable(edges).select("o_orderkey")

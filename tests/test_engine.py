@@ -114,6 +114,32 @@ def test_trace_passes_through_large_ranges(spark, tmp_path):
     assert {r["node"]: r["depth"] for r in by_label.collect()} == readers
 
 
+def test_books_keep_apart_and_ghosts_dangle(spark, tmp_path):
+    """Two workbooks with equal sheet names; sheets in document order; unknown sheets, names and gaps."""
+    from gridloom.plans.book import build
+    from gridloom.sources.workbook import write_book
+
+    head = {"A1": ("k£", None), "B1": (2023, None), "C1": (2024, None)}
+    for name, v in (("one", 1), ("two", 7)):
+        sheet = head | {"A2": ("Sales", None), "B2": (v, None), "C2": (v + 1, None), "A3": ("Sales cost", None), "B3": (3, "=SUM(Ghost!A1:Z99)"), "A4": ("Link", None), "B4": (v, "=Rate"), "C4": (v, "=B2")}
+        (tmp_path / f"{name}.xlsx").write_bytes(write_book({"Z": sheet, "A": head | {"A2": ("Sales", None), "B2": (5, None), "C2": (6, None)}}, {"Rate": "A!$B$2"}))
+    book = build(spark, str(tmp_path / "*.xlsx"))
+    got = book.observations(q="sales").collect()
+    assert len(got) == 12 and len({r["book_id"] for r in got}) == 2
+    for b in {r["book_id"] for r in got}:
+        own = [r for r in got if r["book_id"] == b]
+        assert {r["cached_value"] for r in own if r["sheet"] == "Z" and r["label"] == "Sales"} in ({"1", "2"}, {"7", "8"})
+        assert [r["status"] for r in own if r["cell"] == "Z!C3"] == ["empty"]
+    first = book.observations(q="sales", limit=1).collect()
+    assert [(r["sheet"], r["truncated"]) for r in first] == [("Z", True)] * 2
+    assert [r["sheet"] for r in book.catalog(q="sales").orderBy("row").collect()].count("Z") == 4
+    edges = book.cell_edges.where("source = 'Z!B3'").collect()
+    assert len(edges) == 2 * 2000 and {(r["status"], r["reason"], r["dangling"]) for r in edges} == {("missing", "missing_sheet", True)}
+    named = book.cell_edges.where("source = 'Z!B4'").collect()
+    assert {(r["kind"], r["target"], r["status"], r["unresolved"]) for r in named} == {("cross_sheet", "A!B2", "cell", False)}
+    assert book.trace("Z!B3").count() == 2
+
+
 def test_markdown(book):
     from gridloom.plans.book import context_markdown
 
