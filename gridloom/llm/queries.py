@@ -26,3 +26,29 @@ QUERIES = {
     "op10_token_counts": op10_token_counts,
 }
 ORACLE: dict[str, str] = {}
+
+#: Brute force: all pairs of vectors, and every node that the links lead to.
+ORACLE["op4_embedding_near_dedup"] = """
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+u AS (SELECT r, list_transform(x, lambda c: c / sqrt(list_dot_product(x, x))) AS x FROM v
+  WHERE x IS NOT NULL AND len(x) > 0 AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND list_dot_product(x, x) > 0),
+l AS MATERIALIZED (SELECT a.r AS a, b.r AS b FROM u a JOIN u b ON a.r <> b.r AND len(a.x) = len(b.x) WHERE list_dot_product(a.x, b.x) >= 0.95),
+reach(a, b) AS (SELECT r, r FROM v UNION SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a),
+c AS (SELECT a AS r, min(v.vec_id) AS component_id FROM reach JOIN v ON v.r = reach.b GROUP BY a),
+n AS (SELECT a AS r, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN c USING (r) LEFT JOIN n USING (r)"""
+
+#: Brute force: every window of every text, as hexadecimal digits.
+ORACLE["op9_suffix_array_dedup"] = """
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+p AS MATERIALIZED (SELECT r, i, substr(h, 2 * i + 1, 2) AS x, CASE WHEN i + 400 <= n THEN hash(substr(h, 2 * i + 1, 800)) END AS w4, CASE WHEN i + 200 <= n THEN hash(substr(h, 2 * i + 1, 400)) END AS w2
+  FROM (SELECT r, h, n, unnest(range(n)) AS i FROM d)),
+f AS MATERIALIZED (SELECT r, i, x, w4 IS NOT NULL AND count(*) OVER (PARTITION BY w4) > 1 AS again4, w2 IS NOT NULL AND count(*) OVER (PARTITION BY w2) > 1 AS again2, x NOT IN ('20', '09', '0A', '0B', '0C', '0D') AS inside FROM p),
+g AS (SELECT *, coalesce(max(CASE WHEN again4 THEN i END) OVER o > i - 400, false) AS cut, i - sum(CAST(again2 AS INTEGER)) OVER o AS island,
+  sum(CASE WHEN inside AND NOT coalesce(lag_inside, false) THEN 1 ELSE 0 END) OVER o AS words FROM (SELECT *, lag(inside) OVER (PARTITION BY r ORDER BY i) AS lag_inside FROM f) WINDOW o AS (PARTITION BY r ORDER BY i ROWS UNBOUNDED PRECEDING)),
+s AS (SELECT r, min(i) AS a, max(i) + 200 AS b FROM g WHERE again2 GROUP BY r, island),
+t AS (SELECT s.r, s.a, s.b FROM s JOIN g x ON x.r = s.r AND x.i = s.a JOIN g y ON y.r = s.r AND y.i = s.b - 1 WHERE y.words - x.words + CAST(x.inside AS INTEGER) > 50),
+q AS (SELECT g.r, g.i, g.x, g.cut, coalesce(max(t.b) OVER (PARTITION BY g.r ORDER BY g.i ROWS UNBOUNDED PRECEDING) > g.i, false) AS wordy FROM g LEFT JOIN t ON t.r = g.r AND t.a = g.i),
+e AS (SELECT *, cut AND NOT coalesce(lag(cut) OVER o, false) AS cut_start, wordy AND NOT coalesce(lag(wordy) OVER o, false) AS wordy_start FROM q WINDOW o AS (PARTITION BY r ORDER BY i)),
+k AS (SELECT r, count(*) FILTER (cut) AS n_removed, count(*) FILTER (cut_start) AS n_spans, coalesce(string_agg(x, '' ORDER BY i) FILTER (NOT cut), '') AS kept, count(*) FILTER (wordy_start) AS n_passages, count(*) FILTER (wordy) AS passage_bytes FROM e GROUP BY r)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256, coalesce(n_passages, 0) AS n_passages, coalesce(passage_bytes, 0) AS passage_bytes FROM d LEFT JOIN k USING (r)"""
