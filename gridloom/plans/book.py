@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -70,6 +71,11 @@ class Books:
         return graph.trace(self.cell_edges, ids, direction, depth, ranges, cells, range_members)
 
 
+    def trace_edges(self, origin: str, direction: str = "precedents", depth: int = 8) -> DataFrame:
+        """The edges along which trace goes."""
+        return graph.trace_edges(self.cell_edges, self.trace(origin, direction, depth), direction, depth)
+
+
 def build(spark: SparkSession, path: str | list[str]) -> Books:
     """All relations of the workbooks under a path; cells and layout are written once and read by what follows."""
     workbooks = checkpointed(read_workbooks(spark, path))
@@ -149,3 +155,30 @@ def context_markdown(series_rows: DataFrame) -> str:
             out += ["", f"## {r.axis_id}", "", "| " + " | ".join(["row", "label", *heads]) + " |", "|" + " --- |" * (len(heads) + 2)]
         out.append("| " + " | ".join([str(r.row), r.label or "", *[x.v for x in r.v]]) + " |")
     return "\n".join(out).strip() + "\n"
+
+
+def markdown_table(rows: DataFrame, title: str, columns: list[str], order: list[str]) -> Iterator[str]:
+    """Lines of a Markdown table, one at a time on the driver."""
+    yield f"## {title}"
+    yield ""
+    yield "| " + " | ".join(columns) + " |"
+    yield "|" + " --- |" * len(columns)
+    cells = [F.coalesce(C.markdown_cell(F.col(c).cast("string")), F.lit("")).alias(c) for c in columns]
+    for r in rows.orderBy(*order).select(*cells).toLocalIterator():
+        yield "| " + " | ".join(r) + " |"
+
+
+def graph_markdown(books: Books) -> Iterator[str]:
+    """The formula graph: edges by kind, cycles, formulas with their class."""
+    yield from markdown_table(graph.edge_counters(books.edges), "Edges", ["book_id", "kind", "edges"], ["book_id", "kind"])
+    yield ""
+    yield from markdown_table(books.cycles.withColumn("members", F.array_join("members", ", ")), "Cycles", ["book_id", "cycle", "class", "members"], ["book_id", "cycle"])
+    yield ""
+    yield from markdown_table(books.links.withColumn("refs", F.array_join("refs", ", ")), "Formulas", ["book_id", "cell", "formula_class", "refs", "formula"], ["book_id", "cell"])
+
+
+def trace_markdown(books: Books, origin: str, direction: str = "precedents", depth: int = 8) -> Iterator[str]:
+    """A trace: its nodes by depth and the edges between them."""
+    yield from markdown_table(books.trace(origin, direction, depth), "Nodes", ["book_id", "node", "depth"], ["book_id", "depth", "node"])
+    yield ""
+    yield from markdown_table(books.trace_edges(origin, direction, depth), "Edges", ["book_id", "source", "target", "kind"], ["book_id", "depth", "source", "target"])

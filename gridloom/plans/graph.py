@@ -169,6 +169,17 @@ def trace(edges: DataFrame, origins: DataFrame, direction: str = "precedents", d
     return visited
 
 
+def trace_edges(edges: DataFrame, visited: DataFrame, direction: str = "precedents", depth: int = TRACE_DEPTH) -> DataFrame:
+    """(book_id, origin, source, target, kind, depth): the edges that a trace's visited(book_id, origin, node, depth) went along, an expanded range once as a whole."""
+    own = "source" if direction == "precedents" else "target"
+    kept = usable(edges)
+    whole = F.coalesce("range_ref", "target") if "range_ref" in edges.columns else F.col("target")
+    kind = F.col("kind") if "kind" in edges.columns else F.lit("ref")
+    kept = kept.select("book_id", "source", "target", whole.alias("shown"), kind.alias("kind"))
+    steps = visited.where(F.col("depth") < depth).select("book_id", "origin", F.col("node").alias(own), "depth")
+    return kept.join(steps, ["book_id", own]).groupBy("book_id", "origin", "source", F.col("shown").alias("target"), "kind").agg(F.min("depth").alias("depth"))
+
+
 def range_nodes(edges: DataFrame) -> DataFrame:
     """The ranges that edges keep as one node: book_id, range, sheet, c1, c2, r1, r2."""
     part = split_sheet(F.col("range"))

@@ -741,3 +741,31 @@ def usable_edges(spark, d):
     kinds = F.get(F.array(*map(F.lit, ["ref", "range", "cross_sheet", "external"])), (k % 4).cast("int"))
     edges = table(spark, d, "orders").select("o_orderkey", F.lit("a").alias("target"), kinds.alias("kind"), (k % 5 == 0).alias("unresolved"), (k % 7 == 0).alias("dangling"))
     return graph.usable(edges).select("o_orderkey")
+
+
+@query(NEXT + ", walk AS (SELECT p AS o, p AS node, 0 AS depth FROM f UNION SELECT o, q, depth + 1 FROM walk JOIN f ON p = node WHERE depth < 3), m AS (SELECT o, node, min(depth) AS depth FROM walk GROUP BY ALL) SELECT CAST(o AS VARCHAR) AS origin, CAST(node AS VARCHAR) AS source, CAST(q AS VARCHAR) AS target, CAST(depth AS BIGINT) AS depth FROM m JOIN f ON p = node WHERE depth < 3")
+def trace_edge_list(spark, d):
+    """The edges of a trace of three steps from every part."""
+    origins = table(spark, d, "part").select(F.lit("parts").alias("book_id"), F.col("p_partkey").cast("string").alias("origin"))
+    edges = functional(spark, d)
+    return graph.trace_edges(edges, graph.trace(edges, origins, "precedents", 3), "precedents", 3).select("origin", "source", "target", "depth")
+
+
+@query("SELECT p_partkey, trim(regexp_replace(lower(p_name || ' (KPI), Cash Flow & 5%'), '[^0-9a-z&%]+', ' ', 'g')) AS plain, replace(trim(regexp_replace(lower(p_name || ' (KPI), Cash Flow & 5%'), '[^0-9a-z&%]+', ' ', 'g')), 'cash flow', 'cashflow') AS label FROM part")
+def label_normalisation(spark, d):
+    text = F.concat("p_name", F.lit(" (KPI), Cash Flow & 5%"))
+    plain = F.trim(F.regexp_replace(F.lower(text), "[^0-9a-z&%]+", " "))
+    return table(spark, d, "part").select("p_partkey", plain.alias("plain"), C.normalize_label(text).alias("label"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = (SELECT min(l_linenumber) FROM lineitem k WHERE k.l_orderkey = l.l_orderkey) THEN 'first' ELSE 'later' END AS place FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) l")
+def row_neighbours(spark, d):
+    """Rows of an order as a chain: only the first has no precedent."""
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber").distinct()
+    from pyspark.sql import Window
+
+    before = F.lag("l_linenumber").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber"))
+    chain = rows.withColumn("before", before)
+    edges = chain.select(F.col("l_orderkey").cast("string").alias("book_id"), F.col("l_linenumber").cast("string").alias("source_row"), F.coalesce("before", "l_linenumber").cast("string").alias("target_row"))
+    found = graph.row_adjacency(edges).select(F.col("book_id").cast("long").alias("l_orderkey"), F.col("row_key").cast("int").alias("l_linenumber"), "precedents")
+    return rows.join(found, ["l_orderkey", "l_linenumber"], "left").select("l_orderkey", "l_linenumber", F.when(F.size(F.coalesce("precedents", F.array())) > 0, "later").otherwise("first").alias("place"))

@@ -69,3 +69,32 @@ def read_published(spark: SparkSession, target: str, name: str, local: str) -> D
     except AnalysisException:
         marker = None
     return spark.read.parquet(f"{target}/{marker.export_id}/{name}" if marker and name in marker.tables else local)
+
+
+def write_lines(path: str, lines: Iterator[str]) -> None:
+    """A local text file of lines written as they come, there as a whole or not at all."""
+    folder = os.path.dirname(os.path.abspath(path))
+    with tempfile.NamedTemporaryFile("w", dir=folder, delete=False, encoding="utf-8") as f:
+        for line in lines:
+            f.write(line + "\n")
+        f.flush()
+        os.fsync(f.fileno())
+    os.replace(f.name, path)
+
+
+JOB = "job_id string, filename string, status string, stage string, created string"
+
+
+def session_jobs(spark: SparkSession, path: str, status: str | None = None, q: str | None = None) -> DataFrame:
+    """The jobs whose meta files lie under a path, by id; unreadable files are left out."""
+    jobs = spark.read.schema(JOB).option("multiLine", True).option("mode", "DROPMALFORMED").option("recursiveFileLookup", True).option("pathGlobFilter", "meta.json").json(path).where("job_id is not null")
+    if status:
+        jobs = jobs.where(F.col("status") == status)
+    if q and q.strip():
+        jobs = jobs.where(F.lower("filename").contains(q.strip().lower()))
+    return jobs.orderBy("job_id")
+
+
+def read_document(spark: SparkSession, path: str, schema: str, without: tuple[str, ...] = ()) -> DataFrame:
+    """A JSON document as one row of a schema; fields left out are not parsed."""
+    return spark.read.schema(schema).option("multiLine", True).json(path).drop(*without)

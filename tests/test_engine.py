@@ -140,6 +140,28 @@ def test_books_keep_apart_and_ghosts_dangle(spark, tmp_path):
     assert book.trace("Z!B3").count() == 2
 
 
+def test_trace_edges_and_documents(spark, book, tmp_path):
+    import json
+
+    from gridloom.plans.book import graph_markdown, trace_markdown
+    from gridloom.sources.sinks import read_document, session_jobs, write_lines
+
+    edges = {(r["source"], r["target"]) for r in book.trace_edges("CF!C4").collect()}
+    assert edges == {("CF!C4", "CF!C2:C3"), ("CF!C2", "CF!B2")}
+    write_lines(str(tmp_path / "graph.md"), graph_markdown(book))
+    text = (tmp_path / "graph.md").read_text()
+    assert "range" in text and "rollforward" in text
+    assert any("CF!C2:C3" in line for line in trace_markdown(book, "CF!C4"))
+    for i, status in enumerate(["done", "failed", "done"]):
+        folder = tmp_path / "sessions" / "s" / "jobs" / str(i) / "meta"
+        folder.mkdir(parents=True)
+        (folder / "meta.json").write_text(json.dumps({"job_id": f"j{i}", "filename": f"Book{i}.xlsx", "status": status}))
+    (tmp_path / "sessions" / "s" / "jobs" / "0" / "meta" / "other.json").write_text("{}")
+    assert [r["job_id"] for r in session_jobs(spark, str(tmp_path / "sessions"), "done", " BOOK").collect()] == ["j0", "j2"]
+    (tmp_path / "doc.json").write_text(json.dumps({"a": 1, "blocks": [{"x": 2}]}))
+    assert read_document(spark, str(tmp_path / "doc.json"), "a int, blocks array<struct<x:int>>", ("blocks",)).first().asDict() == {"a": 1}
+
+
 def test_markdown(book):
     from gridloom.plans.book import context_markdown
 
