@@ -87,7 +87,9 @@ def build(spark: SparkSession, path: str | list[str]) -> Books:
     at = populated.join(rows, ["book_id", "sheet", "row"], "left").join(periods.select("book_id", "axis_id", "col", "period_id"), ["book_id", "axis_id", "col"], "left")
     identity = checkpointed(at.withColumn("row_key", F.when(F.col("period_id").isNotNull() | (F.col("col") != F.col("label_col")), F.col("row_key"))))
     parsed = checkpointed(G.parse_cells(populated))
-    edges = checkpointed(with_names(G.formula_edges(parsed), workbooks))
+    edges = G.formula_edges(parsed)
+    if not workbooks.where(F.size("defined_names") > 0).isEmpty():
+        edges = checkpointed(with_names(edges, workbooks))
     cell_edges = checkpointed(expand_edges(edges, cells))
     index = graph.index(identity, cell_edges)
     enriched = graph.enrich(cell_edges, index)
