@@ -94,7 +94,9 @@ def build(spark: SparkSession, path: str | list[str]) -> Books:
     index = graph.index(identity, cell_edges)
     enriched = graph.enrich(cell_edges, index)
     formulas = populated.where("formula_raw is not null").select("book_id", F.concat("sheet", F.lit("!"), "addr").alias("source"), F.col("formula_raw").alias("formula"))
-    return Books(workbooks, cells, layout, periods, identity, parsed, edges, cell_edges, index, enriched, graph.links(formulas, edges, enriched), graph.cycles(enriched), series(rows, periods, cells))
+    ranges = checkpointed(graph.range_nodes(cell_edges))
+    cycles = graph.cycles(enriched) if ranges.isEmpty() else graph.cycles(enriched, ranges, index)
+    return Books(workbooks, cells, layout, periods, identity, parsed, edges, cell_edges, index, enriched, graph.links(formulas, edges, enriched), cycles, series(rows, periods, cells))
 
 
 def with_names(edges: DataFrame, workbooks: DataFrame) -> DataFrame:

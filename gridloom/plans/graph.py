@@ -61,14 +61,52 @@ def usable(edges: DataFrame) -> DataFrame:
     return out.where(F.col("kind").isin("ref", "cross_sheet", "range")) if "kind" in edges.columns else out
 
 
-def cycles(edges: DataFrame) -> DataFrame:
+def range_hops(ranges: DataFrame, cells: DataFrame) -> DataFrame:
+    """Edges (book_id, source, target) from ranges(book_id, range, sheet, c1, c2, r1, r2) to the cells(book_id, node, sheet, row, col) inside.
+
+    A range leads to blocks of rows of a column whose sizes are powers of two (at most two of each size), and a
+    block to its cells; so many ranges over one column share blocks, and a cell is repeated for each size only.
+    """
+    key = ["book_id", "sheet"]
+    columns = cells.groupBy(*key).agg(F.collect_set("col").alias("__cols"))  # at most as many as a sheet has columns
+    ends = f"filter(transform(sequence(0, {ROW_LEVELS}), k -> struct(k AS k, shiftright(r1 - 2 + shiftleft(1L, k), k) AS a, shiftright(r2, k) AS b)), x -> x.a < x.b)"
+    blocks = f"flatten(transform({ends}, x -> filter(array(struct(x.k AS k, x.a AS b, x.a % 2 = 1 AS taken), struct(x.k AS k, x.b - 1 AS b, x.b % 2 = 1 AS taken)), y -> y.taken)))"
+    parts = ranges.join(columns, key).withColumn("col", F.explode(F.expr("filter(__cols, c -> c between c1 and c2)")))
+    parts = parts.select(*key, "range", "col", F.explode(F.expr(blocks)).alias("__b")).select(*key, "range", "col", "__b.k", "__b.b")
+    name = F.concat_ws("/", F.concat("sheet", F.lit("!"), F.col("col").cast("string")), F.col("k").cast("string"), F.col("b").cast("string"))
+    leads = parts.select("book_id", F.col("range").alias("source"), name.alias("target"))
+    at = cells.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(ROW_LEVELS)))).withColumn("b", F.expr("shiftright(row - 1, k)"))
+    inside = at.join(parts.select(*key, "col", "k", "b").distinct(), [*key, "col", "k", "b"])
+    return leads.unionByName(inside.select("book_id", name.alias("source"), F.col("node").alias("target")))
+
+
+#: Halvings of the rows of a sheet (2^20).
+ROW_LEVELS = 20
+
+
+def placed(nodes: DataFrame) -> DataFrame:
+    """nodes(book_id, node, ...) with the sheet, row and col of the cell."""
+    part = split_sheet(F.col("node"))
+    return nodes.withColumns({"sheet": part["sheet"], "__r": rectangle(part["body"])}).withColumns({"row": F.col("__r.r1"), "col": F.col("__r.c1")}).drop("__r")
+
+
+def cycles(edges: DataFrame, ranges: DataFrame | None = None, nodes: DataFrame | None = None) -> DataFrame:
     """Strongly connected components with two cells or a loop: book_id, cycle (c1..), members, class.
 
     The graph of one workbook is the unit: it is solved in linear time by one task, workbooks in parallel. Only
-    edges between cells that have both an incoming and an outgoing edge are gathered.
+    edges between cells that have both an incoming and an outgoing edge are gathered. Targets that are nodes of
+    ranges are seen through (range_hops) and are no members; whether they shift the period is asked of each pair
+    of a formula and a cell of its range within one component, by the periods in nodes(book_id, node_id, period_id).
     """
     ship(edges.sparkSession)
-    kept = usable(edges).select("book_id", "source", "target", "period_lag")
+    all_edges = usable(edges).select("book_id", "source", "target", "period_lag").withColumn("hop", F.lit(False))
+    kept = all_edges
+    if ranges is not None:
+        uses = all_edges.join(ranges.select("book_id", F.col("range").alias("target")), ["book_id", "target"], "left_semi")
+        kept = all_edges.join(uses.select("book_id", "target").distinct(), ["book_id", "target"], "left_anti")
+        kept = kept.unionByName(uses.withColumn("period_lag", F.lit("hop")))
+        cells = placed(all_edges.select("book_id", F.col("source").alias("node")).distinct())
+        kept = kept.unionByName(range_hops(ranges, cells).withColumns({"period_lag": F.lit("hop"), "hop": F.lit(True)}))
     into = kept.select("book_id", F.col("target").alias("source")).distinct()
     out_of = kept.select("book_id", F.col("source").alias("target")).distinct()
     for _ in range(2):
@@ -91,14 +129,27 @@ def cycles(edges: DataFrame) -> DataFrame:
         for s, t, lag in pairs:
             if of[s] == of[t] and of[s] in keep and (lag is None or lag in ("same", "unaligned")):
                 steady[of[s]] = False
+        passed = {at[s] for s, hop in zip(x.column("source").to_pylist(), x.column("hop").to_pylist(), strict=True) if hop}
         members: dict[int, list[str]] = {}
         for i, c in enumerate(of):
-            if c in keep:
+            if c in keep and i not in passed:
                 members.setdefault(c, []).append(names[i])
         rows = sorted((sorted(m), c) for c, m in members.items())
         return pa.table({"book_id": pa.array([x.column("book_id")[0].as_py()] * len(rows), pa.string()), "cycle": pa.array([f"c{i + 1}" for i in range(len(rows))], pa.string()), "members": pa.array([m for m, _ in rows], pa.list_(pa.string())), "class": pa.array(["iterative_ok" if steady[c] else "unexpected" for _, c in rows], pa.string())})
 
-    return kept.groupBy("book_id").applyInArrow(run, "book_id string, cycle string, members array<string>, class string")
+    found = kept.groupBy("book_id").applyInArrow(run, "book_id string, cycle string, members array<string>, class string")
+    if ranges is None:
+        return found
+    from gridloom.session import checkpointed
+
+    found = checkpointed(found)
+    own = placed(found.select("book_id", "cycle", F.explode("members").alias("node")))
+    around = uses.select("book_id", F.col("source").alias("node"), F.col("target").alias("range")).join(own.select("book_id", "cycle", "node"), ["book_id", "node"])
+    around = around.select("book_id", "cycle", F.col("node").alias("source"), "range").join(ranges, ["book_id", "range"])
+    pairs = cover(own, around, ["book_id", "cycle", "sheet"]).select("book_id", "cycle", "source", F.col("node").alias("target"))
+    lag = F.col("period_lag")
+    still = enrich(pairs, nodes).where(lag.isNull() | lag.isin("same", "unaligned")).select("book_id", "cycle").distinct().withColumn("still", F.lit(True))
+    return found.join(still, ["book_id", "cycle"], "left").select("book_id", "cycle", "members", F.when(F.col("still"), "unexpected").otherwise(F.col("class")).alias("class"))
 
 
 def components(nexts: list[list[int]]) -> list[int]:

@@ -258,6 +258,52 @@ def test_cycles_and_their_class(spark):
     assert got == {("b", "c1"): (["1", "2"], "iterative_ok"), ("b", "c2"): (["3"], "unexpected"), ("c", "c1"): (["1", "2"], "unexpected")}
 
 
+def test_range_hops_equal_brute_force(spark):
+    from gridloom.plans.graph import range_hops
+
+    rnd = random.Random(5)
+    cells = [("b", f"S!n{r}.{c}", "S", r, c) for r, c in {(rnd.choice([1, 2, 3, 64, 65, 127, 128, 1048576, rnd.randint(1, 300)]), rnd.randint(1, 4)) for _ in range(120)}]
+    rects = [("b", "S!r0", "S", 1, 16384, 1, 1048576), ("b", "S!r1", "S", 2, 2, 64, 127), ("b", "S!r2", "S", 1, 3, 1, 1), ("b", "T!r3", "T", 1, 4, 1, 300)]
+    for k in range(20):
+        c, r = sorted(rnd.choices(range(1, 6), k=2)), sorted(rnd.choices(range(1, 320), k=2))
+        rects.append(("b", f"S!x{k}", "S", *c, *r))
+    edges = range_hops(spark.createDataFrame(rects, "book_id string, range string, sheet string, c1 long, c2 long, r1 long, r2 long"), spark.createDataFrame(cells, "book_id string, node string, sheet string, row long, col long"))
+    nexts: dict = {}
+    for e in edges.collect():
+        nexts.setdefault(e["source"], []).append(e["target"])
+    for _, name, sheet, c1, c2, r1, r2 in rects:
+        got = sorted(n for b in nexts.get(name, []) for n in nexts.get(b, []))
+        assert got == sorted(n for _, n, s, r, c in cells if s == sheet and r1 <= r <= r2 and c1 <= c <= c2)
+
+
+def test_cycles_through_large_ranges(spark, tmp_path):
+    from gridloom.plans.book import build
+    from gridloom.sources.workbook import write_book
+
+    cells = {"A1": ("Item", None), "B1": (2023, None), "C1": (2024, None)}
+    cells |= {f"A{r}": (f"Line {r}", None) for r in range(2, 90)}
+    cells |= {f"B{r}": (r, None) for r in range(2, 90)} | {f"C{r}": (r, None) for r in range(2, 90)}
+    cells |= {"A92": ("Loop", None), "C92": (0, "=SUM(C2:C91)"), "C40": (0, "=C92")}  # over a range of the same period
+    cells |= {"E5": (0, "=SUM(E1:E100)"), "G1": (0, "=SUM(B2:B89)")}  # a loop by itself; a range without formulas
+    (tmp_path / "loop.xlsx").write_bytes(write_book({"S": cells}))
+    got = {tuple(r["members"]): r["class"] for r in build(spark, str(tmp_path / "loop.xlsx")).cycles.collect()}
+    assert got == {("S!C40", "S!C92"): "unexpected", ("S!E5",): "unexpected"}
+
+
+def test_class_of_cycles_through_ranges(spark):
+    from gridloom.plans.graph import cycles
+
+    edges = [("b", "S!B1", "S!A1:A90", None), ("b", "S!A7", "S!B1", "-1"), ("b", "S!D1", "S!C1:C90", None), ("b", "S!C7", "S!D1", "-1"), ("b", "S!C9", "S!D1", "-1")]
+    ranges = [("b", "S!A1:A90", "S", 1, 1, 1, 90), ("b", "S!C1:C90", "S", 3, 3, 1, 90)]
+    periods = [("b", "S!B1", "2024"), ("b", "S!A7", "2023"), ("b", "S!D1", "2024"), ("b", "S!C7", "2023"), ("b", "S!C9", "2024")]
+    out = cycles(
+        spark.createDataFrame(edges, "book_id string, source string, target string, period_lag string"),
+        spark.createDataFrame(ranges, "book_id string, range string, sheet string, c1 long, c2 long, r1 long, r2 long"),
+        spark.createDataFrame(periods, "book_id string, node_id string, period_id string"),
+    )
+    assert {tuple(r["members"]): r["class"] for r in out.collect()} == {("S!A7", "S!B1"): "iterative_ok", ("S!C7", "S!C9", "S!D1"): "unexpected"}
+
+
 def test_job_stream(spark, tmp_path):
     from gridloom.streaming.progress import EVENT, job_states
 
