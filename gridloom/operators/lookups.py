@@ -31,6 +31,12 @@ def overlay(base: DataFrame, top: DataFrame, keys: list[str], value: str) -> Dat
     return base.join(top.withColumnRenamed(value, "__top"), keys, "full_outer").withColumn(value, F.coalesce("__top", value)).drop("__top")
 
 
+def labelled(nodes: DataFrame, rows: DataFrame, keys: list[str], ident: str, label: str, order: str) -> DataFrame:
+    """nodes with the first label in order that any row of the same ident has; null where there is none."""
+    first = rows.where(F.col(label).isNotNull()).groupBy(*keys, ident).agg(F.min_by(label, order).alias(label))
+    return nodes.join(first, [*keys, ident], "left")
+
+
 def pair(left: DataFrame, right: DataFrame, name: str, order: str) -> DataFrame:
     """Pairs of rows by equal name; the rest by their order among the rest: left name, right name, by_name."""
     a, b = left.select(F.col(name).alias("left_name"), F.col(order).alias("__a")), right.select(F.col(name).alias("right_name"), F.col(order).alias("__b"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from gridloom.functions import cells as C
 from gridloom.operators import formula as G
 from gridloom.operators import ranges as R
-from gridloom.operators.lookups import resolve_names
+from gridloom.operators.lookups import labelled, resolve_names
 from gridloom.params import NOISE
 from gridloom.plans import graph
 from gridloom.plans.layout import axis_periods, detect
@@ -70,7 +70,11 @@ class Books:
         ids = ids.unionByName(blank).select("book_id", F.col("node_id").alias("origin"))
         return graph.trace(self.cell_edges, ids, direction, depth, ranges, cells, range_members)
 
-
+    def labelled_trace(self, origin: str, direction: str = "precedents", depth: int = 8, range_members: int = 0) -> DataFrame:
+        """trace with the row key, period and first label of each node (null where it has none)."""
+        at = self.index.select("book_id", F.col("node_id").alias("node"), "row_key", "period_id")
+        nodes = self.trace(origin, direction, depth, range_members).join(at, ["book_id", "node"], "left")
+        return labelled(nodes, self.layout.where("row_key is not null"), ["book_id"], "row_key", "label", "row")
     def trace_edges(self, origin: str, direction: str = "precedents", depth: int = 8) -> DataFrame:
         """The edges along which trace goes."""
         return graph.trace_edges(self.cell_edges, self.trace(origin, direction, depth), direction, depth)

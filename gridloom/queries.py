@@ -769,3 +769,33 @@ def row_neighbours(spark, d):
     edges = chain.select(F.col("l_orderkey").cast("string").alias("book_id"), F.col("l_linenumber").cast("string").alias("source_row"), F.coalesce("before", "l_linenumber").cast("string").alias("target_row"))
     found = graph.row_adjacency(edges).select(F.col("book_id").cast("long").alias("l_orderkey"), F.col("row_key").cast("int").alias("l_linenumber"), "precedents")
     return rows.join(found, ["l_orderkey", "l_linenumber"], "left").select("l_orderkey", "l_linenumber", F.when(F.size(F.coalesce("precedents", F.array())) > 0, "later").otherwise("first").alias("place"))
+
+
+@query("SELECT coalesce(o_orderkey, k) AS cell, coalesce(v, b) AS value FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 3 > 0 THEN CAST(o_custkey AS VARCHAR) END AS b FROM orders) FULL JOIN (SELECT l_orderkey + 5 AS k, CASE WHEN l_orderkey % 2 = 0 THEN 'x' || min(l_partkey) END AS v FROM lineitem GROUP BY l_orderkey) ON o_orderkey = k")
+def cache_overlay_all(spark, d):
+    """Values of all orders' lines, five keys on, over those of all orders; either side lacks some values and some rows."""
+    from gridloom.operators.lookups import overlay
+
+    key, of = F.col("o_orderkey"), F.col("l_orderkey")
+    base = table(spark, d, "orders").select(key.alias("cell"), F.when(key % 3 > 0, F.col("o_custkey").cast("string")).alias("value"))
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.concat(F.lit("x"), F.min("l_partkey").cast("string")).alias("least"))
+    return overlay(base, lines.select((of + 5).alias("cell"), F.when(of % 2 == 0, F.col("least")).alias("value")), ["cell"], "value")
+
+
+@query("SELECT * FROM (SELECT 0 AS priority, CAST(n_nationkey AS BIGINT) AS ord, 'nation ' || n_nationkey AS line FROM nation UNION ALL SELECT 1, p_partkey, 'part ' || p_partkey FROM part) ORDER BY 1, 2 LIMIT 50")
+def warning_lines_all(spark, d):
+    """The first fifty warnings of two whole tables, a source before the next."""
+    from gridloom.operators.lookups import capped_lines
+    from gridloom.params import WARNINGS
+
+    line = lambda name, key, word: table(spark, d, name).select(F.col(key).cast("long").alias("ord"), F.concat(F.lit(word), F.col(key).cast("string")).alias("line"))
+    return capped_lines([line("nation", "n_nationkey", "nation "), line("part", "p_partkey", "part ")], "ord", WARNINGS)
+
+
+@query("SELECT c_custkey, (SELECT arg_min(o_orderpriority, o_orderkey) FROM orders WHERE o_custkey = c_custkey) AS label FROM customer")
+def precedent_labels(spark, d):
+    """Every customer with the label of their first order, null where they have none."""
+    from gridloom.operators.lookups import labelled
+
+    rows = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderpriority").alias("label"), "o_orderkey")
+    return labelled(table(spark, d, "customer").select("c_custkey"), rows, [], "c_custkey", "label", "o_orderkey")

@@ -91,6 +91,13 @@ def test_traces_of_all_parts_equal_a_plain_search(spark, db, direction):
     assert len(got) == len(want) and {(r["origin"], r["node"], r["depth"]) for r in got} == want
 
 
+def test_labelled_trace(book):
+    got = {r["node"]: (r["row_key"], r["period_id"], r["label"]) for r in book.labelled_trace("CF!C4").collect()}
+    assert got["CF!C2"] == ("CF|2|CF!r1", "2024", "Opening cash")
+    assert got["CF!C3"] == ("CF|3|CF!r1", "2024", "Flow")
+    assert set(got) == {r["node"] for r in book.trace("CF!C4").collect()}
+
+
 def test_trace_passes_through_large_ranges(spark, tmp_path):
     from gridloom.plans.book import build
     from gridloom.sources.workbook import write_book
