@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from itertools import chain, count
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -180,3 +184,34 @@ def completeness(published: DataFrame, layout: DataFrame, keys: list[str], row:
     """(keys, published, rows, share): how many of the layout's rows are published."""
     out = layout.select(*keys, row).distinct().join(published.select(*keys, row, F.lit(1).alias("__p")).distinct(), [*keys, row], "left")
     return out.groupBy(*keys).agg(F.count("__p").alias("published"), F.count("*").alias("rows")).withColumn("share", F.col("published") / F.col("rows"))
+
+
+def flag_keys(flags: DataFrame, keys: list[str]) -> DataFrame:
+    """flags(keys, row long, base) with a key for each flag that is unique on its axis: its base if no other flag has it,
+    else with the key of the last flag before that has another base in brackets, or else its row.
+
+    The flags of one axis (keys) are one task's: keys build on those before. A null or empty base is "row n".
+    """
+    from pyspark.sql.types import StringType, StructField, StructType
+
+    rows = flags.withColumn("base", F.coalesce(F.nullif(F.col("base"), F.lit("")), F.concat(F.lit("row "), F.col("row").cast("string"))))
+    schema = StructType([*rows.schema, StructField("flag_key", StringType())])
+
+    def run(x: pa.Table) -> pa.Table:
+        x = x.sort_by([("row", "ascending")])
+        bases, at = x.column("base").to_pylist(), x.column("row").to_pylist()
+        times = Counter(bases)
+        taken: set[str] = set()
+        before = last = None  # the key before the present run of equal bases, and the last key
+        out = []
+        for i, (base, row) in enumerate(zip(bases, at, strict=True)):
+            if i and bases[i - 1] != base:
+                before = last
+            key = base if times[base] == 1 else f"{base} ({before})" if before else f"{base} {row}"
+            tries = chain([key, f"{key} {row}"], (f"{key} {row} {n}" for n in count(2)))
+            last = next(k for k in tries if k not in taken)
+            taken.add(last)
+            out.append(last)
+        return x.append_column("flag_key", pa.array(out, pa.string())).select(schema.names)
+
+    return rows.groupBy(*keys).applyInArrow(run, schema)

@@ -265,6 +265,16 @@ def test_cycles_and_their_class(spark):
     assert got == {("b", "c1"): (["1", "2"], "iterative_ok"), ("b", "c2"): (["3"], "unexpected"), ("c", "c1"): (["1", "2"], "unexpected")}
 
 
+def test_flag_keys(spark):
+    from gridloom.operators.facts import flag_keys
+
+    bases = ["on", "case a", "on", "on", "case b", "on", None, ""]
+    rows = [("x", r, b) for r, b in enumerate(bases, 5)] + [("y", 5, "on"), ("y", 6, "on")]
+    got = flag_keys(spark.createDataFrame(rows, "axis string, row long, base string"), ["axis"]).orderBy("axis", "row").collect()
+    own = ["on 5", "case a", "on (case a)", "on (case a) 8", "case b", "on (case b)", "row 11", "row 12"]
+    assert [r["flag_key"] for r in got] == own + ["on 5", "on 6"]
+
+
 def test_range_hops_equal_brute_force(spark):
     from gridloom.plans.graph import range_hops
 
