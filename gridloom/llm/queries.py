@@ -7,6 +7,7 @@ from .langid import op5_language_id
 from .licenses import op7_license_scan
 from .media import op8_media_columns
 from .mixing import op1_mixing_to_weights
+from .packing import op13_best_fit_packing
 from .simhash import op6_simhash_near_dedup
 from .suffix_dedup import op9_suffix_array_dedup
 from .token_counts import op10_token_counts
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_media_columns": op8_media_columns,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_token_counts": op10_token_counts,
+    "op13_best_fit_packing": op13_best_fit_packing,
 }
 ORACLE: dict[str, str] = {}
 
