@@ -9,6 +9,7 @@ from .media import op8_media_columns
 from .mixing import op1_mixing_to_weights
 from .packing import op13_best_fit_packing
 from .simhash import op6_simhash_near_dedup
+from .resampling import op11_importance_resampling
 from .suffix_dedup import op9_suffix_array_dedup
 from .token_counts import op10_token_counts
 from .toxicity import op2_toxicity
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_media_columns": op8_media_columns,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_token_counts": op10_token_counts,
+    "op11_importance_resampling": op11_importance_resampling,
     "op13_best_fit_packing": op13_best_fit_packing,
 }
 ORACLE: dict[str, str] = {}
@@ -54,3 +56,17 @@ q AS (SELECT g.r, g.i, g.x, g.cut, coalesce(max(t.b) OVER (PARTITION BY g.r ORDE
 e AS (SELECT *, cut AND NOT coalesce(lag(cut) OVER o, false) AS cut_start, wordy AND NOT coalesce(lag(wordy) OVER o, false) AS wordy_start FROM q WINDOW o AS (PARTITION BY r ORDER BY i)),
 k AS (SELECT r, count(*) FILTER (cut) AS n_removed, count(*) FILTER (cut_start) AS n_spans, coalesce(string_agg(x, '' ORDER BY i) FILTER (NOT cut), '') AS kept, count(*) FILTER (wordy_start) AS n_passages, count(*) FILTER (wordy) AS passage_bytes FROM e GROUP BY r)
 SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256, coalesce(n_passages, 0) AS n_passages, coalesce(passage_bytes, 0) AS passage_bytes FROM d LEFT JOIN k USING (r)"""
+
+#: crc32 by its definition, byte by byte, of each distinct run of words.
+ORACLE["op11_importance_resampling"] = """
+WITH e AS (SELECT row_number() OVER () AS r, doc_id, text, true AS source FROM documents UNION ALL SELECT 0, NULL, text, false FROM benchmark),
+w AS MATERIALIZED (SELECT source, r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM e),
+f AS MATERIALIZED (SELECT source, r, doc_id, unnest(flatten([w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])])) AS f FROM w),
+t AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda v, n: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END) AS v FROM range(256) x(i))),
+h AS MATERIALIZED (SELECT f, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, octet_length(encode(f))), lambda i: CAST('0x' || substr(hex(encode(f)), 2 * i + 1, 2) AS BIGINT))), lambda v, b: xor(v >> 8, t[(xor(v, b) & 255) + 1])), 4294967295) % 10000 AS b FROM (SELECT DISTINCT f FROM f), t),
+c AS (SELECT b, count(*) FILTER (source)::DOUBLE AS s, count(*) FILTER (NOT source)::DOUBLE AS t FROM f JOIN h USING (f) GROUP BY b),
+g AS (SELECT b, floor(1000 * ln((t + 1) * (sum(s) OVER () + 10000) / ((s + 1) * (sum(t) OVER () + 10000))))::BIGINT AS gain FROM c),
+d AS (SELECT r, count(*) AS n, sum(gain)::BIGINT AS weight FROM f JOIN h USING (f) JOIN g USING (b) WHERE source GROUP BY r),
+o AS (SELECT r, doc_id, len(w) AS n_words, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('42:' || coalesce(doc_id::VARCHAR, '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM w LEFT JOIN d USING (r) WHERE source),
+q AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id, n_features) AS place, count(*) FILTER (n_words >= 20) OVER () AS many FROM o)
+SELECT doc_id, n_features::BIGINT AS n_features, weight, score, CASE WHEN n_words >= 20 AND place <= 5 * many // 100 THEN place END AS rank FROM q"""
