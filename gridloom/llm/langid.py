@@ -169,12 +169,12 @@ def learn(labelled: DataFrame, text_column: str = "text", lang_column: str = "la
 def predict(docs: DataFrame, languages: list[str], prototypes: np.ndarray, text_column: str = "text") -> DataFrame:
     """Adds lang_pred and score (the cosine, 0 to 1) to each row; columns with these names are replaced.
 
-    With sketches after the prototypes, also __known: the largest cosine with a language by its sketches.
+    With sketches after the prototypes, also __known (replaced likewise): the largest cosine with a language by its sketches.
     """
     prepare(docs.sparkSession)
     from pyspark.sql import types as T
 
-    docs = docs.drop("lang_pred", "score")
+    docs = docs.drop("lang_pred", "score", *["__known"] * (prototypes.shape[1] > DIMENSIONS))
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     protos, sketches = prototypes[:, :DIMENSIONS].astype(np.float64), prototypes[:, DIMENSIONS:].astype(np.float32)
     sketched = sketches.shape[1] > 0

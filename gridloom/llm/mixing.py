@@ -146,13 +146,18 @@ def copies(groups: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float =
     return joined.select("doc_id", "size", "source", "t", "n", "source_size", "target", "base", "more")
 
 
+def hashable(df: DataFrame) -> list[Column]:
+    """The columns of df in a form that can be hashed: those with a map in them as JSON."""
+    return [F.to_json(F.struct(c)) if "map<" in kind else F.col(c) for c, kind in df.dtypes]
+
+
 def spread(df: DataFrame, times: Column) -> DataFrame:
     """Each row so many times, numbered 1.. in __i; what comes of one row is dealt to tasks STRETCH rows at a time."""
     df = df.withColumn("__times", times.cast("long"))
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     few = df.where(F.col("__times").between(1, STRETCH)).withColumn("__k", F.lit(0).cast("long"))
     many = df.where(F.col("__times") > STRETCH).withColumn("__k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__times") - 1) / F.lit(STRETCH)))))
-    out = few.unionByName(many.repartition(parts, "__k", F.xxhash64(*df.columns)))
+    out = few.unionByName(many.repartition(parts, "__k", F.xxhash64(*hashable(df))))
     first = F.col("__k") * STRETCH + 1
     return out.withColumn("__i", F.explode(F.sequence(first, F.least(F.col("__times"), first + STRETCH - 1)))).drop("__times", "__k")
 
@@ -176,11 +181,12 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", s
 def mixed(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", weights: tuple[float, ...] = WEIGHTS, cap: float = CAP, seed: int = 7) -> DataFrame:
     """The rows of docs as often as the mix takes them; rows without words are not taken."""
     prepare(docs.sparkSession)
-    own = [F.col(c) for c in docs.columns]
+    own = hashable(docs)
     of = copies(grouped(docs, id_column, text_column, source_column, own, seed), weights, cap)
-    times = of.select(F.col("t").alias("__t"), (F.col("n") * F.col("base") + F.col("more")).alias("__taken")).where("__taken > 0 and size > 0")
-    rows = docs.withColumn("__t", F.xxhash64(F.col(id_column), F.col(text_column), *own)).dropDuplicates(["__t"])
-    return spread(rows.join(times, "__t"), F.col("__taken")).select(*docs.columns)
+    times = of.where("size > 0").select("t", (F.col("n") * F.col("base") + F.col("more")).alias("taken")).where("taken > 0")
+    # a row travels as one column, whatever its columns are called
+    rows = docs.select(F.xxhash64(F.col(id_column), F.col(text_column), *own).alias("t"), F.struct(*docs.columns).alias("row")).dropDuplicates(["t"])
+    return spread(rows.join(times, "t"), F.col("taken")).select("row.*")
 
 
 def op1_mixing_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -563,3 +563,16 @@ def test_pipeline_of_an_empty_table(spark, none, tmp_path):
 
     none.write.parquet(str(tmp_path / "documents.parquet"))
     assert cp.run(spark, str(tmp_path)).count() == 0
+
+
+def test_extra_columns_of_the_stages(spark, rows, tmp_path):
+    import corpus_pipeline as cp
+
+    more = {"tags": F.create_map(F.lit("k"), F.col("source")), "nested": F.array(F.create_map(F.lit(1), F.lit("x"))), "__known": F.lit("mine"), "score": F.lit("s"), "__t": F.lit(1), "size": F.lit(True)}
+    docs = spark.createDataFrame(rows, DOCS).withColumns(more)
+    for name, stage in cp.STAGES[:-1]:
+        if name in ("language_id", "mixing"):
+            out = stage(spark, docs, str(tmp_path))
+            assert out.columns == docs.columns and out.count() > 50
+    taken = cp.mixing(spark, docs, "").select("doc_id", "tags").collect()
+    assert all(r["tags"] == {"k": next(x[3] for x in rows if x[0] == r["doc_id"])} for r in taken)
