@@ -23,6 +23,17 @@ MONTHS = {
 #: Words of headers that are no period but a total or a part of one.
 TOTALS = ("total", "итого", "всего")
 STUBS = ("stub", "partial", "частичный")
+#: Words beside a period that tell its version apart, and words for whole months.
+MARKERS = ("actual", "budget", "forecast", "plan", "estimate", "fact", "факт", "план", "прогноз", "бюджет", "оценка", "отчет")
+MONTH_NAMES = {
+    1: ("january", "январь"), 2: ("february", "февраль", "февр"), 3: ("march", "март"), 4: ("april", "апрель"), 5: ("may", "май"), 6: ("june", "июнь"),
+    7: ("july", "июль"), 8: ("august", "август"), 9: ("september", "sept", "сентябрь", "сент"), 10: ("october", "октябрь"), 11: ("november", "ноябрь", "нояб"), 12: ("december", "декабрь"),
+}
+#: Words in the label of a header row that say what its numbers or dates are.
+QUARTER_LABELS = ("quarter", "quarterly", "квартал", "квартальный")
+MONTH_LABELS = ("month", "месяц")
+START_LABELS = ("period start", "start of period", "начало периода", "начала периода")
+END_LABELS = ("period end", "end of period", "конец периода", "конца периода")
 _ROMAN = {"i": 1, "ii": 2, "iii": 3, "iv": 4}
 _YEAR = r"(?:20\d\d|19\d\d)"
 _SHORT = rf"(?:{_YEAR}|\d\d)"
@@ -82,6 +93,65 @@ def classify_header(text: str | None) -> tuple[str, str] | None:
     return None
 
 
+#: A quarter or half of a year that is named elsewhere.
+PARTS = (
+    (re.compile(r"(?:q ?([1-4])|([1-4]) ?q)"), "quarter"),
+    (re.compile(r"(?:quarter ([1-4])|([1-4])(?:st|nd|rd|th) quarter)"), "quarter"),
+    (re.compile(r"(?:([1-4]|i{1,3}|iv)[ -]*кв(?:артал)?\.?|кв\.? ?([1-4]))"), "quarter"),
+    (re.compile(r"(?:h ?([12])|([12]) ?h)"), "half"),
+    (re.compile(r"(?:([12]|i{1,2})[ -]*полугодие|half ([12]))"), "half"),
+)
+WHOLE_MONTHS = {w: m for names in (MONTHS, MONTH_NAMES) for m, words in names.items() for w in words}
+ATOM = "kind string, year int, quarter int, half int, month int, day int, key string, variant string"
+_FIELDS = [f.split()[0] for f in ATOM.split(", ")]
+
+
+def header_atom(text: str | None) -> dict | None:
+    """What a header cell says of its column's period: all of it (full), a part whose year stands elsewhere (quarter,
+    half, month), total or stub, or only a marker; variant is the marker beside it."""
+    if not text or len(text) > 64:
+        return None
+    whole = normalize(text)
+    words = whole.split(" ")
+    bare = [w for w in words if w.strip("().,") not in MARKERS]
+    variant = " ".join(w.strip("().,") for w in words if w.strip("().,") in MARKERS) or None
+    rest = " ".join(bare)
+    atom = dict.fromkeys(_FIELDS) | {"variant": variant}
+    if not rest:
+        return atom | {"kind": "marker"} if variant else None
+    if got := classify_header(rest):
+        kind, key = got
+        if kind != "period":
+            return atom | {"kind": kind, "key": key}
+        if variant is None and (m := re.search(r"\d ?([efpaпфо])$", rest)):
+            atom["variant"] = m[1]
+        part = re.fullmatch(r"(\d{4})(?:Q(\d)|H(\d)|-(\d\d)(?:-(\d\d))?)?", key)
+        return atom | {"kind": "full", "key": key} | {n: int(x) for n, x in zip(_FIELDS[1:6], part.groups(), strict=True) if x}
+    for rx, kind in PARTS:
+        if m := rx.fullmatch(rest):
+            n = m[1] or m[2]
+            return atom | {"kind": kind, kind: _ROMAN.get(n) or int(n)}
+    if month := WHOLE_MONTHS.get(rest.rstrip(".")):
+        return atom | {"kind": "month", "month": month}
+    return None
+
+
+def with_atoms(df: DataFrame, column: str) -> DataFrame:
+    """Adds atom, what header_atom says of a column; each distinct short text with a digit or a known word is read once."""
+    ship(df.sparkSession)
+    texts = df.where(F.length(column) <= 64).select(column).distinct()
+    known = "|".join([*TOTALS, *STUBS, *MARKERS, *(w for m in MONTHS.values() for w in m), "кв", "полугодие"])
+    texts = texts.where(F.col(column).rlike(r"\d") | F.lower(column).rlike(known))
+
+    @F.pandas_udf(ATOM)
+    def read(s: pd.Series) -> pd.DataFrame:
+        got = [header_atom(x) or dict.fromkeys(_FIELDS) for x in s]
+        return pd.DataFrame(got, columns=_FIELDS).astype(dict.fromkeys(_FIELDS[1:6], "Int32"))
+
+    found = texts.withColumn("atom", read(column)).where("atom.kind is not null").select(F.col(column).alias("__t"), "atom")
+    return df.join(found, F.col(column) == F.col("__t"), "left").drop("__t")
+
+
 def with_period_keys(df: DataFrame, column: str) -> DataFrame:
     """Adds header_kind and header_key; each distinct short text with a digit or a known word is classified once."""
     ship(df.sparkSession)

@@ -10,6 +10,8 @@ TOTAL_ABS, TOTAL_REL = 1e-6, 1e-4
 OBSERVATIONS, OBSERVATIONS_MOST = 24, 48
 WARNINGS = 50
 BAND_GAP = 3
+#: Columns of totals between periods, and rows between a vertical axis and the names of its series.
+JOIN_GAP, SERIES_NEAR = 2, 5
 RUN_LEAST, RUN_LEAST_UNLABELLED = 3, 8
 SERIAL_MOST = 2_958_465
 SCALES = {"unit": 1, "k": 1_000, "m": 1_000_000, "bn": 1_000_000_000}
