@@ -141,13 +141,9 @@ def composed(cells: DataFrame, bands: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def continues(left: Column, right: Column) -> Column:
-    """Whether the right key is the period after the left one; days go on after 1, 7 or 14."""
-
-    def after(x: Column) -> Column:
-        apart = x["b"]["ordinal"] - x["a"]["ordinal"]
-        return F.coalesce((x["a"]["grain"] == x["b"]["grain"]) & ((apart == 1) | ((x["a"]["grain"] == "day") & apart.isin(7, 14))), F.lit(False))
-
-    return P.let(F.struct(P.period_position(left).alias("a"), P.period_position(right).alias("b")), after)
+    """Whether the right one of two places (periods.period_position) is the period after the left one; days go on after 1, 7 or 14."""
+    apart = right["ordinal"] - left["ordinal"]
+    return F.coalesce((left["grain"] == right["grain"]) & ((apart == 1) | ((left["grain"] == "day") & apart.isin(7, 14))), F.lit(False))
 
 
 def key_class(key: Column) -> Column:
@@ -162,8 +158,8 @@ def split_runs(headers: DataFrame, keys: list[str], hidden: DataFrame | None = N
     second copy starts: the stretch so far is steady and its opening key comes again, with a stretch of its own after it.
     """
     w = Window.partitionBy(*keys).orderBy("col")
-    out = headers.withColumns({"__pc": F.lag("col").over(w), "__pk": F.lag("key").over(w), "__pv": F.lag("variant").over(w)})
-    out = out.withColumn("__goes_on", F.coalesce(continues(F.col("__pk"), F.col("key")), F.lit(False)))
+    out = headers if "place" in headers.columns else headers.withColumn("place", P.period_position(F.col("key")))
+    out = out.withColumns({"__pc": F.lag("col").over(w), "__pk": F.lag("key").over(w), "__goes_on": F.coalesce(continues(F.lag("place").over(w), F.col("place")), F.lit(False))})
     gap = F.col("col") - F.col("__pc") - 1
     between = out.where("__pc is not null and col - __pc > 1").select(*keys, "col", F.explode(F.sequence(F.col("__pc") + 1, F.col("col") - 1)).alias("c"))
     shut, sums = F.lit(0), F.lit(0)
@@ -231,11 +227,11 @@ def marked(periods: DataFrame, keys: list[str]) -> DataFrame:
     return out.withColumn("key", F.when(F.col("marker").isNotNull(), F.concat("key", F.lit("@"), "marker")).otherwise(F.col("key"))).select(*periods.columns, "marker", "ambiguous")
 
 
-def steady(keys: Column) -> Column:
-    """Whether the months between keys in order are all the same step of 1, 3, 6 or 12."""
-    months = F.transform(keys, lambda k: F.year(P.key_date(k)) * 12 + F.month(P.key_date(k)))
+def steady_dates(dates: Column) -> Column:
+    """Whether the months between dates in order are all the same step of 1, 3, 6 or 12."""
+    months = F.transform(dates, lambda d: F.year(d) * 12 + F.month(d))
     steps = F.transform(F.sequence(F.lit(1), F.size(months) - 1), lambda i: F.get(months, i) - F.get(months, i - 1))
-    return (F.size(keys) >= 2) & (F.size(F.array_distinct(steps)) == 1) & F.get(steps, F.lit(0)).isin(*MONTH_STEPS)
+    return (F.size(dates) >= 2) & (F.size(F.array_distinct(steps)) == 1) & F.get(steps, F.lit(0)).isin(*MONTH_STEPS)
 
 
 def banners(cells: DataFrame, columns: DataFrame, bands: DataFrame) -> DataFrame:
@@ -260,15 +256,17 @@ def horizontal(cells: DataFrame, hidden: DataFrame | None = None) -> DataFrame:
     """(KEYS, axis_id, header_row, top_row, col, key, text, kind, variant, marker, ambiguous, grain, start_date, end_date) of axes whose periods stand side by side."""
     rows = checkpointed(header_rows(cells))
     bands = checkpointed(header_bands(rows))
-    columns = checkpointed(banners(cells, checkpointed(composed(cells, bands, rows)), bands))
+    columns = composed(cells, bands, rows).withColumns({"place": P.period_position(F.col("key")), "date": P.key_date(F.col("key"))})
+    columns = banners(cells, checkpointed(columns), bands)
     totals = columns.where("kind = 'total'").select(*KEYS, "band", "col")
     shut = None if hidden is None else bands.select(*KEYS, "band").distinct().join(hidden, KEYS)
     runs = checkpointed(split_runs(columns.where("kind <> 'total'"), [*KEYS, "band"], shut, totals))
     of = [*KEYS, "band", "run"]
     n = runs.groupBy(*KEYS, "band").agg(F.count_distinct("run").alias("runs"))
-    facts = runs.groupBy(*of).agg(F.sort_array(F.collect_list(F.when(F.col("kind") == "period", F.struct("col", "key"))))["key"].alias("keys"), F.max("borrowed").alias("any_borrowed"))
-    facts = facts.withColumns({"grain": P.infer_grain(F.col("keys")), "steady": steady(F.col("keys"))}).where("steady or not any_borrowed")
-    coarse = reduce(lambda x, g: F.when(F.col("grain") == g, P.apply_grain(F.col("key"), g)).otherwise(x), ("year", "half_year", "quarter", "month"), F.lit(None).cast("string"))
+    facts = runs.groupBy(*of).agg(F.sort_array(F.collect_list(F.when(F.col("kind") == "period", F.struct("col", "key"))))["key"].alias("keys"), F.sort_array(F.collect_list(F.when(F.col("kind") == "period", F.struct("col", "date"))))["date"].alias("dates"), F.max("borrowed").alias("any_borrowed"))
+    facts = facts.withColumns({"grain": P.infer_grain(F.col("keys")), "steady": steady_dates(F.col("dates"))}).where("steady or not any_borrowed")
+    year, d = F.year("date").cast("string"), F.col("date")
+    coarse = F.when(F.col("grain") == "year", year).when(F.col("grain") == "half_year", F.concat(year, F.lit("H"), F.ceil(F.month(d) / 6).cast("string"))).when(F.col("grain") == "quarter", F.concat(year, F.lit("Q"), F.quarter(d).cast("string"))).when(F.col("grain") == "month", F.date_format(d, "yyyy-MM"))
     out = runs.join(facts.select(*of, "grain"), of).join(n, [*KEYS, "band"]).withColumn("coarse", F.when(F.col("kind") == "period", coarse))
     one = Window.partitionBy(*of)
     # a coarser key is written only where it keeps all columns apart
@@ -287,8 +285,8 @@ RELATIVE = (("year", "Y"), ("год", "Y"), ("month", "M"), ("месяц", "M"),
 def counting_runs(cells: DataFrame) -> DataFrame:
     """(KEYS, row, first_col, last_col, first_value, n, letter): the longest run of integers that grow by one in adjacent columns of a row, from 0 or 1."""
     whole = cells.where("number = floor(number) and atom is null")
-    w = Window.partitionBy(*KEYS, "row").orderBy("col")
-    at = whole.withColumn("apart", F.struct(F.col("number") - F.col("col"), F.col("col") - F.row_number().over(w)))
+    w = Window.partitionBy(*KEYS, "row", "step").orderBy("col")
+    at = whole.withColumn("step", F.col("number") - F.col("col")).withColumn("apart", F.struct("step", F.col("col") - F.row_number().over(w)))
     runs = at.groupBy(*KEYS, "row", "apart").agg(F.min("col").alias("first_col"), F.max("col").alias("last_col"), F.min("number").cast("long").alias("first_value"), F.count("*").alias("n"))
     best = runs.groupBy(*KEYS, "row").agg(F.max_by(F.struct("first_col", "last_col", "first_value", "n"), F.struct("n", -F.col("first_col"))).alias("b")).select(*KEYS, "row", "b.*")
     text = cells.where("number is null and shown is not null and atom is null")
@@ -339,16 +337,15 @@ def vertical(cells: DataFrame, taken: DataFrame) -> DataFrame:
     in a row at most SERIES_NEAR above and numbers beside. header_row is the row of the names.
     """
     free = cells.join(taken, [*KEYS, "row"], "left_anti")
-    at = free.where(F.col("atom.kind") == "full").select(*KEYS, "row", "col", "shown", F.col("atom.key").alias("key"))
+    at = free.where(F.col("atom.kind") == "full").select(*KEYS, "row", "col", "shown", F.col("atom.key").alias("key"), P.period_position(F.col("atom.key")).alias("place"), P.key_date(F.col("atom.key")).alias("date"))
     w = Window.partitionBy(*KEYS, "col").orderBy("row")
     at = at.withColumn("run", F.col("row") - F.row_number().over(w))
     of = [*KEYS, "col", "run"]
-    runs = at.groupBy(*of).agg(F.min("row").alias("a"), F.max("row").alias("b"), F.sort_array(F.collect_list(F.struct("row", "key", "shown"))).alias("p"))
-    keys = F.col("p")["key"]
-    place = F.transform(keys, P.period_position)
+    runs = at.groupBy(*of).agg(F.min("row").alias("a"), F.max("row").alias("b"), F.sort_array(F.collect_list(F.struct("row", "key", "shown", "place", "date"))).alias("p"))
+    place = F.col("p")["place"]
     steps = F.transform(F.sequence(F.lit(1), F.size(place) - 1), lambda i: F.get(place, i)["ordinal"] - F.get(place, i - 1)["ordinal"])
     days = F.get(place, F.lit(0))["grain"] == "day"
-    regular = (F.size(F.array_distinct(F.transform(place, lambda x: x["grain"]))) == 1) & F.when(days, steady(keys)).otherwise((F.size(F.array_distinct(steps)) == 1) & (F.get(steps, F.lit(0)) > 0))
+    regular = (F.size(F.array_distinct(F.transform(place, lambda x: x["grain"]))) == 1) & F.when(days, steady_dates(F.col("p")["date"])).otherwise((F.size(F.array_distinct(steps)) == 1) & (F.get(steps, F.lit(0)) > 0))
     runs = runs.where(F.size("p") >= RUN_LEAST).where(regular)
     # years among other numbers of the same column are numbers
     beside = cells.select(*KEYS, F.col("row").alias("r"), F.col("col").alias("c"), "number", "shown", "atom", *(["formula_template"] if "formula_template" in cells.columns else []))

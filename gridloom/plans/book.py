@@ -12,7 +12,7 @@ from gridloom.functions import cells as C
 from gridloom.operators import formula as G
 from gridloom.operators import ranges as R
 from gridloom.operators.lookups import labelled, resolve_names
-from gridloom.params import NOISE
+from gridloom.params import ID_CAP, NOISE, TRACE_MEMBERS
 from gridloom.plans import graph
 from gridloom.plans.layout import axis_periods, detect
 from gridloom.session import checkpointed
@@ -37,12 +37,32 @@ class Books:
     cycles: DataFrame
     series: DataFrame
 
-    def observations(self, q: str | None = None, row_keys: list[str] | None = None, period_ids: list[str] | None = None, limit: int = 24) -> DataFrame:
-        """Row by period facts with the formula behind each; see grid.observations for the selection."""
+    def observations(self, q: str | None = None, row_keys: list[str] | None = None, period_ids: list[str] | None = None, limit: int = 24, precedent_depth: int = 0) -> DataFrame:
+        """Row by period facts with the formula behind each; see grid.observations for the selection.
+
+        With a precedent_depth also precedents, the nodes that each formula reads in so many steps (the ID_CAP nearest,
+        with row key, period and label), and precedents_total.
+        """
         from gridloom.plans.grid import observations
 
-        out = observations(self.series, row_keys, q, period_ids, limit, ("book_id", "cell"))
-        return out.join(self.links.select("book_id", "cell", "formula", "formula_class"), ["book_id", "cell"], "left")
+        out = observations(self.series, row_keys, q, period_ids, limit, ("book_id", "cell", "scenario"))
+        out = out.join(self.links.select("book_id", "cell", "formula", "formula_class"), ["book_id", "cell"], "left")
+        if precedent_depth <= 0:
+            return out
+        out = checkpointed(out)
+        cells, ranges = self._grid()
+        nodes = graph.trace(self.cell_edges, out.select("book_id", F.col("cell").alias("origin")).distinct(), "precedents", precedent_depth, ranges, cells, TRACE_MEMBERS)
+        at = self.index.select("book_id", F.col("node_id").alias("node"), "row_key", "period_id")
+        nodes = labelled(nodes.where("depth > 0").join(at, ["book_id", "node"], "left"), self.layout.where("row_key is not null"), ["book_id"], "row_key", "label", "row")
+        one = F.array_sort(F.collect_list(F.struct("depth", "node", "row_key", "period_id", "label")))
+        found = nodes.groupBy("book_id", F.col("origin").alias("cell")).agg(F.slice(one, 1, ID_CAP).alias("precedents"), F.count("*").alias("precedents_total"))
+        out = out.join(found, ["book_id", "cell"], "left")
+        return out.withColumns({"precedents": F.coalesce("precedents", F.array().cast(found.schema["precedents"].dataType)), "precedents_total": F.coalesce("precedents_total", F.lit(0).cast("long"))})
+
+    def _grid(self) -> tuple[DataFrame, DataFrame]:
+        """Cells as nodes with whether they are filled, and the ranges that formulas read."""
+        cells = self.cells.select("book_id", "sheet", "row", "col", F.concat("sheet", F.lit("!"), "addr").alias("node"), (F.col("presence") == "populated").alias("filled"))
+        return cells, checkpointed(graph.range_nodes(self.cell_edges))
 
     def catalog(self, q: str | None = None, sheet: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
         from gridloom.plans.grid import catalog
@@ -56,8 +76,7 @@ class Books:
         the filled cells followed from each large range (the reference's default is TRACE_MEMBERS); 0 follows all.
         """
         origin = origin.strip()
-        ranges = checkpointed(graph.range_nodes(self.cell_edges))
-        cells = self.cells.select("book_id", "sheet", "row", "col", F.concat("sheet", F.lit("!"), "addr").alias("node"), (F.col("presence") == "populated").alias("filled"))
+        cells, ranges = self._grid()
         ids = self.index.where(F.col("node_id") == origin).select("book_id", "node_id").distinct()
         if "|" in origin:
             rows = self.layout.where(F.col("row_key") == origin)
@@ -75,6 +94,7 @@ class Books:
         at = self.index.select("book_id", F.col("node_id").alias("node"), "row_key", "period_id")
         nodes = self.trace(origin, direction, depth, range_members).join(at, ["book_id", "node"], "left")
         return labelled(nodes, self.layout.where("row_key is not null"), ["book_id"], "row_key", "label", "row")
+
     def trace_edges(self, origin: str, direction: str = "precedents", depth: int = 8) -> DataFrame:
         """The edges along which trace goes."""
         return graph.trace_edges(self.cell_edges, self.trace(origin, direction, depth), direction, depth)
@@ -85,12 +105,10 @@ def build(spark: SparkSession, path: str | list[str]) -> Books:
     workbooks = checkpointed(read_workbooks(spark, path))
     cells = checkpointed(read_cells(spark, path))
     populated = cells.where("presence = 'populated'").join(workbooks.select("book_id", "date1904").distinct(), "book_id", "left")
-    layout = checkpointed(detect(populated))
-    periods = axis_periods(layout)
-    rows = layout.select("book_id", "sheet", "row", "row_key", "label", "kind", "axis_id", "block_kind", "unit", "label_col")
-    at = populated.join(rows, ["book_id", "sheet", "row"], "left").join(periods.select("book_id", "axis_id", "col", "period_id"), ["book_id", "axis_id", "col"], "left")
-    identity = checkpointed(at.withColumn("row_key", F.when(F.col("period_id").isNotNull() | (F.col("col") != F.col("label_col")), F.col("row_key"))))
     parsed = checkpointed(G.parse_cells(populated))
+    layout = checkpointed(detect(populated.join(parsed.select("book_id", "sheet", "addr", "formula_template"), ["book_id", "sheet", "addr"], "left")))
+    periods = checkpointed(axis_periods(layout))
+    identity = checkpointed(identities(populated, layout, periods))
     edges = G.formula_edges(parsed)
     if not workbooks.where(F.size("defined_names") > 0).isEmpty():
         edges = checkpointed(with_names(edges, workbooks))
@@ -100,7 +118,21 @@ def build(spark: SparkSession, path: str | list[str]) -> Books:
     formulas = populated.where("formula_raw is not null").select("book_id", F.concat("sheet", F.lit("!"), "addr").alias("source"), F.col("formula_raw").alias("formula"))
     ranges = checkpointed(graph.range_nodes(cell_edges))
     cycles = graph.cycles(enriched) if ranges.isEmpty() else graph.cycles(enriched, ranges, index)
-    return Books(workbooks, cells, layout, periods, identity, parsed, edges, cell_edges, index, enriched, graph.links(formulas, edges, enriched), cycles, series(rows, periods, cells))
+    return Books(workbooks, cells, layout, periods, identity, parsed, edges, cell_edges, index, enriched, graph.links(formulas, edges, enriched), cycles, checkpointed(series(layout, periods, cells)))
+
+
+def identities(cells: DataFrame, layout: DataFrame, periods: DataFrame) -> DataFrame:
+    """Cells with the row of the layout that they belong to, and their period; lines of vertical axes go down a column."""
+    facts = ["row_key", "label", "kind", "axis_id", "block_kind", "unit", "label_col"]
+    rows = layout.where("not turned").select("book_id", "sheet", "row", *facts)
+    dated = periods.select("book_id", "axis_id", "col", "period_id")
+    lines = layout.where("turned").select("book_id", "sheet", F.col("label_col").alias("col"), *[F.col(c).alias(f"__{c}") for c in facts])
+    down = lines.join(dated.select("book_id", F.col("axis_id").alias("__axis_id"), F.col("col").alias("row"), F.col("period_id").alias("__period_id")), ["book_id", "__axis_id"])
+    at = cells.join(rows, ["book_id", "sheet", "row"], "left").join(dated, ["book_id", "axis_id", "col"], "left")
+    at = at.withColumn("row_key", F.when(F.col("period_id").isNotNull() | (F.col("col") != F.col("label_col")), F.col("row_key")))
+    at = at.join(down, ["book_id", "sheet", "row", "col"], "left")
+    turned = F.col("__row_key").isNotNull()
+    return at.withColumns({c: F.when(turned, F.col(f"__{c}")).otherwise(F.col(c)) for c in [*facts, "period_id"]}).drop(*[f"__{c}" for c in [*facts, "period_id"]])
 
 
 def with_names(edges: DataFrame, workbooks: DataFrame) -> DataFrame:
@@ -135,18 +167,30 @@ def expand_edges(edges: DataFrame, cells: DataFrame) -> DataFrame:
     return out.withColumn("__s", status).select("book_id", "source", "target", "kind", "unresolved", "truncated", "range_ref", "ord", F.col("__s.status").alias("status"), F.col("__s.reason").alias("reason"), F.col("__s.dangling").alias("dangling"))
 
 
-def series(rows: DataFrame, periods: DataFrame, cells: DataFrame) -> DataFrame:
-    """Values of timeline rows by period, in base units: one row for each row and period, with status empty where there is no cell."""
+def series(layout: DataFrame, periods: DataFrame, cells: DataFrame) -> DataFrame:
+    """Values by row and period in base units: one row for each row and period of a timeline, with status empty where
+    there is no cell, and one for each filled value cell of a block without an axis, whose period_id is its column's
+    caption (scenario) or else its address."""
     from gridloom.operators.ordered import noise_floor
 
     sheets = cells.groupBy("book_id", "sheet").agg(F.min("ordinal").alias("sheet_no"))
-    grid = rows.where("axis_id is not null").drop("label_col", "block_kind").join(periods.select("book_id", "axis_id", "col", "period_id"), ["book_id", "axis_id"])
-    out = grid.join(cells.select("book_id", "sheet", "row", "col", "cached_value"), ["book_id", "sheet", "row", "col"], "left").join(sheets, ["book_id", "sheet"], "left")
+    names = ["book_id", "sheet", "row_key", "label", "kind", "axis_id", "unit"]
+    null = F.lit(None).cast("string")
+    lines = layout.where("axis_id is not null").select(*names, F.col("row").alias("line"), "label_col", "turned").join(periods.select("book_id", "axis_id", F.col("col").alias("at"), "period_id"), ["book_id", "axis_id"])
+    pick = lambda a, b: F.when(F.col("turned"), F.col(a)).otherwise(F.col(b))
+    grid = lines.select(*names, "period_id", null.alias("scenario"), pick("at", "line").alias("row"), pick("label_col", "at").alias("col"))
+    values = cells.select("book_id", "sheet", "row", "col", "cached_value")
+    out = grid.join(values, ["book_id", "sheet", "row", "col"], "left")
+    loose = layout.where("axis_id is null").select(*names, "row", "captions", F.explode("value_cols").alias("col"))
+    loose = loose.join(values.where("cached_value is not null"), ["book_id", "sheet", "row", "col"]).withColumn("scenario", F.try_element_at("captions", "col"))
+    loose = loose.withColumn("period_id", F.coalesce("scenario", C.address(F.col("col"), F.col("row"))))
+    out = out.unionByName(loose.select(out.columns)).join(sheets, ["book_id", "sheet"], "left")
     out = out.withColumns({"addr": C.address(F.col("col"), F.col("row")), "status": C.value_status(F.col("cached_value"), ~F.col("kind").isin("abstract", "index")), "scale_factor": C.scale_factor(C.scale_token(F.coalesce("unit", F.lit("unit"))))})
     out = out.withColumn("cell", F.concat("sheet", F.lit("!"), "addr"))
     out = out.withColumn("number", C.normalized_number(F.col("cached_value"), F.col("scale_factor")))
-    out = out.withColumn("number", noise_floor("number", ["book_id", "row_key"], NOISE)).withColumn("normalized", C.number_text(F.col("number")))
-    return out.select("book_id", "sheet", "sheet_no", "row", "col", "addr", "cell", "row_key", "label", "kind", "axis_id", "period_id", "unit", "cached_value", "status", "scale_factor", "number", "normalized")
+    floored = noise_floor("number", ["book_id", "row_key"], NOISE)
+    out = out.withColumn("number", F.when(F.col("axis_id").isNull(), F.col("number")).otherwise(floored)).withColumn("normalized", C.number_text(F.col("number")))
+    return out.select("book_id", "sheet", "sheet_no", "row", "col", "addr", "cell", "row_key", "label", "kind", "axis_id", "period_id", "scenario", "unit", "cached_value", "status", "scale_factor", "number", "normalized")
 
 
 def context_markdown(series_rows: DataFrame) -> str:
