@@ -150,18 +150,3 @@ def with_atoms(df: DataFrame, column: str) -> DataFrame:
 
     found = texts.withColumn("atom", read(column)).where("atom.kind is not null").select(F.col(column).alias("__t"), "atom")
     return df.join(found, F.col(column) == F.col("__t"), "left").drop("__t")
-
-
-def with_period_keys(df: DataFrame, column: str) -> DataFrame:
-    """Adds header_kind and header_key; each distinct short text with a digit or a known word is classified once."""
-    ship(df.sparkSession)
-    texts = df.where(F.length(column) <= 64).select(column).distinct()
-    texts = texts.where(F.col(column).rlike(r"\d") | F.lower(F.trim(column)).isin(*TOTALS, *STUBS))
-
-    @F.pandas_udf("kind string, key string")
-    def classify(s: pd.Series) -> pd.DataFrame:
-        got = [classify_header(x) or (None, None) for x in s]
-        return pd.DataFrame({"kind": [g[0] for g in got], "key": [g[1] for g in got]})
-
-    found = texts.withColumn("__c", classify(column)).select(F.col(column).alias("__t"), F.col("__c.kind").alias("header_kind"), F.col("__c.key").alias("header_key")).where("header_key is not null")
-    return df.join(found, F.col(column) == F.col("__t"), "left").drop("__t")

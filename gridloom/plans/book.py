@@ -95,6 +95,10 @@ class Books:
         nodes = self.trace(origin, direction, depth, range_members).join(at, ["book_id", "node"], "left")
         return labelled(nodes, self.layout.where("row_key is not null"), ["book_id"], "row_key", "label", "row")
 
+    def trace_stops(self, origin: str, direction: str = "precedents", depth: int = 8) -> DataFrame:
+        """How many nodes a trace has, how deep it goes, and why it stops."""
+        return graph.trace_stops(self.trace(origin, direction, depth), self.cell_edges, direction, depth)
+
     def trace_edges(self, origin: str, direction: str = "precedents", depth: int = 8) -> DataFrame:
         """The edges along which trace goes."""
         return graph.trace_edges(self.cell_edges, self.trace(origin, direction, depth), direction, depth)
@@ -177,8 +181,9 @@ def series(layout: DataFrame, periods: DataFrame, cells: DataFrame) -> DataFrame
     names = ["book_id", "sheet", "row_key", "label", "kind", "axis_id", "unit"]
     null = F.lit(None).cast("string")
     lines = layout.where("axis_id is not null").select(*names, F.col("row").alias("line"), "label_col", "turned").join(periods.select("book_id", "axis_id", F.col("col").alias("at"), "period_id"), ["book_id", "axis_id"])
-    pick = lambda a, b: F.when(F.col("turned"), F.col(a)).otherwise(F.col(b))
-    grid = lines.select(*names, "period_id", null.alias("scenario"), pick("at", "line").alias("row"), pick("label_col", "at").alias("col"))
+    turned = lambda c: F.when(F.col("turned"), F.col(c))
+    place = C.value_coordinate(turned("label_col"), turned("at"), F.col("at"), F.col("line"))
+    grid = lines.select(*names, "period_id", null.alias("scenario"), place["row"].alias("row"), place["col"].alias("col"))
     values = cells.select("book_id", "sheet", "row", "col", "cached_value")
     out = grid.join(values, ["book_id", "sheet", "row", "col"], "left")
     loose = layout.where("axis_id is null").select(*names, "row", "captions", F.explode("value_cols").alias("col"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.cells import node_type, rectangle, split_sheet
@@ -267,10 +267,13 @@ def row_adjacency(edges: DataFrame) -> DataFrame:
     return before.join(after, ["book_id", "row_key"], "full_outer")
 
 
-def stop_reason(frontier_left: Column, leaf: Column) -> Column:
-    return F.when(frontier_left, "depth").when(leaf, "leaf").otherwise("complete")
-
-
-def ranked(df: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
-    """The first row of each key under an order of several columns."""
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(name) == 1).drop(name)
+def trace_stops(nodes: DataFrame, edges: DataFrame, direction: str, depth: int) -> DataFrame:
+    """(book_id, origin, nodes, deepest, stop) of traced nodes(book_id, origin, node, depth): depth where a node at the last depth leads on, leaf where only the origin was found, or complete."""
+    depth = max(1, min(TRACE_DEPTH_MOST, depth))
+    come, go = ("source", "target") if direction == "precedents" else ("target", "source")
+    on = usable(edges).where(F.col(come) != F.col(go)).select("book_id", F.col(come).alias("node"), F.lit(True).alias("on")).distinct()
+    out = nodes.join(on, ["book_id", "node"], "left")
+    left = F.max((F.col("depth") == depth) & F.coalesce("on", F.lit(False)))
+    out = out.groupBy("book_id", "origin").agg(F.count("*").alias("nodes"), F.max("depth").alias("deepest"), left.alias("left"))
+    stop = F.when(F.col("left"), "depth").when(F.col("nodes") == 1, "leaf").otherwise("complete")
+    return out.select("book_id", "origin", "nodes", "deepest", stop.alias("stop"))
