@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.params import DYNAMIC, GRID_COLUMNS, GRID_ROWS
+from gridloom.params import DYNAMIC, GRID_COLUMNS, GRID_ROWS, SWITCHES
 from gridloom.session import ship
 
 #: Error literals of the language.
@@ -266,6 +266,7 @@ class Parsed:
     template: str | None = None
     unparsed: bool = False
     edges: list[dict] = field(default_factory=list)
+    switches: list[dict] = field(default_factory=list)
 
 
 def parse(formula: str, sheet: str, addr: str, locale: str = "en") -> Parsed:
@@ -276,7 +277,14 @@ def parse(formula: str, sheet: str, addr: str, locale: str = "en") -> Parsed:
         return Parsed(unparsed=True)
     here = _corner(addr.replace("$", ""))
     out = Parsed(tree, "=" + render(tree, lambda c: _r1c1(c, here["col"], here["row"]))[0])
+    plain = lambda c: _a1({**c, "abs_col": False, "abs_row": False})
     for node, hidden in walk(tree):
+        if node["t"] == "call" and node["name"] in SWITCHES:
+            for arg in node["args"][SWITCHES[node["name"]] :]:
+                if arg and arg["t"] == "name":
+                    out.switches.append({"target": arg["v"], "named": True})
+                elif arg and arg["t"] == "ref" and not arg["b"] and (arg["sheet"] or sheet) == sheet:
+                    out.switches.append({"target": plain(arg["a"]), "named": False})
         if hidden:
             continue
         if node["t"] == "call" and node["name"] in DYNAMIC:
@@ -284,7 +292,6 @@ def parse(formula: str, sheet: str, addr: str, locale: str = "en") -> Parsed:
         elif node["t"] == "name":
             out.edges.append({"kind": "ref", "target": node["v"], "unresolved": True, "named": True})
         elif node["t"] == "ref":
-            plain = lambda c: _a1({**c, "abs_col": False, "abs_row": False})
             of = node["sheet"] or sheet
             body = plain(node["a"]) + (":" + plain(node["b"]) if node["b"] else "")
             kind = "external" if "[" in of else "range" if node["b"] else "cross_sheet" if of != sheet else "ref"
@@ -307,18 +314,19 @@ def shift(formula: str, dcol: int, drow: int) -> str:
 
 
 EDGES = "source string, kind string, target string, unresolved boolean, named boolean, ord int"
-PARSED = "book_id string, sheet string, addr string, formula_template string, unparsed boolean, ast_json string, edges array<struct<kind:string,target:string,unresolved:boolean,named:boolean>>"
+PARSED = "book_id string, sheet string, addr string, formula_template string, unparsed boolean, ast_json string, edges array<struct<kind:string,target:string,unresolved:boolean,named:boolean>>, switches array<struct<target:string,named:boolean>>"
 
 
 def parse_cells(cells: DataFrame, locale: str = "en") -> DataFrame:
-    """Template, tree and edges of every cell(book_id, sheet, addr, formula_raw) with a formula."""
+    """Template, tree, edges and arguments of selecting calls of every cell(book_id, sheet, addr, formula_raw) with a formula."""
     ship(cells.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("target", pa.string()), ("unresolved", pa.bool_()), ("named", pa.bool_())]))
+        arg = pa.list_(pa.struct([("target", pa.string()), ("named", pa.bool_())]))
         for b in batches:
             got = [parse(f, s, a, locale) for s, a, f in zip(*(b.column(c).to_pylist() for c in ("sheet", "addr", "formula_raw")), strict=True)]
-            yield pa.record_batch([b.column("book_id"), b.column("sheet"), b.column("addr"), pa.array([g.template for g in got], pa.string()), pa.array([g.unparsed for g in got]), pa.array([json.dumps(g.tree) if g.tree else None for g in got], pa.string()), pa.array([g.edges for g in got], kind)], names=["book_id", "sheet", "addr", "formula_template", "unparsed", "ast_json", "edges"])
+            yield pa.record_batch([b.column("book_id"), b.column("sheet"), b.column("addr"), pa.array([g.template for g in got], pa.string()), pa.array([g.unparsed for g in got]), pa.array([json.dumps(g.tree) if g.tree else None for g in got], pa.string()), pa.array([g.edges for g in got], kind), pa.array([g.switches for g in got], arg)], names=["book_id", "sheet", "addr", "formula_template", "unparsed", "ast_json", "edges", "switches"])
 
     return cells.where(F.coalesce("formula_raw", F.lit("")) != "").select("book_id", "sheet", "addr", "formula_raw").mapInArrow(run, PARSED)
 

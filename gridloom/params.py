@@ -19,6 +19,8 @@ SCALES = {"unit": 1, "k": 1_000, "m": 1_000_000, "bn": 1_000_000_000}
 CONDITIONAL = ("IF", "IFS", "SWITCH")
 AGGREGATION = ("SUM", "SUMPRODUCT", "AVERAGE", "MIN", "MAX", "COUNT", "COUNTA", "COUNTIF", "COUNTIFS", "SUBTOTAL", "AGGREGATE")
 DYNAMIC = ("INDIRECT", "OFFSET")
+#: Functions whose arguments, from this place on, may be switches, and how many other rows have to read one.
+SWITCHES, SWITCH_READERS = {"INDEX": 1, "CHOOSE": 0, "OFFSET": 1}, 2
 EDGE_KINDS = ("ref", "range", "cross_sheet", "external", "dynamic")
 MONTH_STEPS = (1, 3, 6, 12)
 OUTLINE_MOST = 8

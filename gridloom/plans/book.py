@@ -12,6 +12,8 @@ from gridloom.functions import cells as C
 from gridloom.operators import formula as G
 from gridloom.operators import ranges as R
 from gridloom.operators.lookups import labelled, resolve_names
+from gridloom.operators.switches import orphan_rows, switch_cells, switch_reads
+from gridloom.operators.timelines import axis_facts, linked_timelines, with_shared_axes
 from gridloom.params import ID_CAP, NOISE, TRACE_MEMBERS
 from gridloom.plans import graph
 from gridloom.plans.layout import axis_periods, detect
@@ -36,6 +38,7 @@ class Books:
     links: DataFrame
     cycles: DataFrame
     series: DataFrame
+    switches: DataFrame
 
     def observations(self, q: str | None = None, row_keys: list[str] | None = None, period_ids: list[str] | None = None, limit: int = 24, precedent_depth: int = 0) -> DataFrame:
         """Row by period facts with the formula behind each; see grid.observations for the selection.
@@ -69,6 +72,11 @@ class Books:
 
         return catalog(self.series, q, sheet, limit, offset)
 
+    def timelines(self) -> DataFrame:
+        """(book_id, axis_id, timeline_id): axes of a book with the same years, and dates and flags that fit, share a timeline."""
+        populated = self.cells.where("presence = 'populated'")
+        return linked_timelines(axis_facts(self.layout, self.periods, populated), ["book_id"])
+
     def trace(self, origin: str, direction: str = "precedents", depth: int = 8, range_members: int = 0) -> DataFrame:
         """Nodes around a cell (Sheet!A1), a row key or part of a label, by their least depth.
 
@@ -111,6 +119,11 @@ def build(spark: SparkSession, path: str | list[str]) -> Books:
     populated = cells.where("presence = 'populated'").join(workbooks.select("book_id", "date1904").distinct(), "book_id", "left")
     parsed = checkpointed(G.parse_cells(populated))
     layout = checkpointed(detect(populated.join(parsed.select("book_id", "sheet", "addr", "formula_template"), ["book_id", "sheet", "addr"], "left")))
+    facts = axis_facts(layout, axis_periods(layout), populated)
+    layout = checkpointed(with_shared_axes(layout, facts))
+    switches = checkpointed(switch_cells(switch_reads(parsed, defined(parsed, workbooks)), shown(populated)))
+    if not switches.isEmpty():
+        layout = checkpointed(layout.unionByName(orphan_rows(switches, layout, shown(populated))))
     periods = checkpointed(axis_periods(layout))
     identity = checkpointed(identities(populated, layout, periods))
     edges = G.formula_edges(parsed)
@@ -122,7 +135,7 @@ def build(spark: SparkSession, path: str | list[str]) -> Books:
     formulas = populated.where("formula_raw is not null").select("book_id", F.concat("sheet", F.lit("!"), "addr").alias("source"), F.col("formula_raw").alias("formula"))
     ranges = checkpointed(graph.range_nodes(cell_edges))
     cycles = graph.cycles(enriched) if ranges.isEmpty() else graph.cycles(enriched, ranges, index)
-    return Books(workbooks, cells, layout, periods, identity, parsed, edges, cell_edges, index, enriched, graph.links(formulas, edges, enriched), cycles, checkpointed(series(layout, periods, cells)))
+    return Books(workbooks, cells, layout, periods, identity, parsed, edges, cell_edges, index, enriched, graph.links(formulas, edges, enriched), cycles, checkpointed(series(layout, periods, cells)), switches)
 
 
 def identities(cells: DataFrame, layout: DataFrame, periods: DataFrame) -> DataFrame:
@@ -139,12 +152,27 @@ def identities(cells: DataFrame, layout: DataFrame, periods: DataFrame) -> DataF
     return at.withColumns({c: F.when(turned, F.col(f"__{c}")).otherwise(F.col(c)) for c in [*facts, "period_id"]}).drop(*[f"__{c}" for c in [*facts, "period_id"]])
 
 
+def resolved(wanted: DataFrame, workbooks: DataFrame) -> DataFrame:
+    """(book_id, sheet, name, status, means): what wanted(book_id, sheet, name) are defined as, as Sheet!A1, Sheet!A1:B2 or an outer target."""
+    names = workbooks.select("book_id", F.posexplode("defined_names").alias("ordinal", "d")).select("book_id", "d.sheet", "d.name", "d.formula", "ordinal")
+    found = resolve_names(wanted.select("book_id", "sheet", "name").distinct(), names, ["book_id"]).where("status in ('resolved', 'external')")
+    return found.select("book_id", "sheet", "name", "status", F.when(F.col("target").contains("!"), F.regexp_replace("target", "'", "")).otherwise(F.concat("sheet", F.lit("!"), "target")).alias("means"))
+
+
+def defined(parsed: DataFrame, workbooks: DataFrame) -> DataFrame:
+    """What the names that selecting calls take are defined as."""
+    return resolved(parsed.select("book_id", "sheet", F.inline("switches")).where("named").withColumnRenamed("target", "name"), workbooks)
+
+
+def shown(cells: DataFrame) -> DataFrame:
+    """Cells with their trimmed text (null where empty) and number."""
+    return cells.select("book_id", "sheet", "row", "col", "addr", "formula_raw", F.nullif(F.trim("cached_value"), F.lit("")).alias("text"), C.parse_number(F.col("cached_value")).alias("number"))
+
+
 def with_names(edges: DataFrame, workbooks: DataFrame) -> DataFrame:
     """Edges whose defined names stand for what they are defined as; a name that does not resolve stays as it is."""
-    names = workbooks.select("book_id", F.posexplode("defined_names").alias("ordinal", "d")).select("book_id", "d.sheet", "d.name", "d.formula", "ordinal")
     own = edges.withColumn("sheet", C.split_sheet(F.col("source"))["sheet"]).withColumn("name", F.when(F.col("named"), F.col("target")))
-    found = resolve_names(own.where("named").select("book_id", "sheet", "name").distinct(), names, ["book_id"]).where("status in ('resolved', 'external')")
-    found = found.select("book_id", "sheet", "name", "status", F.when(F.col("target").contains("!"), F.regexp_replace("target", "'", "")).otherwise(F.concat("sheet", F.lit("!"), "target")).alias("means"))
+    found = resolved(own.where("named"), workbooks)
     out = own.join(found, ["book_id", "sheet", "name"], "left")
     known = F.col("means").isNotNull()
     other = C.split_sheet(F.col("means"))["sheet"] != F.col("sheet")

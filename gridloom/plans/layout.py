@@ -16,7 +16,10 @@ from gridloom.operators.axes import KEYS, body_rows, candidates
 from gridloom.params import RUN_LEAST
 from gridloom.session import checkpointed, ship
 
-LAYOUT = "book_id string, sheet string, block_id string, block_kind string, axis_id string, label_col long, row long, label string, row_key string, kind string, parent_row long, section_path array<string>, periods array<struct<col:long,key:string,text:string>>, value_cols array<long>, unit string, turned boolean, captions map<long,string>"
+LAYOUT = "book_id string, sheet string, block_id string, block_kind string, axis_id string, label_col long, row long, label string, row_key string, kind string, parent_row long, section_path array<string>, periods array<struct<col:long,key:string,text:string,kind:string,group_key:string,start_date:string,end_date:string>>, value_cols array<long>, unit string, turned boolean, captions map<long,string>"
+
+#: What an axis says of each of its columns.
+PERIOD = ("col", "key", "text", "kind", "group_key", "start_date", "end_date")
 
 
 def prepared(cells: DataFrame) -> DataFrame:
@@ -77,7 +80,7 @@ def block_rows(sheet: str, block: str, kind: str, body: dict[int, list], columns
 
 def turned_rows(cells: DataFrame, axes: DataFrame) -> DataFrame:
     """LAYOUT rows of vertical axes: one for each named column beside the periods; row is the names' row, label_col the series' column."""
-    lines = axes.where("turned").groupBy(*KEYS, "axis_id", "header_row", "top_row").agg(F.array_sort(F.collect_list(F.struct("col", "key", "text"))).alias("periods"))
+    lines = axes.where("turned").groupBy(*KEYS, "axis_id", "header_row", "top_row").agg(F.array_sort(F.collect_list(F.struct(*PERIOD))).alias("periods"))
     names = cells.where("number is null and shown is not null").select(*KEYS, F.col("row").alias("header_row"), F.col("col").alias("label_col"), F.col("shown").alias("label"))
     held = cells.where("number is not null").select(*KEYS, F.col("row"), F.col("col").alias("label_col"))
     span = F.transform("periods", lambda p: p["col"])
@@ -95,7 +98,7 @@ def detect(cells: DataFrame) -> DataFrame:
     shut = rows.groupBy(*KEYS, "col").agg(F.min("hidden").alias("h")).where("h").select(*KEYS, "col") if "hidden" in rows.columns else None
     axes = checkpointed(candidates(rows, shut))
     # totals and stubs between periods are columns of the axis, too
-    across = axes.where("not turned").groupBy(*KEYS, "axis_id", "header_row").agg(F.array_sort(F.collect_list(F.struct("col", "key", "text"))).alias("periods"), F.min("top_row").alias("start_row"), F.array_sort(F.collect_set("col")).alias("cols"))
+    across = axes.where("not turned").groupBy(*KEYS, "axis_id", "header_row").agg(F.array_sort(F.collect_list(F.struct(*PERIOD))).alias("periods"), F.min("top_row").alias("start_row"), F.array_sort(F.collect_set("col")).alias("cols"))
     heads = across.select(*KEYS, F.explode(F.sequence("start_row", "header_row")).alias("row")).distinct()
     left = rows.where("shown is not null").join(across.select(*KEYS, "axis_id", F.col("header_row").alias("row"), F.array_min("cols").alias("first")), [*KEYS, "row"]).where((F.col("col") < F.col("first")) & F.col("atom").isNull())
     across = across.join(left.groupBy(*KEYS, "axis_id").agg(F.min_by("shown", "col").alias("unit")), [*KEYS, "axis_id"], "left")
@@ -112,7 +115,7 @@ def detect(cells: DataFrame) -> DataFrame:
             body.setdefault(int(r.row), []).append(r)
         found: list[dict] = []
         if len(y):
-            periods = [{"col": int(p["col"]), "key": p["key"], "text": p["text"]} for p in y["periods"].iloc[0]]
+            periods = [{c: p[c] for c in PERIOD} | {"col": int(p["col"])} for p in y["periods"].iloc[0]]
             found = block_rows(sheet, axis, "timeline", body, [p["col"] for p in periods], periods, y["unit"].iloc[0]) if body else []
         else:
             values = sorted({int(c.col) for cells in body.values() for c in cells if c.number is not None})
@@ -127,6 +130,6 @@ def detect(cells: DataFrame) -> DataFrame:
 
 
 def axis_periods(layout: DataFrame) -> DataFrame:
-    """One row for each period of an axis: book_id, axis_id, period_index, col, period_id, text."""
+    """One row for each period of an axis: book_id, sheet, axis_id, period_index, col, period_id, text, kind, group_key, start_date, end_date."""
     one = layout.where("axis_id is not null").groupBy("book_id", "sheet", "axis_id").agg(F.first("periods").alias("periods"))
-    return one.select("book_id", "sheet", "axis_id", F.posexplode("periods").alias("i", "p")).select("book_id", "sheet", "axis_id", (F.col("i") + 1).cast("long").alias("period_index"), "p.col", F.col("p.key").alias("period_id"), "p.text")
+    return one.select("book_id", "sheet", "axis_id", F.posexplode("periods").alias("i", "p")).select("book_id", "sheet", "axis_id", (F.col("i") + 1).cast("long").alias("period_index"), "p.col", F.col("p.key").alias("period_id"), *[f"p.{c}" for c in PERIOD[2:]])
