@@ -10,7 +10,7 @@ import unicodedata
 from datetime import date
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.session import ship
@@ -150,3 +150,20 @@ def with_atoms(df: DataFrame, column: str) -> DataFrame:
 
     found = texts.withColumn("atom", read(column)).where("atom.kind is not null").select(F.col(column).alias("__t"), "atom")
     return df.join(found, F.col(column) == F.col("__t"), "left").drop("__t")
+
+
+def period_shape(text: Column) -> Column:
+    """Whether a short text looks like a period without saying which: several dates, a number before a year, Q or H beside a
+    digit, a word for quarters or halves beside a year. Only texts that have no atom are in question."""
+    low = F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
+    dates = F.size(F.regexp_extract_all(low, F.lit(r"\d{1,2}[./]\d{1,2}[./]\d{2,4}|\d{4}-\d\d-\d\d"), F.lit(0))) >= 2
+    part = low.rlike(r"(^|\s)[qhн]\s?\d|\d\s?[qhн](\s|$)")
+    word = low.rlike(r"(?<!\p{L})(q|h|кв|квартал\p{L}*|полугод\p{L}*)(?!\p{L})") & low.rlike(r"(19|20)\d\d")
+    return F.coalesce((F.length(low) <= 40) & (dates | low.rlike(r"^\d{1,2}[./](19|20)\d\d$") | part | word), F.lit(False))
+
+
+def period_like(text: Column) -> Column:
+    """period_shape, or a fiscal year, a span of years or a number of months beside a year."""
+    low = F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
+    span = low.rlike(r"fy ?((19|20)\d\d|\d\d)|(19|20)\d\d ?/ ?\d{2,4}|\d{1,2} ?[mм] ?(19|20)\d\d")
+    return period_shape(text) | F.coalesce((F.length(low) <= 40) & span, F.lit(False))

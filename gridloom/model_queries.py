@@ -1,4 +1,4 @@
-"""Queries of timelines and switches over the star schema: customers are axes or rows, their nations books or sheets."""
+"""Queries of timelines, switches and warnings over the star schema: customers are axes or rows, their nations books or sheets."""
 
 from __future__ import annotations
 
@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions import cells as C
+from gridloom.functions.headers import period_like, period_shape
 from gridloom.operators import formula as G
 from gridloom.operators import switches as S
 from gridloom.operators import timelines as T
+from gridloom.operators.lookups import ranked_lines
+from gridloom.params import WARNINGS
 from gridloom.plans.grid import table
 from gridloom.queries import query
 
@@ -68,3 +71,23 @@ def switch_rows(spark, d):
     cells = rows.select(F.lit("b").alias("book_id"), F.col("c_nationkey").cast("string").alias("sheet"), "row", F.inline(held)).withColumn("addr", C.address(F.col("col"), F.col("row")))
     out = S.switch_cells(S.switch_reads(G.parse_cells(cells)), cells)
     return out.select(F.col("sheet").cast("int").alias("c_nationkey"), "row", "label", "readers")
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 7 WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN true WHEN 3 THEN true ELSE false END AS shape, o_orderkey % 7 <> 6 AND o_orderkey % 7 <> 5 AS likely FROM orders")
+def period_shapes(spark, d):
+    """Texts made of each order's date and key, some in the shape of a period: several dates, quarters with more words, months before years."""
+    k, y = F.col("o_orderkey"), F.date_format("o_orderdate", "yyyy")
+    texts = [F.concat(F.date_format("o_orderdate", "dd.MM.yyyy"), F.lit(" - "), F.date_format("o_orderdate", "dd.MM.yyyy")), F.concat(F.lit("Plan for  Q"), F.quarter("o_orderdate").cast("string"), F.lit(" only")), F.concat(F.lit("13/"), y), F.concat(F.lit("квартал отчёта "), y), F.concat(F.lit("sum 9M "), y), F.concat(F.lit("Order "), k.cast("string"), F.lit(" of the clerk named in this long text")), F.lit("Revenue")]
+    text = F.lit(None).cast("string")
+    for i, t in enumerate(texts):
+        text = F.when(k % 7 == i, t).otherwise(text)
+    return table(spark, d, "orders").select("o_orderkey", period_shape(text).alias("shape"), period_like(text).alias("likely"))
+
+
+@query(
+    "WITH l AS (SELECT s_nationkey AS book, 0 AS p, s_suppkey AS o, 'supplier ' || s_suppkey AS line FROM supplier UNION ALL SELECT c_nationkey, 1, c_custkey, 'customer ' || c_custkey FROM customer), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY book ORDER BY p, o) AS INTEGER) AS no, count(*) OVER (PARTITION BY book) AS total FROM l) SELECT book AS n_nationkey, no, line, total FROM r WHERE no <= 50"
+)
+def warnings_by_book(spark, d):
+    """The first fifty lines of each nation, suppliers before customers, and how many there are."""
+    line = lambda name, nation, key: table(spark, d, name).select(F.col(f"{nation}_nationkey").alias("n_nationkey"), F.col(key).alias("ord"), F.concat_ws(" ", F.lit(name), F.col(key).cast("string")).alias("line"))
+    return ranked_lines([line("supplier", "s", "s_suppkey"), line("customer", "c", "c_custkey")], ["n_nationkey"], ["ord"], WARNINGS)

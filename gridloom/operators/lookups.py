@@ -68,6 +68,16 @@ def capped_lines(sources: list[DataFrame], order: str, cap: int) -> DataFrame:
     return out.orderBy("priority", order).limit(cap)
 
 
+def ranked_lines(sources: list[DataFrame], keys: list[str], order: list[str], cap: int) -> DataFrame:
+    """(keys, no, line, total): the first cap lines of each key from several sources(keys, order, line), a source before the
+    next, each in its order; total counts all lines."""
+    out = sources[0].withColumn("priority", F.lit(0))
+    for k, s in enumerate(sources[1:], 1):
+        out = out.unionByName(s.withColumn("priority", F.lit(k)))
+    top = out.withColumn("no", F.row_number().over(Window.partitionBy(*keys).orderBy("priority", *order, "line"))).where(F.col("no") <= cap)
+    return top.select(*keys, "no", "line").join(out.groupBy(*keys).agg(F.count("*").alias("total")), keys)
+
+
 def span_text(values: Column) -> Column:
     """Sorted whole numbers as spans: 17:18,20:20."""
     v = F.array_sort(F.array_distinct(values))

@@ -8,7 +8,7 @@ NOISE = 1e-6
 MAJORITY = 0.6
 TOTAL_ABS, TOTAL_REL = 1e-6, 1e-4
 OBSERVATIONS, OBSERVATIONS_MOST = 24, 48
-WARNINGS = 50
+WARNINGS, WARNING_SAMPLES = 50, 3
 BAND_GAP = 3
 #: Columns of totals between periods, and rows between a vertical axis and the names of its series.
 JOIN_GAP, SERIES_NEAR = 2, 5

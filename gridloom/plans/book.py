@@ -14,7 +14,7 @@ from gridloom.operators import ranges as R
 from gridloom.operators.lookups import labelled, resolve_names
 from gridloom.operators.switches import orphan_rows, switch_cells, switch_reads
 from gridloom.operators.timelines import axis_facts, linked_timelines, with_shared_axes
-from gridloom.params import ID_CAP, NOISE, TRACE_MEMBERS
+from gridloom.params import ID_CAP, NOISE, TRACE_MEMBERS, WARNINGS
 from gridloom.plans import graph
 from gridloom.plans.layout import axis_periods, detect
 from gridloom.session import checkpointed
@@ -77,6 +77,12 @@ class Books:
         populated = self.cells.where("presence = 'populated'")
         return linked_timelines(axis_facts(self.layout, self.periods, populated), ["book_id"])
 
+    def warnings(self, cap: int = WARNINGS) -> DataFrame:
+        """(book_id, no, line, total): the first cap warnings of each book; see plans.warnings."""
+        from gridloom.plans.warnings import warnings
+
+        return warnings(self, cap)
+
     def trace(self, origin: str, direction: str = "precedents", depth: int = 8, range_members: int = 0) -> DataFrame:
         """Nodes around a cell (Sheet!A1), a row key or part of a label, by their least depth.
 

@@ -25,9 +25,11 @@ from gridloom.session import ship
 CELLS = pa.schema([
     ("book_id", pa.string()), ("ordinal", pa.int64()), ("sheet", pa.string()), ("row", pa.int64()), ("col", pa.int64()), ("addr", pa.string()), ("formula_raw", pa.string()), ("cached_value", pa.string()), ("hidden", pa.bool_()),
     ("number_format", pa.string()), ("comment", pa.string()), ("shared_si", pa.int64()), ("shared_master", pa.bool_()), ("style_indent", pa.int64()), ("outline_level", pa.int64()), ("col_outline_level", pa.int64()), ("presence", pa.string()),
+    ("hidden_row", pa.bool_()), ("hidden_col", pa.bool_()), ("merge_end_row", pa.int64()), ("merge_end_col", pa.int64()),
 ])
-CELLS_DDL = "book_id string, ordinal long, sheet string, row long, col long, addr string, formula_raw string, cached_value string, hidden boolean, number_format string, comment string, shared_si long, shared_master boolean, style_indent long, outline_level long, col_outline_level long, presence string"
+CELLS_DDL = "book_id string, ordinal long, sheet string, row long, col long, addr string, formula_raw string, cached_value string, hidden boolean, number_format string, comment string, shared_si long, shared_master boolean, style_indent long, outline_level long, col_outline_level long, presence string, hidden_row boolean, hidden_col boolean, merge_end_row long, merge_end_col long"
 BATCH = 2048
+_MERGE = re.compile(rb"""<(?:\w+:)?mergeCell\b[^>]*?\bref=["']([A-Z]+\d+):([A-Z]+)(\d+)["']""")
 
 #: Bounds of a zip that is read (bytes of a part, of all parts, ratios, size under which ratios do not count).
 PART_MOST, TOTAL_MOST, RATIO, RATIO_XML, RATIO_FROM = 512 << 20, 2 << 30, 50, 200, 4096
@@ -156,7 +158,7 @@ class Book:
         """Rows of CELLS in file order; blank styled cells too (presence styled_blank)."""
         ordinal = 0
         for sheet, part, _ in self.sheets:
-            notes = self._comments(part)
+            notes, merges = self._comments(part), self._merges(part)
             hidden_cols, col_levels = set(), {}
             masters: dict[int, tuple[str, int, int]] = {}
             row_hidden, row_level, row_n = False, None, 0
@@ -181,11 +183,22 @@ class Book:
                         m = re.fullmatch(r"([A-Z]+)(\d+)", addr or "")
                         if m:
                             col, row = index(m[1]), int(m[2])
-                            yield self._cell(e, ordinal, sheet, row, col, addr, row_hidden or col in hidden_cols, notes.get(addr), masters, row_level, col_levels.get(col))
+                            yield (*self._cell(e, ordinal, sheet, row, col, addr, row_hidden or col in hidden_cols, notes.get(addr), masters, row_level, col_levels.get(col)), row_hidden, col in hidden_cols, *merges.get(addr, (None, None)))
                             ordinal += 1
                     elif name == "row":
                         e.clear()
 
+    def _merges(self, part: str) -> dict[str, tuple[int, int]]:
+        """The last row and column of each merged range by its first cell; they follow the cells in the file, so it is read ahead."""
+        found, rest = {}, b""
+        with self.z.open(part) as f:
+            while chunk := f.read(1 << 20):
+                rest += chunk
+                for m in _MERGE.finditer(rest):
+                    found[m[1].decode()] = (int(m[3]), index(m[2].decode()))
+                rest = rest[-256:]
+        return found
+
     def _comments(self, part: str) -> dict[str, str]:
         out = {}
         for kind, target in _relations(self.z, part).values():
@@ -281,8 +294,8 @@ def order_warnings(cells: DataFrame) -> DataFrame:
     return bad.groupBy("book_id", "sheet").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(F.col("__rn") <= 3, F.struct("ordinal", "addr"))))["addr"].alias("samples"))
 
 
-def write_book(sheets: dict[str, dict[str, tuple]], names: dict[str, str] | None = None, iterate: bool = False) -> bytes:
-    """A minimal workbook for tests and examples: sheet -> address -> (value, formula or None)."""
+def write_book(sheets: dict[str, dict[str, tuple]], names: dict[str, str] | None = None, iterate: bool = False, merges: dict[str, list[str]] | None = None, hidden: dict[str, list[int]] | None = None) -> bytes:
+    """A minimal workbook for tests and examples: sheet -> address -> (value, formula or None); merged ranges and hidden rows of sheets."""
     esc = lambda s: str(s).replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").replace('"', "&quot;")
     main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
     rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
@@ -292,14 +305,15 @@ def write_book(sheets: dict[str, dict[str, tuple]], names: dict[str, str] | None
         defined = "<definedNames>" + "".join(f'<definedName name="{esc(k)}">{esc(v)}</definedName>' for k, v in (names or {}).items()) + "</definedNames>" if names else ""
         z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets>{listed}</sheets>{defined}<calcPr iterate="{int(iterate)}"/></workbook>')
         z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">' + "".join(f'<Relationship Id="r{i + 1}" Type="{rel}/worksheet" Target="worksheets/sheet{i + 1}.xml"/>' for i in range(len(sheets))) + "</Relationships>")
-        for i, cells in enumerate(sheets.values()):
+        for i, (name, cells) in enumerate(sheets.items()):
+            merged = "".join(f'<mergeCell ref="{m}"/>' for m in (merges or {}).get(name, []))
             rows: dict[int, list[tuple[int, str, tuple]]] = {}
             for addr, cell in cells.items():
                 m = re.fullmatch(r"([A-Z]+)(\d+)", addr)
                 rows.setdefault(int(m[2]), []).append((index(m[1]), addr, cell))
             body = ""
             for r in sorted(rows):
-                body += f'<row r="{r}">'
+                body += f'<row r="{r}"' + (' hidden="1">' if r in (hidden or {}).get(name, []) else ">")
                 for c, _, (value, formula) in sorted(rows[r]):
                     f = f"<f>{esc(formula.removeprefix('='))}</f>" if formula else ""
                     if isinstance(value, str):
@@ -307,5 +321,5 @@ def write_book(sheets: dict[str, dict[str, tuple]], names: dict[str, str] | None
                     else:
                         body += f'<c r="{letters(c)}{r}">{f}' + (f"<v>{value}</v>" if value is not None else "") + "</c>"
                 body += "</row>"
-            z.writestr(f"xl/worksheets/sheet{i + 1}.xml", f'<worksheet xmlns="{main}"><sheetData>{body}</sheetData></worksheet>')
+            z.writestr(f"xl/worksheets/sheet{i + 1}.xml", f'<worksheet xmlns="{main}"><sheetData>{body}</sheetData>{f"<mergeCells>{merged}</mergeCells>" if merged else ""}</worksheet>')
     return out.getvalue()
