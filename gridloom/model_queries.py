@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gridloom.functions import cells as C
 from gridloom.functions.headers import period_like, period_shape
 from gridloom.operators import formula as G
+from gridloom.operators import roles as R
 from gridloom.operators import switches as S
 from gridloom.operators import timelines as T
 from gridloom.operators.lookups import ranked_lines
@@ -91,3 +92,18 @@ def warnings_by_book(spark, d):
     """The first fifty lines of each nation, suppliers before customers, and how many there are."""
     line = lambda name, nation, key: table(spark, d, name).select(F.col(f"{nation}_nationkey").alias("n_nationkey"), F.col(key).alias("ord"), F.concat_ws(" ", F.lit(name), F.col(key).cast("string")).alias("line"))
     return ranked_lines([line("supplier", "s", "s_suppkey"), line("customer", "c", "c_custkey")], ["n_nationkey"], ["ord"], WARNINGS)
+
+
+@query(
+    "WITH c AS (SELECT c_nationkey, count(*) AS n, count_if(c_acctbal > 5000) AS v, count_if(c_custkey % 3 <> 0 AND length('remark about ' || c_name) > 24) AS t FROM customer GROUP BY ALL) SELECT c_nationkey, unnest([{'col': 1::BIGINT, 'caption': 'Item', 'role': 'label'}, {'col': 2, 'caption': 'Balance', 'role': CASE WHEN v >= 3 THEN 'value' ELSE 'unknown' END}, {'col': 3, 'caption': 'Unit', 'role': 'unit'}, {'col': 4, 'caption': 'Status', 'role': CASE WHEN t >= 2 AND t >= 0.6 * n THEN 'note' ELSE 'unknown' END}, {'col': 5, 'caption': 'FY 2024/25', 'role': 'unknown'}, {'col': 6, 'caption': '№', 'role': 'index'}], recursive := true) FROM c"
+)
+def column_roles(spark, d):
+    """What the columns of each nation's table of customers are for: names, balances (words below 5000), a unit, remarks, numbers under a year, places."""
+    rows = table(spark, d, "customer").select("c_nationkey", "c_custkey", "c_name", "c_acctbal")
+    k, none = F.col("c_custkey"), F.lit(None).cast("double")
+    cell = lambda col, text, number=none: F.struct(F.lit(col).cast("long").alias("col"), text.cast("string").alias("text"), number.cast("double").alias("number"))
+    rich = F.col("c_acctbal") > 5000
+    body = [cell(1, F.col("c_name")), cell(2, F.when(rich, F.col("c_acctbal").cast("string")).otherwise("n/a"), F.when(rich, F.col("c_acctbal"))), cell(3, F.lit("%")), cell(4, F.when(k % 3 == 0, "ok").otherwise(F.concat(F.lit("remark about "), "c_name"))), cell(5, k, k), cell(6, k, k)]
+    heads = [cell(i, F.lit(t)) for i, t in enumerate(("Item", "Balance", "Unit", "Status", "FY 2024/25", "№"), 1)]
+    cells = rows.select("c_nationkey", k.alias("row"), F.inline(F.array(*body))).unionByName(rows.select("c_nationkey").distinct().select("c_nationkey", F.lit(0).cast("long").alias("row"), F.inline(F.array(*heads))))
+    return R.column_roles(cells, ["c_nationkey"])

@@ -27,3 +27,14 @@ OUTLINE_MOST = 8
 VALUE_BLOCKS = ("params", "key_value", "matrix")
 SERIES_KINDS, STRUCTURAL_KEYS = ("period", "stub", "relative"), ("total", "stub")
 CURRENCY_SIGNS = {"GBP": "£", "USD": "$", "EUR": "€", "RUB": "₽"}
+#: Columns of parameter tables: numbers and share that make a column one of values, letters from which a text is a note,
+#: words that may follow a caption's first one and their letters.
+VALUES_LEAST, ROLE_SHARE, NOTE_LEAST = 3, 0.6, 24
+QUALIFIERS, QUALIFIER_LETTERS = 2, 20
+#: Captions that name what a column is for.
+ROLE_WORDS = {
+    "label": ("parameter", "parameters", "item", "check", "assumption", "assumptions", "параметр", "параметры", "параметры проекта", "показатель", "показатели", "статья", "статья затрат", "наименование", "наименование показателя", "допущение", "допущения", "предпосылка", "предпосылки", "проверка", "исходные данные"),
+    "value": ("value", "values", "active", "result", "chosen", "значение", "значения", "значение руб", "величина", "результат"),
+    "unit": ("unit", "units", "unit of measure", "uom", "ед", "ед изм", "ед измерения", "единица", "единицы", "единица изм", "единица измерения", "единицы измерения", "размерность"),
+    "note": ("note", "notes", "comment", "comments", "comment s", "source", "sources", "примечание", "примечания", "комментарий", "комментарии", "источник", "описание", "мероприятие", "мероприятия", "вывод", "выводы"),
+}

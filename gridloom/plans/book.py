@@ -12,6 +12,7 @@ from gridloom.functions import cells as C
 from gridloom.operators import formula as G
 from gridloom.operators import ranges as R
 from gridloom.operators.lookups import labelled, resolve_names
+from gridloom.operators.roles import column_roles
 from gridloom.operators.switches import orphan_rows, switch_cells, switch_reads
 from gridloom.operators.timelines import axis_facts, linked_timelines, with_shared_axes
 from gridloom.params import ID_CAP, NOISE, TRACE_MEMBERS, WARNINGS
@@ -77,6 +78,15 @@ class Books:
         populated = self.cells.where("presence = 'populated'")
         return linked_timelines(axis_facts(self.layout, self.periods, populated), ["book_id"])
 
+    def column_roles(self) -> DataFrame:
+        """(book_id, sheet, block_id, col, caption, role): what the columns of blocks without periods are for; hidden cells do not count."""
+        blocks = self.layout.where("axis_id is null").select("book_id", "sheet", "block_id", "row")
+        ends = blocks.groupBy("book_id", "sheet", "block_id").agg(F.min("row").alias("first"))
+        seen = shown(self.cells.where("presence = 'populated' and not hidden"))
+        # the row of captions above a block's first row is no row of the layout
+        heads = ends.where("first > 1").select("book_id", "sheet", "block_id", (F.col("first") - 1).alias("row"))
+        return column_roles(seen.join(blocks.unionByName(heads).distinct(), ["book_id", "sheet", "row"]), ["book_id", "sheet", "block_id"])
+
     def warnings(self, cap: int = WARNINGS) -> DataFrame:
         """(book_id, no, line, total): the first cap warnings of each book; see plans.warnings."""
         from gridloom.plans.warnings import warnings

@@ -10,6 +10,10 @@ THREE = YEARS | {"A2": ("On", None), "B2": (1, None), "C2": (1, None), "D2": (0,
 SWITCH = {"B1": (2020, None), "C1": (2021, None), "D1": (2022, None)} | {f"A{r}": (f"Line {r}", None) for r in (2, 3)} | {f"{c}{r}": (r, f"=CHOOSE($H$9,{c}{r}0,SUM({c}{r}1:{c}{r}2))") for c in "BCD" for r in (2, 3)} | {f"D{r}": (r, "=INDEX(B2:D2,1,Case)") for r in (2, 3)}
 SWITCH |= {"H8": ("Case to run", None), "H9": (1, None), "J9": (2, None)}
 
+PARAMS = {f"{c}1": (t, None) for c, t in zip("ABCDE", ("Parameter", "Base case", "Ед. изм.", "Источник информации", "№"))}
+for _r in range(2, 7):
+    PARAMS |= {f"A{_r}": (f"Rate {_r}", None), f"B{_r}": (_r / 10, None), f"C{_r}": ("%", None), f"D{_r}": ("as the board of directors said", None), f"E{_r}": (_r - 1, None)}
+
 
 @pytest.fixture(scope="module")
 def book(spark, tmp_path_factory):
@@ -17,7 +21,7 @@ def book(spark, tmp_path_factory):
     from gridloom.sources.workbook import write_book
 
     path = tmp_path_factory.mktemp("models") / "book.xlsx"
-    path.write_bytes(write_book({"One": ONE, "Two": TWO, "Three": THREE, "Switch": SWITCH}, {"Case": "Switch!$J$9"}))
+    path.write_bytes(write_book({"One": ONE, "Two": TWO, "Three": THREE, "Switch": SWITCH, "Params": PARAMS}, {"Case": "Switch!$J$9"}))
     return build(spark, str(path))
 
 
@@ -41,6 +45,19 @@ def test_switches_become_rows_of_their_own(book):
     assert [(r["period_id"], r["cached_value"]) for r in book.series.where("label = 'Case to run'").collect()] == [("H9", "1")]
 
 
+def test_roles_of_parameter_columns(book):
+    got = {r["col"]: (r["caption"], r["role"]) for r in book.column_roles().where("sheet = 'Params'").collect()}
+    assert got == {1: ("Parameter", "label"), 2: ("Base case", "value"), 3: ("Ед. изм.", "unit"), 4: ("Источник информации", "note"), 5: ("№", "index")}
+
+
+@pytest.mark.parametrize("text, role", [("Значение базовое", "value"), ("Source of information", "note"), ("source of all the information", None), ("Ёмкость", None), ("comment(s)", "note"), ("", None), (None, None)])
+def test_header_roles(spark, text, role):
+    from gridloom.operators.roles import header_role
+    from pyspark.sql import functions as F
+
+    assert spark.range(1).select(header_role(F.lit(text).cast("string")).alias("r")).first()["r"] == role
+
+
 def plain(axes):
     """shared_axes one axis after another."""
     kept, out = [], {}
