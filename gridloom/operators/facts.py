@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from collections import Counter
-from itertools import chain, count
+from collections.abc import Iterator
+from itertools import chain, count, zip_longest
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -186,32 +187,100 @@ def completeness(published: DataFrame, layout: DataFrame, keys: list[str], row:
     return out.groupBy(*keys).agg(F.count("__p").alias("published"), F.count("*").alias("rows")).withColumn("share", F.col("published") / F.col("rows"))
 
 
-def flag_keys(flags: DataFrame, keys: list[str]) -> DataFrame:
-    """flags(keys, row long, base) with a key for each flag that is unique on its axis: its base if no other flag has it,
-    else with the key of the last flag before that has another base in brackets, or else its row.
+def flag_key_parts(flags: DataFrame, keys: list[str]) -> DataFrame:
+    """flags(keys, row long, base) with what each flag's key is made of: its base, in brackets the key of the flag at place
+    (from 0, by row) before of its axis, and tail. Keys are unique on their axis: the base if no other flag has it, else with
+    the key of the last flag before that has another base, or else its row; place is the flag's own.
 
-    The flags of one axis (keys) are one task's: keys build on those before. A null or empty base is "row n".
+    The flags of one axis (keys) are one task's: keys build on those before. Where all bases are repeated keys nest as deep
+    as the axis is long, so only parts are held. A null or empty base is "row n".
     """
-    from pyspark.sql.types import StringType, StructField, StructType
+    from pyspark.sql.types import LongType, StringType, StructField, StructType
 
     rows = flags.withColumn("base", F.coalesce(F.nullif(F.col("base"), F.lit("")), F.concat(F.lit("row "), F.col("row").cast("string"))))
-    schema = StructType([*rows.schema, StructField("flag_key", StringType())])
+    schema = StructType([*rows.schema, StructField("place", LongType()), StructField("before", LongType()), StructField("tail", StringType())])
 
     def run(x: pa.Table) -> pa.Table:
         x = x.sort_by([("row", "ascending")])
-        bases, at = x.column("base").to_pylist(), x.column("row").to_pylist()
-        times = Counter(bases)
-        taken: set[str] = set()
-        before = last = None  # the key before the present run of equal bases, and the last key
-        out = []
-        for i, (base, row) in enumerate(zip(bases, at, strict=True)):
-            if i and bases[i - 1] != base:
-                before = last
-            key = base if times[base] == 1 else f"{base} ({before})" if before else f"{base} {row}"
-            tries = chain([key, f"{key} {row}"], (f"{key} {row} {n}" for n in count(2)))
-            last = next(k for k in tries if k not in taken)
-            taken.add(last)
-            out.append(last)
-        return x.append_column("flag_key", pa.array(out, pa.string())).select(schema.names)
+        parts = unique_parts(x.column("base").to_pylist(), x.column("row").to_pylist())
+        made = pa.array(range(len(parts)), pa.int64()), pa.array([p[1] for p in parts], pa.int64()), pa.array([p[2] for p in parts], pa.string())
+        for name, column in zip(("place", "before", "tail"), made, strict=True):
+            x = x.append_column(name, column)
+        return x.select(schema.names)
 
     return rows.groupBy(*keys).applyInArrow(run, schema)
+
+
+def unique_parts(bases: list[str], at: list[int]) -> list[tuple[str, int | None, str]]:
+    """(base, before, tail) of each flag's key; keys are compared by length and hash, then piece by piece."""
+    times = Counter(bases)
+    parts: list[tuple[str, int | None, str]] = []
+    sums: list[tuple[int, int]] = []
+    taken: dict[tuple[int, int], list[int]] = {}
+
+    def free(part: tuple[str, int | None, str], total: tuple[int, int]) -> bool:
+        return not any(parts[i] == part or same_text(pieces(parts, parts[i]), pieces(parts, part)) for i in taken.get(total, ()))
+
+    before = None  # the place before the present run of equal bases
+    for i, (base, row) in enumerate(zip(bases, at, strict=True)):
+        if i and bases[i - 1] != base:
+            before = i - 1
+        inner, tail = (None, "") if times[base] == 1 else (before, "") if before is not None else (None, f" {row}")
+        head = text_sum(base) if inner is None else joined(joined(joined(text_sum(base), text_sum(" (")), sums[inner]), text_sum(")"))
+        for more in chain(["", f" {row}"], (f" {row} {n}" for n in count(2))):
+            part, total = (base, inner, tail + more), joined(head, text_sum(tail + more))
+            if free(part, total):
+                break
+        parts.append(part)
+        sums.append(total)
+        taken.setdefault(total, []).append(i)
+    return parts
+
+
+HASH_BASE, HASH_MOD = 1_000_003, (1 << 61) - 1
+
+
+def text_sum(text: str) -> tuple[int, int]:
+    """(length, hash) of a text; joined gives those of two texts in a row."""
+    h = 0
+    for c in text:
+        h = (h * HASH_BASE + ord(c) + 1) % HASH_MOD
+    return len(text), h
+
+
+def joined(a: tuple[int, int], b: tuple[int, int]) -> tuple[int, int]:
+    return a[0] + b[0], (a[1] * pow(HASH_BASE, b[0], HASH_MOD) + b[1]) % HASH_MOD
+
+
+def pieces(parts: list[tuple[str, int | None, str]], part: tuple[str, int | None, str]) -> Iterator[str]:
+    """The texts that make up a key, from left to right."""
+    ends = []
+    while part[1] is not None:
+        yield from (part[0], " (")
+        ends.append(")" + part[2])
+        part = parts[part[1]]
+    yield from (part[0], part[2])
+    yield from reversed(ends)
+
+
+def same_text(a: Iterator[str], b: Iterator[str]) -> bool:
+    return all(x == y for x, y in zip_longest(chain.from_iterable(a), chain.from_iterable(b)))
+
+
+def flag_keys(flags: DataFrame, keys: list[str]) -> DataFrame:
+    """flags(keys, row long, base) with flag_key, the whole text of each flag's key (flag_key_parts).
+
+    Texts grow with the square of an axis whose bases are all repeated: take the parts where an axis is long. One task
+    writes the keys of one axis in turn.
+    """
+    from pyspark.sql.types import StringType, StructField, StructType
+
+    parted = flag_key_parts(flags, keys)
+    schema = StructType([*flags.schema, StructField("flag_key", StringType())])
+
+    def run(x: pa.Table) -> pa.Table:
+        x = x.sort_by([("place", "ascending")])
+        parts = list(zip(*(x.column(c).to_pylist() for c in ("base", "before", "tail")), strict=True))
+        return x.append_column("flag_key", pa.array(["".join(pieces(parts, p)) for p in parts], pa.string())).select(schema.names)
+
+    return parted.groupBy(*keys).applyInArrow(run, schema)

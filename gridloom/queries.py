@@ -804,7 +804,8 @@ def precedent_labels(spark, d):
 @query("WITH b AS (SELECT DISTINCT p_brand, p_size, p_partkey, p_name FROM part), n AS (SELECT *, count(*) OVER (PARTITION BY p_brand, p_name) AS n, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS o FROM b) SELECT p_brand, p_partkey, CASE WHEN n = 1 THEN p_name END AS flag_key FROM n")
 def flag_key_names(spark, d):
     """Keys of all parts as flags of their brand; shown where the name is the only one."""
-    from gridloom.operators.facts import flag_keys
+    from gridloom.operators.facts import flag_key_parts
 
     flags = table(spark, d, "part").select("p_brand", F.col("p_partkey").alias("row"), F.col("p_name").alias("base"))
-    return flag_keys(flags, ["p_brand"]).select("p_brand", F.col("row").alias("p_partkey"), F.when(F.col("flag_key") == F.col("base"), F.col("flag_key")).alias("flag_key"))
+    own = F.col("before").isNull() & (F.col("tail") == "")
+    return flag_key_parts(flags, ["p_brand"]).select("p_brand", F.col("row").alias("p_partkey"), F.when(own, F.col("base")).alias("flag_key"))
