@@ -1,4 +1,4 @@
-"""Rectangles: expansion, range nodes, cover and membership by a bucketed equi-join, member classes."""
+"""Rectangles: expansion, range nodes, cover and membership by an equi-join of tiles, member classes."""
 
 from __future__ import annotations
 
@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from gridloom.params import EXPAND_CAP, GRID_COLUMNS, GRID_ROWS, NODE_AREA
 
-BUCKET = 1024
-
 
 def area(r: DataFrame | None = None) -> Column:
     return (F.col("c2") - F.col("c1") + 1) * (F.col("r2") - F.col("r1") + 1)
@@ -30,24 +28,22 @@ def expand(df: DataFrame, cap: int = EXPAND_CAP) -> DataFrame:
     return out.withColumns({"row": F.col("r1") + F.floor(F.col("ord") / wide), "col": F.col("c1") + F.col("ord") % wide, "truncated": area() > cap})
 
 
-def cover(points: DataFrame, rects: DataFrame, keys: list[str], bucket: int = BUCKET) -> DataFrame:
+def cover(points: DataFrame, rects: DataFrame, keys: list[str]) -> DataFrame:
     """Pairs of points(keys, row, col, ...) and rects(keys, c1, c2, r1, r2, ...) that contain them.
 
-    A rectangle is repeated for each bucket of rows that it meets, so the join is an equi-join on keys and
-    bucket and not a nested loop. A rectangle over more buckets than WIDE (whole columns) takes no bucket but
-    joins by its columns instead.
+    A rectangle is placed on a grid whose tiles are as high and as wide as itself, up to the next power of two, so it
+    meets at most two of them each way; a point is repeated for each such size that occurs under its keys. The join is
+    an equi-join on keys, sizes and tile, and compares a rectangle with what lies near it, not with all of its sheet. It
+    is a merge join: either side may be small before rows are made of pairs, and a broadcast would leave all to its few tasks.
     """
-    many = F.floor(F.col("r2") / bucket) - F.floor(F.col("r1") / bucket) > WIDE
-    tall = rects.where(many)
-    short = rects.where(~many).withColumn("__b", F.explode(F.sequence(F.floor(F.col("r1") / bucket), F.floor(F.col("r2") / bucket))))
+    power = lambda a, b: F.pow(F.lit(2), F.ceil(F.log2((F.col(b) - F.col(a) + 1).cast("double")))).cast("long")
+    tile = lambda x, size: F.floor(F.col(x) / F.col(size))
+    sized = rects.where("r1 <= r2 and c1 <= c2").withColumns({"__h": power("r1", "r2"), "__w": power("c1", "c2")})
+    at = points.join(sized.select(*keys, "__h", "__w").distinct(), keys).withColumns({"__y": tile("row", "__h"), "__x": tile("col", "__w")})
+    tiles = lambda a, b, size: F.explode(F.sequence(tile(a, size), tile(b, size)))
+    sized = sized.withColumn("__y", tiles("r1", "r2", "__h")).withColumn("__x", tiles("c1", "c2", "__w"))
     inside = (F.col("row") >= F.col("r1")) & (F.col("row") <= F.col("r2")) & (F.col("col") >= F.col("c1")) & (F.col("col") <= F.col("c2"))
-    a = points.withColumn("__b", F.floor(F.col("row") / bucket)).join(short, [*keys, "__b"]).where(inside).drop("__b")
-    columns = F.explode(F.sequence(F.floor(F.col("c1") / 16), F.floor(F.col("c2") / 16)))
-    b = points.withColumn("__b", F.floor(F.col("col") / 16)).join(tall.withColumn("__b", columns), [*keys, "__b"]).where(inside).drop("__b")
-    return a.unionByName(b)
-
-
-WIDE = 16
+    return at.join(sized.hint("merge"), [*keys, "__h", "__w", "__y", "__x"]).where(inside).drop("__h", "__w", "__y", "__x")
 
 
 def classify_member(known: Column, sheet_known: Column, presence: Column, in_range: Column, unresolved: Column) -> Column:
