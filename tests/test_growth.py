@@ -38,3 +38,17 @@ def test_flag_key_names_of_a_long_brand(spark, tmp_path):
     out = entry.queries()["flag_key_names"](spark, str(tmp_path))
     assert out.count() == n
     assert [tuple(r) for r in out.where("flag_key is not null").collect()] == [("b", 77, "only")]
+
+
+def test_cover_joins_tiles_of_the_size_of_rectangles(spark):
+    """All of a full sheet's pairs, by a join on sizes and tiles that no side is broadcast for."""
+    from gridloom.operators.ranges import cover
+
+    cells = spark.range(600 * 25).select(F.lit("S").alias("sheet"), (F.col("id") % 600 + 1).alias("row"), (F.floor(F.col("id") / 600) + 1).alias("col"))
+    k = F.col("id")
+    rects = spark.range(400).select("id", F.lit("S").alias("sheet"), (k % 20 + 1).alias("c1"), (k % 20 + 1 + k % 4).alias("c2"), (k % 500 + 1).alias("r1"), (k % 500 + 1 + k % 40).alias("r2"))
+    found = cover(cells, rects, ["sheet"])
+    joins = [x for x in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in x and "__y" in x]
+    assert joins and all("SortMergeJoin" in x and "__h" in x and "__w" in x and "__x" in x for x in joins)
+    held = found.groupBy("id").count().join(rects, "id").select((F.col("count") == (F.col("c2") - F.col("c1") + 1) * (F.col("r2") - F.col("r1") + 1)).alias("whole")).collect()
+    assert [r["whole"] for r in held] == [True] * 400
