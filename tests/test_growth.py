@@ -52,3 +52,38 @@ def test_cover_joins_tiles_of_the_size_of_rectangles(spark):
     assert joins and all("SortMergeJoin" in x and "__h" in x and "__w" in x and "__x" in x for x in joins)
     held = found.groupBy("id").count().join(rects, "id").select((F.col("count") == (F.col("c2") - F.col("c1") + 1) * (F.col("r2") - F.col("r1") + 1)).alias("whole")).collect()
     assert [r["whole"] for r in held] == [True] * 400
+
+
+def test_shared_axes_fold_few_of_many_like_axes(spark):
+    """20,000 axes of a sheet that say six different things: as dealt one after another, and only a few are folded."""
+    from gridloom.operators import timelines as T
+
+    k = F.col("id")
+    marked = (k % 7 == 0) & (k > 50)
+    exact = F.when(marked, F.concat(F.lit("c"), (k % 2).cast("string"))).otherwise("c")
+    flags = F.when(k % 5 < 2, (k % 5).cast("string"))
+    axes = spark.range(20_000).select(F.lit("b").alias("book_id"), F.lit("S").alias("sheet"), F.lit("c").alias("columns"), exact.alias("exact"), marked.alias("marked"), flags.alias("flags"), k.alias("place"), F.concat(F.lit("x"), k.cast("string")).alias("axis_id"))
+    rows = [r.asDict() for r in axes.collect()]
+    kept, want = [], {}
+    for a in rows:
+        fits = [x for x in kept if x["flags"] is None or a["flags"] is None or x["flags"] == a["flags"]]
+        hit = next((x for x in fits if x["marked"] and not a["marked"]), None) or next((x for x in fits if x["exact"] == a["exact"]), None)
+        want[a["axis_id"]] = (hit or a)["axis_id"]
+        if hit:
+            hit["flags"] = hit["flags"] or a["flags"]
+        else:
+            kept.append(dict(a))
+    out = T.shared_axes(axes, ["book_id", "sheet"])
+    assert {r["axis_id"]: r["first"] for r in out.collect()} == want
+    assert "__e" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_linked_timelines_of_many_axes(spark):
+    """Axes of one signature in two sorts of dates, dealt and named by the best; a later one lends its dates to the first."""
+    from gridloom.operators import timelines as T
+
+    k = F.col("id")
+    dates = F.when(k % 3 > 0, (k % 3).cast("string"))
+    axes = spark.range(9_000).select(F.lit("b").alias("book_id"), F.format_string("%06d", k).alias("axis_id"), k.alias("place"), F.lit(0).alias("sheet_no"), F.lit("s").alias("signature"), dates.alias("dates"), F.lit(None).cast("string").alias("flags"), F.lit(0).alias("n_flags"))
+    got = T.linked_timelines(axes, ["book_id"]).groupBy((F.col("axis_id").cast("long") % 3).alias("k"), "timeline_id").count().collect()
+    assert sorted(tuple(r) for r in got) == [(0, "000001", 3000), (1, "000001", 3000), (2, "000002", 3000)]
