@@ -31,6 +31,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of a partition that stay small in memory when sorted and grouped several times by one task.
+SPREAD_ROWS = 250_000
+
+
+def spread(df: DataFrame, *keys: str, rows: int) -> DataFrame:
+    """df dealt by keys to a number of partitions that grows with rows, so that the memory of one task does not.
+
+    Spark merges small shuffle partitions until there is one for each core; those of a fixed number it leaves alone.
+    """
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(least, -(-rows // SPREAD_ROWS)), *keys)
+
+
 def local_session(cores: int = 8, partitions: int = 8) -> SparkSession:
     """A local session with the settings used in tests and in the bench."""
     spark = (

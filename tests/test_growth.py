@@ -87,3 +87,15 @@ def test_linked_timelines_of_many_axes(spark):
     axes = spark.range(9_000).select(F.lit("b").alias("book_id"), F.format_string("%06d", k).alias("axis_id"), k.alias("place"), F.lit(0).alias("sheet_no"), F.lit("s").alias("signature"), dates.alias("dates"), F.lit(None).cast("string").alias("flags"), F.lit(0).alias("n_flags"))
     got = T.linked_timelines(axes, ["book_id"]).groupBy((F.col("axis_id").cast("long") % 3).alias("k"), "timeline_id").count().collect()
     assert sorted(tuple(r) for r in got) == [(0, "000001", 3000), (1, "000001", 3000), (2, "000002", 3000)]
+
+
+def test_partitions_grow_with_the_rows(spark, tmp_path, monkeypatch):
+    """One join of two sides dealt alike, nothing merged afterwards; known, unknown, repeated and null targets."""
+    from gridloom import session
+
+    monkeypatch.setattr(session, "SPREAD_ROWS", 10)
+    spark.range(100).select((F.col("id") % 25 * 2).alias("l_orderkey")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(k,) for k in (0, 1, 2, 2, 3, None)], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    out = entry.queries()["union_empty_targets"](spark, str(tmp_path))
+    assert sorted((r["target"] is None, r["target"] or 0, r["kind"]) for r in out.collect()) == [(False, 0, "cell"), (False, 1, "empty"), (False, 2, "cell"), (False, 2, "cell"), (False, 3, "empty"), (True, 0, "empty")]
+    assert out.rdd.getNumPartitions() == 10
