@@ -9,7 +9,7 @@ from gridloom.functions.headers import with_atoms
 from gridloom.operators import axes as A
 from gridloom.plans.grid import table
 from gridloom.queries import query
-from gridloom.session import checkpointed
+from gridloom.session import checkpointed, spread
 
 
 def quarters(spark, d: str) -> DataFrame:
@@ -84,7 +84,8 @@ def period_markers(spark, d):
 def counting_rows(spark, d):
     """The longest run of integers that count up in each order's row of line numbers, where it starts at 0 or 1."""
     place = (F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")) + 1).cast("long")
-    rows = table(spark, d, "lineitem").select(F.lit("b").alias("book_id"), F.lit("s").alias("sheet"), F.col("l_orderkey").alias("row"), place.alias("col"), (F.col("l_linenumber") + F.when(F.col("l_partkey") % 5 == 0, 1).otherwise(0)).cast("double").alias("number"))
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    rows = spread(lines, "l_orderkey", rows=lines.count()).select(F.lit("b").alias("book_id"), F.lit("s").alias("sheet"), F.col("l_orderkey").alias("row"), place.alias("col"), (F.col("l_linenumber") + F.when(F.col("l_partkey") % 5 == 0, 1).otherwise(0)).cast("double").alias("number"))
     rows = rows.withColumns({"shown": F.col("number").cast("string"), "atom": F.lit(None).cast("string")})
     return A.counting_runs(rows).select(F.col("row").alias("l_orderkey"), "first_col", "last_col", "first_value")
 

@@ -99,3 +99,14 @@ def test_partitions_grow_with_the_rows(spark, tmp_path, monkeypatch):
     out = entry.queries()["union_empty_targets"](spark, str(tmp_path))
     assert sorted((r["target"] is None, r["target"] or 0, r["kind"]) for r in out.collect()) == [(False, 0, "cell"), (False, 1, "empty"), (False, 2, "cell"), (False, 2, "cell"), (False, 3, "empty"), (True, 0, "empty")]
     assert out.rdd.getNumPartitions() == 10
+
+
+def test_counting_rows_are_dealt_by_rows(spark, tmp_path, monkeypatch):
+    from gridloom import session
+
+    monkeypatch.setattr(session, "SPREAD_ROWS", 10)
+    k = F.col("id")
+    spark.range(80).select(F.floor(k / 4).alias("l_orderkey"), (k % 4 + 1).alias("l_linenumber"), F.lit(1).cast("long").alias("l_partkey")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    out = entry.queries()["counting_rows"](spark, str(tmp_path))
+    assert sorted(tuple(r) for r in out.collect()) == [(o, 2, 5, 1) for o in range(20)]
+    assert out.rdd.getNumPartitions() == 8
