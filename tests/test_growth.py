@@ -110,3 +110,14 @@ def test_counting_rows_are_dealt_by_rows(spark, tmp_path, monkeypatch):
     out = entry.queries()["counting_rows"](spark, str(tmp_path))
     assert sorted(tuple(r) for r in out.collect()) == [(o, 2, 5, 1) for o in range(20)]
     assert out.rdd.getNumPartitions() == 8
+
+
+def test_traces_broadcast_nothing(spark):
+    from gridloom.plans.graph import trace
+
+    edges = spark.createDataFrame([("b", str(k), str(k + 1)) for k in range(9)], "book_id string, source string, target string")
+    for direction, want in (("precedents", 9), ("dependents", 0)):
+        out = trace(edges, spark.createDataFrame([("b", "0")], "book_id string, origin string"), direction, 3)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan
+        assert out.count() == min(want, 3) + 1
