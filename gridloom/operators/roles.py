@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gridloom.functions.cells import scale_token, unit_kind
 from gridloom.functions.headers import period_like
 from gridloom.params import NOTE_LEAST, QUALIFIER_LETTERS, QUALIFIERS, ROLE_SHARE, ROLE_WORDS, VALUES_LEAST
+from gridloom.session import checkpointed
 
 
 def header_role(text: Column) -> Column:
@@ -31,8 +32,10 @@ def column_roles(cells: DataFrame, keys: list[str]) -> DataFrame:
     notes yield to a label word. Words decide for the rest, the most frequent first, then the first seen; texts beside
     such words are unknown. One pass gathers counts by column.
     """
-    at = cells.where("text is not null").withColumn("word", header_role(F.col("text")))
-    words = at.where("word is not null").groupBy(*keys, "col", "word").agg(F.count("*").alias("n"), F.min("row").alias("row"))
+    at = cells.where("text is not null")
+    # words are of letters alone, and few texts are one: found once
+    named = checkpointed(at.where(F.col("text").rlike(r"\p{L}")).select(*keys, "row", "col", header_role(F.col("text")).alias("word")).where("word is not null"))
+    words = named.groupBy(*keys, "col", "word").agg(F.count("*").alias("n"), F.min("row").alias("row"))
     hints = words.groupBy(*keys, "col").agg(F.max_by("word", F.struct("n", -F.col("row"))).alias("hint"))
     caption = at.where("number is null").groupBy(*keys, "col").agg(F.min_by("text", "row").alias("caption"), F.min("row").alias("caption_row"))
     at = at.join(caption, [*keys, "col"], "left")
@@ -42,8 +45,7 @@ def column_roles(cells: DataFrame, keys: list[str]) -> DataFrame:
     body = F.col("row") > F.col("caption_row")
     n = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
     sums = at.groupBy(*keys, "col").agg(F.first("caption").alias("caption"), F.first("caption_row").alias("caption_row"), n(is_number).alias("numbers"), n(body).alias("below"), n(body & is_number).alias("b_numbers"), n(body & unit).alias("b_units"), n(body & note).alias("b_notes"))
-    named = at.where("word is not null").select(*keys, "row").distinct()
-    beside = at.where("number is null").join(named, [*keys, "row"], "left_semi").groupBy(*keys, "col").agg(F.max(F.length("text") <= NOTE_LEAST).alias("beside"))
+    beside = at.where("number is null").join(named.select(*keys, "row").distinct(), [*keys, "row"], "left_semi").groupBy(*keys, "col").agg(F.max(F.length("text") <= NOTE_LEAST).alias("beside"))
     out = sums.join(hints, [*keys, "col"], "left").join(beside, [*keys, "col"], "left")
     share = lambda c: F.col(c) >= ROLE_SHARE * F.col("below")
     value = F.when(period_like(F.col("caption")), "unknown").otherwise("value")

@@ -121,3 +121,13 @@ def test_traces_broadcast_nothing(spark):
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert "Broadcast" not in plan
         assert out.count() == min(want, 3) + 1
+
+
+def test_column_roles_look_for_words_once(spark):
+    """The words of roles are found before the aggregates, which hold none of their expressions; numbers hold no word."""
+    from gridloom.operators.roles import column_roles
+
+    rows = [("s", 0, 1, "Item", None), ("s", 0, 2, "Value", None), *[("s", r, c, str(r) if c == 2 else f"x{r}", float(r) if c == 2 else None) for r in range(1, 5) for c in (1, 2)]]
+    out = column_roles(spark.createDataFrame(rows, "k string, row long, col long, text string, number double"), ["k"])
+    assert sorted((r["col"], r["caption"], r["role"]) for r in out.collect()) == [(1, "Item", "label"), (2, "Value", "value")]
+    assert "наименование показателя" not in out._jdf.queryExecution().optimizedPlan().toString()
