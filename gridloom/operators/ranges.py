@@ -46,6 +46,16 @@ def cover(points: DataFrame, rects: DataFrame, keys: list[str]) -> DataFrame:
     return at.join(sized.hint("merge"), [*keys, "__h", "__w", "__y", "__x"]).where(inside).drop("__h", "__w", "__y", "__x")
 
 
+def cover_counts(points: DataFrame, rects: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, row, col, covers): how many of rects(keys, c1, c2, r1, r2) contain each of points(keys, row, col) that any contains.
+
+    Equal rectangles are counted first and joined once with their number, so pairs grow with the different ones, which the
+    sheet bounds, and not with copies.
+    """
+    different = rects.groupBy(*keys, "c1", "c2", "r1", "r2").agg(F.count("*").alias("__n"))
+    return cover(points, different, keys).groupBy(*keys, "row", "col").agg(F.sum("__n").alias("covers"))
+
+
 def classify_member(known: Column, sheet_known: Column, presence: Column, in_range: Column, unresolved: Column) -> Column:
     """struct(status, reason, dangling) of an edge's target, by the first rule that fits."""
     kind = lambda status, reason, dangling: F.struct(F.lit(status).alias("status"), F.lit(reason).alias("reason"), F.lit(dangling).alias("dangling"))

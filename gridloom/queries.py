@@ -178,14 +178,16 @@ def points(spark, d) -> DataFrame:
 def range_members(spark, d):
     """Present cells of each rectangle: how many, and the first by row and column."""
     cells = points(spark, d).select("sheet", "row", "col").distinct()
-    found = R.cover(cells, rects(spark, d), ["sheet"])
-    return found.groupBy("id").agg(F.count("*").alias("members"), F.min(F.col("row") * 100000 + F.col("col")).alias("first_member"))
+    of, same = rects(spark, d), ["sheet", "c1", "c2", "r1", "r2"]
+    found = R.cover(cells, of.select(*same).distinct(), ["sheet"])  # equal rectangles are looked up once
+    found = found.groupBy(*same).agg(F.count("*").alias("members"), F.min(F.col("row") * 100000 + F.col("col")).alias("first_member"))
+    return of.join(found, same).groupBy("id").agg(F.sum("members").alias("members"), F.min("first_member").alias("first_member"))
 
 
 @query(f"WITH r AS ({RECTS}), p AS (SELECT DISTINCT \"row\", col FROM ({POINTS})) SELECT \"row\", col, count(*) AS covers FROM p JOIN r ON p.col BETWEEN c1 AND c2 AND p.\"row\" BETWEEN r1 AND r2 GROUP BY ALL")
 def range_cover(spark, d):
     cells = points(spark, d).select("sheet", "row", "col").distinct()
-    return R.cover(cells, rects(spark, d), ["sheet"]).groupBy("row", "col").agg(F.count("*").alias("covers"))
+    return R.cover_counts(cells, rects(spark, d), ["sheet"]).select("row", "col", "covers")
 
 
 @query("""SELECT l_orderkey, l_linenumber, n, CASE WHEN l_suppkey % 13 = 0 THEN 'unresolved' WHEN s_suppkey IS NOT NULL AND s_suppkey % 3 > 0 THEN 'cell' WHEN l_suppkey % 7 = 0 THEN 'missing' WHEN l_suppkey % 5 = 0 THEN 'missing' ELSE 'empty' END AS status,

@@ -54,6 +54,24 @@ def test_cover_joins_tiles_of_the_size_of_rectangles(spark):
     assert [r["whole"] for r in held] == [True] * 400
 
 
+def test_equal_rectangles_are_joined_once(spark, tmp_path, monkeypatch):
+    """Rectangles that are copies meet the cells once, and count as often as they are; cells and ids as when joined one by one."""
+    from gridloom.operators import ranges
+
+    met, cover = [], ranges.cover
+    monkeypatch.setattr(ranges, "cover", lambda points, rects, keys: met.append(rects.count()) or cover(points, rects, keys))
+    k = F.col("id")
+    spark.range(97 * 40).where("id % 97 > 0").select((k % 97 * 4000 + F.floor(k / 97) * 400_000).alias("p_partkey"), F.lit(2).alias("p_size")).write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(25 * 600).select(k.alias("o_orderkey"), F.floor(k / 25).alias("o_custkey")).write.parquet(f"{tmp_path}/orders.parquet")
+    part = spark.read.parquet(f"{tmp_path}/part.parquet")
+    whole = part.where("p_partkey % 97 = 0").count()
+    covers = {(r["row"], r["col"]): r["covers"] for r in entry.queries()["range_cover"](spark, str(tmp_path)).collect()}
+    assert covers == {(row, col): 96 * 40 if row == 20 else whole for row in range(1, 601) for col in (1, 2, 3) if row == 20 or whole}
+    held = entry.queries()["range_members"](spark, str(tmp_path)).groupBy("members").count().collect()
+    assert {r["members"]: r["count"] for r in held} == {n: c for n, c in ((3, 96 * 40 - whole), (1800, whole)) if c}
+    assert met == [1 + (whole > 0)] * 2
+
+
 def test_shared_axes_fold_few_of_many_like_axes(spark):
     """20,000 axes of a sheet that say six different things: as dealt one after another, and only a few are folded."""
     from gridloom.operators import timelines as T
