@@ -192,8 +192,8 @@ def trace(edges: DataFrame, origins: DataFrame, direction: str = "precedents", d
     """Nodes reached from each origin(book_id, origin) with their least depth, 0 for the origin itself.
 
     Breadth first: every round joins the frontier with the edges and drops what has been visited; at most
-    TRACE_DEPTH_MOST rounds, all origins at once. The visited rows are cut off from their lineage each round. Joins are
-    merges: nothing is broadcast, as each round would send another copy through the driver.
+    TRACE_DEPTH_MOST rounds, all origins at once. Each round writes the rows it adds, cut off from their lineage, and none
+    of those before. Joins are merges: nothing is broadcast, as each round would send another copy through the driver.
 
     Targets that are nodes of ranges(book_id, range, sheet, c1, c2, r1, r2) are passed through and never
     listed: precedents go on to their filled cells(book_id, node, sheet, row, col, filled), at most
@@ -204,20 +204,21 @@ def trace(edges: DataFrame, origins: DataFrame, direction: str = "precedents", d
     depth = max(1, min(TRACE_DEPTH_MOST, depth))
     a, b = ("source", "target") if direction == "precedents" else ("target", "source")
     hops = usable(edges).select("book_id", F.col(a).alias("node"), F.col(b).alias("next")).distinct()
-    visited = checkpointed(origins.select("book_id", "origin", F.col("origin").alias("node"), F.lit(0).cast("long").alias("depth")))
+    hops = checkpointed(hops) if depth > 1 else hops
+    visited = level = checkpointed(origins.select("book_id", "origin", F.col("origin").alias("node"), F.lit(0).cast("long").alias("depth")))
     for step in range(1, depth + 1):
-        frontier = visited.where(F.col("depth") == step - 1).select("book_id", "origin", "node")
+        frontier = level.select("book_id", "origin", "node")
         if ranges is not None and direction != "precedents":
             frontier = frontier.unionByName(frontier.join(covering(frontier, ranges, cells), ["book_id", "node"]).select("book_id", "origin", F.col("range").alias("node")))
         new = frontier.join(hops.hint("merge"), ["book_id", "node"]).select("book_id", "origin", F.col("next").alias("node")).distinct()
         if ranges is not None and direction == "precedents":
             new = pass_through(new, ranges, cells, range_members)
-        new = new.join(visited.select("book_id", "origin", "node").hint("merge"), ["book_id", "origin", "node"], "left_anti")
-        more = visited.unionByName(new.withColumn("depth", F.lit(step).cast("long")))
-        more = checkpointed(more) if step < depth else more
-        if step < depth and more.where(F.col("depth") == step).isEmpty():
-            return more
-        visited = more
+        level = new.join(visited.select("book_id", "origin", "node").hint("merge"), ["book_id", "origin", "node"], "left_anti").withColumn("depth", F.lit(step).cast("long"))
+        if step < depth:
+            level = checkpointed(level)
+            if level.isEmpty():
+                break
+        visited = visited.unionByName(level)
     return visited
 
 

@@ -141,6 +141,24 @@ def test_traces_broadcast_nothing(spark):
         assert out.count() == min(want, 3) + 1
 
 
+def test_each_round_of_a_trace_writes_what_it_adds(spark, monkeypatch):
+    """Six rounds over a chain write the edges once and six new rows, not one, two, three and so on; the end of a chain ends it."""
+    from gridloom import session
+    from gridloom.plans.graph import trace
+
+    wrote, checkpointed = [], session.checkpointed
+    monkeypatch.setattr(session, "checkpointed", lambda df: wrote.append(df.count()) or checkpointed(df))
+    edges = spark.createDataFrame([("b", str(k), str(k + 1)) for k in range(9)], "book_id string, source string, target string")
+    start = lambda k: spark.createDataFrame([("b", str(k))], "book_id string, origin string")
+    out = trace(edges, start(0), "precedents", 7)
+    assert sorted((int(r["node"]), r["depth"]) for r in out.collect()) == [(k, k) for k in range(8)]
+    assert sorted(wrote) == [1] * 7 + [9]
+    wrote.clear()
+    out = trace(edges, start(7), "precedents", 8)
+    assert sorted((int(r["node"]), r["depth"]) for r in out.collect()) == [(7, 0), (8, 1), (9, 2)]
+    assert sorted(wrote) == [0, 1, 1, 1, 9]
+
+
 def test_column_roles_look_for_words_once(spark):
     """The words of roles are found before the aggregates, which hold none of their expressions; numbers hold no word."""
     from gridloom.operators.roles import column_roles
